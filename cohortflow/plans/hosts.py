@@ -130,6 +130,33 @@ SELECT l.doc_id, l.quality AS y, (d.n_chars % 101) / 100.0E0 AS score,
 FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id
 """
 
+PEOPLE_SQL = """
+SELECT concat('mh_', cast(2019 + c_custkey % 6 AS string), '_',
+              lpad(cast(c_custkey AS string), 7, '0')) AS file_id,
+  c_custkey AS row_no,
+  CASE WHEN c_custkey % 31 = 0 THEN NULL
+       ELSE ((c_custkey * 7) % 2500) / 20.0E0 END AS age,
+  CASE c_custkey % 6 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN 'male' WHEN 3 THEN NULL
+                     WHEN 4 THEN 'female' ELSE 'x' END AS gender,
+  CASE WHEN c_custkey % 4 = 0 THEN 'abnormal' ELSE 'normal' END AS label,
+  CASE WHEN c_custkey % 19 = 0 THEN 'n/a'
+       ELSE cast(round(abs(c_acctbal)) AS bigint) || '.5' END AS minutes
+FROM {customer}
+"""
+
+CLOCKS_SQL = f"""
+SELECT event_id, CASE event_id % 8
+  WHEN 0 THEN start_time
+  WHEN 1 THEN concat(substr(start_time, 1, 8), '.', substr(start_time, 10, 3))
+  WHEN 2 THEN substr(start_time, 1, 8)
+  WHEN 3 THEN substr(start_time, 1, 10)
+  WHEN 4 THEN concat(' ', substr(start_time, 1, 8), '.5 ')
+  WHEN 5 THEN cast(event_id % 90 AS string)
+  WHEN 6 THEN '99:99:99:7'
+  ELSE substr(start_time, 1, 5) END AS clock
+FROM ({EVENTS_SQL}) e
+"""
+
 _CHANNEL = _pick("vec_id % 19", SCALP_19_MIXED)
 
 # 76 vectors make a recording of 19 channels in 4 chunks of 64 samples
@@ -177,6 +204,12 @@ class Hosts:
     def scores(self) -> DataFrame:
         return self._sql(SCORES_SQL, "labels", "documents")
 
+    def people(self) -> DataFrame:
+        return self._sql(PEOPLE_SQL, "customer")
+
+    def clocks(self) -> DataFrame:
+        return self._sql(CLOCKS_SQL, "events")
+
     def signals(self) -> DataFrame:
         return self._sql(SIGNAL_SQL, "embeddings")
 
