@@ -29,9 +29,9 @@ def release_folder(split: Column, label: Column, modality: Column) -> Column:
     return F.when(known, F.concat_ws("/", split, F.lower(label), names[modality]))
 
 
-def folder_dim(spark: SparkSession, targets: dict[tuple[str, str], int] | None = None) -> DataFrame:
+def folder_dim(spark: SparkSession, targets: dict[tuple[str, str, str], int] | None = None) -> DataFrame:
     """The ten release folders with the number of files each should hold."""
-    rows = [(s, c, m, (targets or {}).get((s, c), 0))
+    rows = [(s, c, m, (targets or {}).get((s, c, m), 0))
             for s in SPLITS for c in REQUIRED for m in REQUIRED[c]]
     dim = inline_table(spark, rows,
                        "split string, label string, modality string, expected_count bigint")
@@ -276,7 +276,7 @@ def recording_count_check(manifest: DataFrame, targets: dict[tuple[str, str], in
 
 
 def folder_count_check(files: DataFrame, root: str,
-                       targets: dict[tuple[str, str], int]) -> DataFrame:
+                       targets: dict[tuple[str, str, str], int]) -> DataFrame:
     """Expected and actual files that lie directly in each release folder."""
     dim = folder_dim(files.sparkSession, targets)
     base = root.rstrip("/")
@@ -292,7 +292,7 @@ def folder_count_check(files: DataFrame, root: str,
 
 
 def release_summary(expected: DataFrame, actual: DataFrame,
-                    targets: dict[tuple[str, str], int]) -> DataFrame:
+                    targets: dict[tuple[str, str, str], int]) -> DataFrame:
     """Per folder: files, and stems that match, are missing or are extra."""
     want = expected.select(*_ITEM).distinct().withColumn("_w", F.lit(1))
     have = actual.groupBy(*_ITEM).agg(F.count("*").alias("_files"))
