@@ -251,26 +251,24 @@ pts AS (SELECT file_id, channel, sfreq, n_samples, start + pos - 1 AS i, samples
         FROM (SELECT *, unnest(range(1, len(samples) + 1)) AS pos FROM h_signal) s)"""
 
 
-def psd(n: int, hop: int, window: str = "hann") -> str:
+def psd(n, overlap: float = 0.5, window: str = "hann", tag: str = "") -> str:
     """Windows of ``n`` samples and their spectrum by explicit sums."""
     a, b = (0.5, 0.5) if window == "hann" else (0.54, 0.46)
-    return f"""{SIGNAL},
-par AS (SELECT file_id, channel, sfreq, n_samples, least({n}, n_samples) AS n,
-          CASE WHEN n_samples < {n} THEN n_samples - floor(n_samples * {1 - hop / n})
-               ELSE {hop} END::bigint AS hop
-        FROM (SELECT DISTINCT file_id, channel, sfreq, n_samples FROM h_signal) d),
-win AS (SELECT *, unnest(range(0, ((n_samples - n) // hop + 1)::bigint)) AS k FROM par),
-seg AS (SELECT w.file_id, w.channel, w.sfreq, w.n, w.k, p.i - w.k * w.hop AS j, p.x
-        FROM win w JOIN pts p ON p.file_id = w.file_id AND p.channel = w.channel
+    return f"""par{tag} AS (SELECT *, n - floor(n * {overlap})::bigint AS hop FROM (
+        SELECT DISTINCT file_id, channel, sfreq, n_samples, least({n}, n_samples)::bigint AS n
+        FROM h_signal) d),
+win{tag} AS (SELECT *, unnest(range(0, ((n_samples - n) // hop + 1)::bigint)) AS k FROM par{tag}),
+seg{tag} AS (SELECT w.file_id, w.channel, w.sfreq, w.n, w.k, p.i - w.k * w.hop AS j, p.x
+        FROM win{tag} w JOIN pts p ON p.file_id = w.file_id AND p.channel = w.channel
           AND p.i >= w.k * w.hop AND p.i < w.k * w.hop + w.n),
-cen AS (SELECT *, {a} - {b} * cos(2 * pi() * j / n) AS w,
-          x - avg(x) OVER (PARTITION BY file_id, channel, k) AS y FROM seg),
-dft AS (SELECT file_id, channel, sfreq, n, k, bin,
+cen{tag} AS (SELECT *, {a} - {b} * cos(2 * pi() * j / n) AS w,
+          x - avg(x) OVER (PARTITION BY file_id, channel, k) AS y FROM seg{tag}),
+dft{tag} AS (SELECT file_id, channel, sfreq, n, k, bin,
           sum(y * w * cos(2 * pi() * bin * j / n)) AS re,
           sum(y * w * sin(2 * pi() * bin * j / n)) AS im, sum(w * w) AS ww
-        FROM (SELECT *, unnest(range(0, (n // 2 + 1)::bigint)) AS bin FROM cen) c
+        FROM (SELECT *, unnest(range(0, (n // 2 + 1)::bigint)) AS bin FROM cen{tag}) c
         GROUP BY ALL),
-psd AS (SELECT file_id, channel, sfreq, n, bin, bin * sfreq / n AS freq,
+psd{tag} AS (SELECT file_id, channel, sfreq, n, bin, bin * sfreq / n AS freq,
           avg((re * re + im * im) / (sfreq * ww)
               * CASE WHEN bin = 0 OR bin * 2 = n THEN 1 ELSE 2 END) AS power
-        FROM dft GROUP BY ALL)"""
+        FROM dft{tag} GROUP BY ALL)"""
