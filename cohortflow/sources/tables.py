@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import clean_stem, to_number
 
@@ -30,7 +30,8 @@ def require_columns(df: DataFrame, required) -> DataFrame:
 
 
 def _text_csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False)
+    # quotes inside a cell are doubled
+    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, escape='"')
     return df.toDF(*[c.strip() for c in df.columns])
 
 
@@ -72,7 +73,15 @@ def resolve_columns(df: DataFrame, spec: dict[str, tuple[str, tuple[str, ...]]])
 
 
 _RECORD = r"(?:[^\"\n]++|\"[^\"]*+\"|\")++"
-_WIDTH = 64
+_CELL = r",(\"(?:[^\"]++|\"\")*+\"|[^,]*+)"
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV record; quotes are dropped and doubled quotes undone."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+    return F.transform(raw, lambda c: F.when(
+        c.startswith('"'), F.replace(F.regexp_replace(c, r'^"|"$', ""), F.lit('""'), F.lit('"'))
+    ).otherwise(c))
 
 
 def parse_annotations(files: DataFrame, columns: dict[str, str] = ANNOTATION_COLUMNS) -> DataFrame:
@@ -83,19 +92,12 @@ def parse_annotations(files: DataFrame, columns: dict[str, str] = ANNOTATION_COL
     the file. Records are split outside quotes only.
     """
     lines = F.regexp_extract_all(F.regexp_replace("value", "\r\n?", "\n"), F.lit(_RECORD), F.lit(0))
-    record = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(_WIDTH)])
-
-    def cells(line: Column) -> Column:
-        row = F.from_csv(line, record.simpleString().removeprefix("struct<").removesuffix(">")
-                         .replace(":", " "), {"mode": "PERMISSIVE"})
-        return F.array(*[row[f"c{i}"] for i in range(_WIDTH)])
-
     split = files.select("path", lines.alias("_lines")).where(F.size("_lines") > 0)
-    head = F.transform(cells(F.get("_lines", F.lit(0))), F.trim)
+    head = F.transform(csv_cells(F.get("_lines", F.lit(0))), lambda c: F.trim(c))
     rows = split.select(
         "path", head.alias("_head"),
         F.posexplode(F.slice("_lines", F.lit(2), F.size("_lines"))).alias("row_no", "_line"))
-    rows = rows.where(~F.col("_line").rlike(r"^\s*$")).withColumn("_cells", cells(F.col("_line")))
+    rows = rows.where(~F.col("_line").rlike(r"^\s*$")).withColumn("_cells", csv_cells(F.col("_line")))
 
     def named(name: str) -> Column:
         cell = F.try_element_at(
@@ -177,9 +179,10 @@ def scan_recordings(files: DataFrame) -> DataFrame:
 # ---- sinks --------------------------------------------------------------
 
 def write_table(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:
-    """Delimited text with a header; nulls are empty, empty text is quoted nothing."""
-    df.write.mode(mode).option("sep", sep).option("header", True).option(
-        "emptyValue", "").csv(path)
+    """Delimited text with a header; nulls and empty text are empty cells."""
+    df.write.mode(mode).options(
+        sep=sep, header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_checksum_text(manifest: DataFrame, path: str, mode: str = "errorifexists") -> None:
