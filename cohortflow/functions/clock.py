@@ -16,51 +16,38 @@ DAY_MS = 24 * 3600 * 1000
 _INT = r"\s*([+-]?\d+)\s*"
 
 
-def _group(text: Column, pattern: str, index: int, kind: str = "bigint") -> Column:
-    return F.regexp_extract(text, pattern, index).try_cast(kind)
+def _numbers(text: Column, pattern: str) -> tuple[Column, Column]:
+    """Whole seconds in ms and the text of the last part; null without a match."""
+    h, m, s = (F.regexp_extract(text, pattern, i).try_cast("bigint") for i in (1, 2, 3))
+    return h * 3600000 + m * 60000 + s * 1000, F.regexp_extract(text, pattern, 4)
 
 
-def _hms(text: Column, pattern: str) -> Column:
-    h, m, s = (_group(text, pattern, i) for i in (1, 2, 3))
-    return h * 3600000 + m * 60000 + s * 1000
+def _strict(col: Column) -> Column:
+    hms, ms = _numbers(col, r"^\s*(\d{1,2}):(\d{1,2}):(\d{1,2})(?:[:.](\d{1,3}))?\s*$")
+    return hms + F.rpad(ms, 3, "0").try_cast("bigint")
 
 
-def _strict(col: Column) -> Column:
-    text = strip(col)
-    pattern = r"^(\d{1,2}):(\d{1,2}):(\d{1,2})(?:[:.](\d{1,3}))?$"
-    ms = F.rpad(F.regexp_extract(text, pattern, 4), 3, "0").try_cast("bigint")
-    return F.when(text.rlike(pattern), _hms(text, pattern) + ms)
-
-
-def _unpadded(text: Column, separator: str) -> Column:
-    sep = separator
-    four = f"^{_INT}{sep}{_INT}{sep}{_INT}{sep}{_INT}$"
-    three = f"^{_INT}{sep}{_INT}{sep}{_INT}$"
-    return (
-        F.when(text.rlike(four), _hms(text, four) + _group(text, four, 4))
-        .when(text.rlike(three), _hms(text, three))
-    )
+def _unpadded(col: Column) -> Column:
+    hms, ms = _numbers(col, f"^{_INT}[:.]{_INT}[:.]{_INT}(?:[:.]{_INT})?$")
+    return hms + F.coalesce(ms.try_cast("bigint"), F.lit(0))
 
 
 def _sentinel(col: Column) -> Column:
     text = strip(col)
-    four = f"^{_INT}:{_INT}:{_INT}:{_INT}$"
-    parts = F.split(text, ":")
-    h, m, s = (to_number(F.get(parts, F.lit(i))) for i in range(3))
+    hms, ms = _numbers(text, f"^{_INT}:{_INT}:{_INT}:{_INT}$")
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+    h, m, s = (to_number(F.split_part(text, F.lit(":"), F.lit(i))) for i in (1, 2, 3))
     value = (
-        F.when(text.rlike(four), (_hms(text, four) + _group(text, four, 4)).cast("double"))
-        .when(F.size(parts) == 3, h * 3600000 + m * 60000 + s * 1000)
-        .when(F.size(parts) == 1, to_number(text) * 1000)
+        F.when(colons == 3, (hms + ms.try_cast("bigint")).cast("double"))
+        .when(colons == 2, h * 3600000 + m * 60000 + s * 1000)
+        .when(colons == 0, to_number(text) * 1000)
     )
     return F.coalesce(value, F.lit(-1000.0))
 
 
 def _ranged(col: Column) -> Column:
-    pattern = r"^(\d{1,2}):(\d{1,2}):(\d{1,2}):(\d{1,6})$"
-    h, m, s = (_group(col, pattern, i) for i in (1, 2, 3))
-    micros = F.rpad(F.regexp_extract(col, pattern, 4), 6, "0").try_cast("bigint")
-    ok = col.rlike(pattern) & (h < 24) & (m < 60) & (s < 60)
-    return F.when(ok, _hms(col, pattern) + micros / 1000)
+    hms, ms = _numbers(col, r"^([01]?\d|2[0-3]):([0-5]?\d):([0-5]?\d):(\d{1,6})$")
+    return hms + F.rpad(ms, 6, "0").try_cast("bigint") / 1000
 
 
 def clock_ms(col: Column, dialect: str = "strict") -> Column:
@@ -75,13 +62,13 @@ def clock_ms(col: Column, dialect: str = "strict") -> Column:
     if dialect == "strict":
         return _strict(col)
     if dialect == "loose":
-        return _unpadded(F.regexp_replace(strip(col), r"\.", ":"), ":")
+        return _unpadded(col)
     if dialect == "sentinel":
         return _sentinel(col)
     if dialect == "ranged":
         return _ranged(col)
     if dialect == "dotted":
-        return _unpadded(F.regexp_replace(col, ":", "."), r"\.")
+        return _unpadded(col)
     raise ValueError(f"unknown clock dialect: {dialect}")
 
 

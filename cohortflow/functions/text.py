@@ -21,21 +21,31 @@ GENDERS = ("Male", "Female", "Other")
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+# every character that counts as white space at the ends of a text
+_BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+           "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.trim(col, F.lit(_BLANKS))
 
 
 def file_part(col: Column) -> Column:
     """Last component of a path written with slashes, backslashes or a drive."""
-    tail = F.regexp_replace(col, r"^[A-Za-z]:|[\\/]+$", "")
-    return F.regexp_extract(tail, r"([^\\/]*)$", 1)
+    bare = F.when(F.substring(col, 2, 1) == ":", F.substr(col, F.lit(3))).otherwise(col)
+    return F.substring_index(F.rtrim(F.translate(bare, "\\", "/"), F.lit("/")), "/", -1)
+
+
+def drop_suffix(name: Column) -> Column:
+    """File name without its last suffix; a leading dot starts no suffix."""
+    return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
 
 
 def clean_stem(col: Column) -> Column:
     """Recording id of a file name: no quotes, folder or last suffix, lower case."""
     bare = F.trim(F.trim(strip(col), F.lit('"')), F.lit("'"))
-    return F.lower(F.regexp_replace(file_part(bare), r"(?<=.)\.[^.]+$", ""))
+    return F.lower(drop_suffix(file_part(bare)))
 
 
 def normalize_class(col: Column) -> Column:

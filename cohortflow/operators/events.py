@@ -36,12 +36,16 @@ def ffill_file_start(events: DataFrame) -> DataFrame:
 
 def event_times(events: DataFrame, dialect: str = "strict", rollover: bool = True) -> DataFrame:
     """Add ``start_ms, end_ms, dur_ms``, from the file start or as plain clocks."""
-    start, end = (clock_ms(F.col(c), dialect) for c in ("start_time", "end_time"))
+    # clocks are columns of their own, so each text is read once
+    timed = events.withColumns({
+        "start_ms": clock_ms(F.col("start_time"), dialect),
+        "end_ms": clock_ms(F.col("end_time"), dialect)})
     if rollover:
-        origin = clock_ms(F.col("file_start"))
-        start, end = ms_since_start(origin, start), ms_since_start(origin, end)
-    return (events.withColumn("start_ms", start).withColumn("end_ms", end)
-            .withColumn("dur_ms", F.col("end_ms") - F.col("start_ms")))
+        origin = F.col("_origin")
+        timed = timed.withColumn("_origin", clock_ms(F.col("file_start"))).withColumns({
+            "start_ms": ms_since_start(origin, F.col("start_ms")),
+            "end_ms": ms_since_start(origin, F.col("end_ms"))}).drop("_origin")
+    return timed.withColumn("dur_ms", F.col("end_ms") - F.col("start_ms"))
 
 
 def prepare_events(events: DataFrame, vocabulary: str = "audit",

@@ -19,15 +19,14 @@ def comment_key(col: Column, rule: str = "audit", null_text: str = "nan") -> Col
     if rule == "full":
         bare = F.trim(F.trim(strip(text), F.lit('"')), F.lit("'"))
         return F.lower(F.regexp_replace(bare, r"\s+", " "))
-    key = F.translate(F.lower(strip(text)), "\\'\"", "   ")
+    key = F.lower(text)
     if rule == "clinical":
-        key = F.regexp_replace(F.regexp_replace(key, ":", ""), r"[_/]+", " ")
-        key = F.regexp_replace(key, r"[^a-z0-9 ]+", "")
-    elif rule == "audit":
-        key = F.regexp_replace(F.regexp_replace(key, r"[_/]+", " "), r"[^a-z0-9&. ]+", " ")
-    else:
-        raise ValueError(f"unknown comment rule: {rule}")
-    return strip(F.regexp_replace(key, r"\s+", " "))
+        # quotes, back-slashes, underscores and slashes part words, the rest joins them
+        key = F.regexp_replace(F.translate(key, "\\'\"_/", "     "), r"[^a-z0-9 ]+", "")
+        return F.trim(F.regexp_replace(key, " +", " "))
+    if rule == "audit":
+        return F.trim(F.regexp_replace(key, r"[^a-z0-9&.]+", " "))
+    raise ValueError(f"unknown comment rule: {rule}")
 
 
 def inline_table(spark: SparkSession, rows, schema: str) -> DataFrame:

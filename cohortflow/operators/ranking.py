@@ -13,10 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _same(left: DataFrame, right: DataFrame, names) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def hash_order(tag: Column, key: Column) -> Column:
     """Fixed pseudo-random order: the md5 text of ``tag|key``."""
     return F.md5(F.concat_ws("|", tag, key))
@@ -76,17 +72,13 @@ def carry_forward(df: DataFrame, key: str, order: str, column: str,
     block is carried over by a window that sees one row per block.
     """
     rows = df.withColumn("_block", F.floor(F.col(order) / block_rows))
-    known = rows.where(F.col(column).isNotNull())
-    tails = known.groupBy(key, "_block").agg(F.max_by(column, order).alias("_tail"))
-    # blocks without any value take the latest tail before them
-    blocks = rows.groupBy(key, "_block").agg(F.lit(1).alias("_one")).drop("_one")
+    # last value of every block, null for a block without any
+    tails = rows.groupBy(key, "_block").agg(F.max_by(
+        column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_tail"))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
-    carried = (
-        blocks.join(tails, [key, "_block"], "left")
-        .withColumn("_carry", F.last("_tail", ignorenulls=True).over(earlier))
-        .select(key, "_block", "_carry")
-    )
+    carried = tails.select(
+        key, "_block", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
     inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0)
     return (
@@ -98,10 +90,11 @@ def carry_forward(df: DataFrame, key: str, order: str, column: str,
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      width: float, count: str = "n") -> DataFrame:
+                      width: float, count: str = "n", moments: bool = False) -> DataFrame:
     """Exact percentiles (linear interpolation) of ``value`` per key.
 
-    ``probs`` maps output names to probabilities; ``count`` names the row count.
+    ``probs`` maps output names to probabilities; ``count`` names the row count;
+    ``moments`` adds ``mean, std, min, max`` (sample deviation).
     Rows are first reduced to a histogram of distinct values. Buckets of
     ``width`` locate the wanted ranks, and only the buckets that hold one are
     looked into, so neither a hot key nor a repeated value meets in one task.
@@ -116,6 +109,19 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     by = [*keys, "_b"]
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*keys)
+    v = F.col("_v").cast("double")
+    # values count from their bucket's edge, which keeps the squares small
+    off = v - F.col("_b") * F.lit(float(width))
+    sums = [F.sum("_c").alias("_bc")]
+    if moments:
+        sums += [F.sum(off * F.col("_c")).alias("_s1"), F.sum(off * off * F.col("_c")).alias("_s2"),
+                 F.min(v).alias("_min"), F.max(v).alias("_max")]
+    buckets = (
+        hist.groupBy(*by).agg(*sums)
+        .withColumn("_end", F.sum("_bc").over(upto))
+        .withColumn("_n", F.sum("_bc").over(everything))
+        .withColumn("_start", F.col("_end") - F.col("_bc"))
+    )
 
     def ranks(n: Column) -> Column:
         spots = []
@@ -125,28 +131,22 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         return F.array_distinct(F.array(*spots))
 
     wanted = (
-        hist.groupBy(*by).agg(F.sum("_c").alias("_bc"))
-        .withColumn("_end", F.sum("_bc").over(upto))
-        .withColumn("_n", F.sum("_bc").over(everything))
-        .withColumn("_start", F.col("_end") - F.col("_bc"))
-        .withColumn("_ranks", F.filter(
+        buckets.withColumn("_ranks", F.filter(
             ranks(F.col("_n")), lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
         .where(F.size("_ranks") > 0)
-        .select(*by, "_start", "_n", "_ranks")
+        .select(*[F.col(c).alias(f"_w_{c}") for c in by], "_start", "_n", "_ranks")
     )
     within = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    right = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in by], "_start", "_n", "_ranks")
     on = reduce(lambda a, b: a & b,
                 [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by])
     picked = (
-        hist.join(right, on).drop(*[f"_w_{c}" for c in by])
+        hist.join(wanted, on).drop(*[f"_w_{c}" for c in by])
         .withColumn("_e", F.col("_start") + F.sum("_c").over(within))
         .withColumn("_s", F.col("_e") - F.col("_c"))
         .withColumn("_rank", F.explode(F.filter(
             "_ranks", lambda r: (r >= F.col("_s")) & (r < F.col("_e")))))
     )
     at = {p: (F.col("_n") - 1) * F.lit(float(p)) for p in ps}
-    v = F.col("_v").cast("double")
     aggs = [F.max("_n").alias("_n")]
     for i, p in enumerate(ps):
         aggs.append(F.max(F.when(F.col("_rank") == F.floor(at[p]), v)).alias(f"_lo{i}"))
@@ -157,4 +157,29 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         share = at[p] - F.floor(at[p])
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         cols.append((low + (high - low) * share).alias(name))
-    return out.select(*keys, *cols)
+    out = out.select(*keys, *cols)
+    if not moments:
+        return out
+    return _beside(out, _moments(buckets, keys, float(width)), keys)
+
+
+def _moments(buckets: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Mean, sample deviation and extremes from sums about the bucket edges."""
+    edge = F.col("_b") * F.lit(width)
+    whole = Window.partitionBy(*keys)
+    mean = F.sum(F.col("_s1") + edge * F.col("_bc")).over(whole) / F.col("_n")
+    gap = edge - F.col("_mean")
+    square = F.col("_s2") + 2 * gap * F.col("_s1") + gap * gap * F.col("_bc")
+    return buckets.withColumn("_mean", mean).groupBy(*keys).agg(
+        F.max("_mean").alias("mean"),
+        F.sqrt(F.try_divide(F.sum(square), F.max("_n") - 1)).alias("std"),
+        F.min("_min").alias("min"), F.max("_max").alias("max"))
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join two results that have one row per key, null keys included."""
+    if not keys:
+        return left.join(right)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])

@@ -42,12 +42,7 @@ def _zero_filled(dim: DataFrame, counts: DataFrame, keys, columns) -> DataFrame:
 def duration_stats(events: DataFrame, keys: list[str], value: str = "dur_ms",
                    width: float = 1000) -> DataFrame:
     """Count, mean, median, sample deviation, min and max per key."""
-    middle = exact_percentiles(events, keys, value, {"median": 0.5}, width).drop("n")
-    sums = events.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        F.max(value).alias("max"))
-    return sums.join(middle, keys) if keys else sums.join(middle)
+    return exact_percentiles(events, keys, value, {"median": 0.5}, width, moments=True)
 
 
 def duration_percentiles(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,14 +114,8 @@ def describe_numeric(df: DataFrame, columns: dict[str, float]) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
         for c in columns])).alias("x")).select("x.*")
     long = long.where(F.col("value").isNotNull())
-    spread = exact_percentiles(long, ["column"], "value",
-                               {"p25": 0.25, "p50": 0.5, "p75": 0.75},
-                               width=max(columns.values())).drop("n")
-    base = long.groupBy("column").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    return base.join(spread, "column")
+    return exact_percentiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75},
+                             width=max(columns.values()), moments=True)
 
 
 def equal_width_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

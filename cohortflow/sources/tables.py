@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import clean_stem, to_number
+from ..functions.text import clean_stem, drop_suffix, file_part, to_number
 
 # Column names of the inputs.
 MANIFEST_COLUMNS = ("File Name", "Date", "Gender", "Age (Years)", "Age (Months)",
@@ -111,9 +111,8 @@ def parse_annotations(files: DataFrame, columns: dict[str, str] = ANNOTATION_COL
 
 def clean_id(path: Column) -> Column:
     """File stem as written: the id of an annotation or recording file."""
-    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
-    return F.regexp_replace(F.url_decode(F.regexp_replace(name, r"\+", "%2B")),
-                            r"(?<=.)\.[^.]+$", "")
+    name = F.url_decode(F.replace(file_part(path), F.lit("+"), F.lit("%2B")))
+    return drop_suffix(name)
 
 
 def read_annotations(spark: SparkSession, root: str,
@@ -135,10 +134,11 @@ def annotation_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def describe_paths(files: DataFrame) -> DataFrame:
     """Stem, extension, modality and the split and class named by the folders."""
-    folder = F.lower(F.regexp_replace("path", r"/[^/]*$", ""))
-    parts = F.split(folder, "/")
-    has = lambda *names: F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names]))
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    name = F.substring_index("path", "/", -1)
+    folder = F.lower(F.substring("path", F.lit(1), F.length("path") - F.length(name)))
+    has = lambda *names: F.lit(False) if not names else (
+        folder.contains(f"/{names[0]}/") | has(*names[1:]))
+    ext = F.when(name.contains("."), F.lower(F.substring_index(name, ".", -1))).otherwise("")
     modality = F.lit(None).cast("string")
     for name, kinds in EXTENSIONS.items():
         modality = F.when(ext.isin(*kinds), name).otherwise(modality)
