@@ -30,19 +30,32 @@ def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    A later filter on a plain projected column is pushed below it and repeats
+    its expression; it is not pushed below a generator. The generator here
+    yields exactly one row, so it only binds the values.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)).alias(*columns))
+
+
 def ffill_file_start(events: DataFrame) -> DataFrame:
     return carry_forward(events, "file_id", "row_no", "file_start")
 
 
 def event_times(events: DataFrame, dialect: str = "strict", rollover: bool = True) -> DataFrame:
     """Add ``start_ms, end_ms, dur_ms``, from the file start or as plain clocks."""
-    # clocks are columns of their own, so each text is read once
-    timed = events.withColumns({
-        "start_ms": clock_ms(F.col("start_time"), dialect),
-        "end_ms": clock_ms(F.col("end_time"), dialect)})
+    clocks = {"start_ms": clock_ms(F.col("start_time"), dialect),
+              "end_ms": clock_ms(F.col("end_time"), dialect)}
+    if rollover:
+        clocks["_origin"] = clock_ms(F.col("file_start"))
+    timed = computed_once(events, clocks)
     if rollover:
         origin = F.col("_origin")
-        timed = timed.withColumn("_origin", clock_ms(F.col("file_start"))).withColumns({
+        timed = timed.withColumns({
             "start_ms": ms_since_start(origin, F.col("start_ms")),
             "end_ms": ms_since_start(origin, F.col("end_ms"))}).drop("_origin")
     return timed.withColumn("dur_ms", F.col("end_ms") - F.col("start_ms"))

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.channels import SCALP_19_MIXED
+from ..session import configure
 
 COMMENTS = (
     "Delta waves", "  delta  slow waves ", "Theta_Waves", "SPIKE AND WAVE", "sharp waves",
@@ -179,7 +180,7 @@ class Hosts:
     """Host views over one data folder; every call builds a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir = configure(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
