@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import channels as ch, taxonomy
+from ..functions.binding import computed_once
 from ..functions.clock import clock_ms, ms_since_start
 from ..functions.text import strip
 from . import labels
@@ -30,18 +31,6 @@ def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
-def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are evaluated once per row.
-
-    A later filter on a plain projected column is pushed below it and repeats
-    its expression; it is not pushed below a generator. The generator here
-    yields exactly one row, so it only binds the values.
-    """
-    row = F.struct(*[c.alias(n) for n, c in columns.items()])
-    kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline(F.array(row)).alias(*columns))
-
-
 def ffill_file_start(events: DataFrame) -> DataFrame:
     return carry_forward(events, "file_id", "row_no", "file_start")
 

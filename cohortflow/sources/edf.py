@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.binding import computed_once
 from ..functions.channels import EXPECTED_22, norm_channel, set_difference, vocabulary
 from ..operators.signal import frames_to_signals
 from .tables import clean_id
@@ -62,7 +63,7 @@ def parse_headers(files: DataFrame, keep_content: bool = False) -> DataFrame:
     ns = _number(_field(252, 4), _INT, "int")
     head = files.withColumn("_ns_text", _field(252, 4)).withColumn(
         "_ns", F.when(ns.between(1, 4096), ns))
-    raw = head.withColumns({
+    raw = computed_once(head, {
         "_hb": _field(184, 8), "_nr": _field(236, 8), "_rd": _field(244, 8),
         **{f"_{n}": F.when(F.col("_ns").isNotNull(), _per_signal(n))
            for n in ("label", "unit", "phys_min", "phys_max", "dig_min", "dig_max", "samples")},
@@ -183,6 +184,8 @@ def _decode(tmax: float | None, chunk_sec: float | None):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
+                if not row["signals"]:
+                    continue
                 spr = np.asarray(row["spr"], dtype=np.int64)
                 width, records = int(spr.sum()), int(row["n_records"])
                 begin = int(row["header_bytes"])
@@ -223,7 +226,8 @@ def decode_frames(files: DataFrame, tmax: float | None = None,
     One frame per file, or per ``chunk_sec`` seconds. Channels of one file may
     have different rates, so every channel has its own ``start``.
     """
-    rows = parse_headers(files, keep_content=True).where("status = 'Valid'")
+    # damaged files have no signals and are passed over by the kernel
+    rows = parse_headers(files, keep_content=True)
     return rows.select(
         "file_id", "header_bytes", "n_records", "record_sec", "spr", "signals", "content",
     ).mapInArrow(_decode(tmax, chunk_sec), _FRAMES)
