@@ -7,6 +7,9 @@ records of a file into channel arrays.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -149,9 +152,8 @@ def _heads(batches):
     for batch in batches:
         heads = []
         for path in batch.column("path").to_pylist():
-            store, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1)
-                                                 if path.startswith("file:/")
-                                                 and not path.startswith("file:///") else path)
+            store, name = fs.FileSystem.from_uri(quote(
+                re.sub(r"^file:/+", "file:///", path), safe="/:@"))
             with store.open_input_stream(name) as f:
                 head = f.read(256)
                 count = head[252:256].strip()

@@ -111,8 +111,7 @@ def parse_annotations(files: DataFrame, columns: dict[str, str] = ANNOTATION_COL
 
 def clean_id(path: Column) -> Column:
     """File stem as written: the id of an annotation or recording file."""
-    name = F.url_decode(F.replace(file_part(path), F.lit("+"), F.lit("%2B")))
-    return drop_suffix(name)
+    return drop_suffix(file_part(path))
 
 
 def read_annotations(spark: SparkSession, root: str,
@@ -121,7 +120,9 @@ def read_annotations(spark: SparkSession, root: str,
     files = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
         .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
+        # unlike other paths this one is URL-encoded
+        .select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+                .alias("path"), "value")
     )
     return parse_annotations(files, columns)
 
