@@ -75,20 +75,22 @@ def score_cumulation(scores: DataFrame, resolution: float = 1e-3) -> DataFrame:
                         {"pos": "tp", "neg": "fp"}, descending=True)
 
 
-def _totals(scores: DataFrame) -> DataFrame:
-    return F.broadcast(scores.agg(count_if(F.col("y") == 1).alias("_p"),
-                                  count_if(F.col("y") == 0).alias("_n")))
+def _totals(scores: DataFrame) -> Column:
+    return scores.agg(F.struct(count_if(F.col("y") == 1).alias("p"),
+                               count_if(F.col("y") == 0).alias("n"))).scalar()
 
 
 def roc_curve(scores: DataFrame) -> DataFrame:
-    return score_cumulation(scores).join(_totals(scores)).select(
-        "score", F.try_divide(F.col("fp").cast("double"), F.col("_n")).alias("fpr"),
-        F.try_divide(F.col("tp").cast("double"), F.col("_p")).alias("tpr"))
+    total = _totals(scores)
+    return score_cumulation(scores).select(
+        "score", F.try_divide(F.col("fp").cast("double"), total["n"]).alias("fpr"),
+        F.try_divide(F.col("tp").cast("double"), total["p"]).alias("tpr"))
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:
     """Exact area: a tied score counts half against the positives it is tied with."""
     areas = score_cumulation(scores).agg(
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("_area"))
-    return areas.join(_totals(scores)).select(
-        F.try_divide(F.col("_area").cast("double"), F.col("_p") * F.col("_n")).alias("auc"))
+    total = _totals(scores)
+    return areas.select(
+        F.try_divide(F.col("_area").cast("double"), total["p"] * total["n"]).alias("auc"))

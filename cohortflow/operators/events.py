@@ -239,8 +239,7 @@ def check_table(checked: DataFrame, empty_files: DataFrame | None = None) -> Dat
         *[zero(c).alias(c) for c in ("ok_time", "ok_channels", "ok_label")])
     if empty_files is None:
         return table.withColumn("empty_files", F.lit(0).cast("bigint"))
-    empties = empty_files.agg(F.count("*").alias("empty_files"))
-    return table.join(empties)  # one row beside one row
+    return table.withColumn("empty_files", empty_files.agg(F.count("*")).scalar())
 
 
 def first_failures(checked: DataFrame, n: int = 10) -> DataFrame:

@@ -48,6 +48,7 @@ def label_lookup(spark: SparkSession, vocabulary: str = "audit",
 
     ``audit``, ``clinical`` and ``identity`` are shipped. ``full`` takes
     ``table(variant, canonical)``; its variants go through the full text rule.
+    A variant under two labels takes the first of them by name.
     """
     if table is not None:
         rule = "audit" if vocabulary == "identity" else vocabulary

@@ -319,9 +319,10 @@ def release_verdict(summary: DataFrame, record_check: DataFrame, duplicates: Dat
     totals = summary.agg(
         F.sum("missing_stems").alias("missing"), F.sum("extra_stems").alias("extra"),
         F.bool_and(F.col("status") == "OK").alias("folders_ok"))
-    counts = record_check.agg(F.bool_and(F.col("status") == "OK").alias("counts_ok"))
-    groups = duplicates.select(*_ITEM).distinct().agg(F.count("*").alias("duplicates"))
-    one = totals.join(counts).join(groups)  # single rows
+    counts = record_check.agg(F.bool_and(F.col("status") == "OK"))
+    groups = duplicates.select(*_ITEM).distinct().agg(F.count("*"))
+    one = totals.withColumn("counts_ok", counts.scalar()).withColumn(
+        "duplicates", groups.scalar())
     good = ((F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("duplicates") == 0)
             & F.col("folders_ok") & F.col("counts_ok"))
     return one.withColumn("verdict", F.when(good, "SUCCESS").otherwise("CHECK REQUIRED"))

@@ -179,7 +179,8 @@ def _moments(buckets: DataFrame, keys: list[str], width: float) -> DataFrame:
 def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Join two results that have one row per key, null keys included."""
     if not keys:
-        return left.join(right)
+        row = right.select(F.struct(*right.columns)).scalar()
+        return left.select("*", *[row[c].alias(c) for c in right.columns])
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])

@@ -108,14 +108,14 @@ def _periodograms(window: str):
     def run(batches):
         for batch in batches:
             column = batch.column("samples")
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
             rates = batch.column("sfreq").to_numpy(zero_copy_only=False)
             sizes = batch.column("nperseg").to_numpy(zero_copy_only=False)
             hops = batch.column("hop").to_numpy(zero_copy_only=False)
             powers, counts, begin = [], [], 0
             for end, fs, n, hop in zip(ends, rates, sizes, hops):
-                x, begin = flat[begin:end], end
+                x, begin = flat[begin:end].astype(np.float64), end
                 if n < 1 or len(x) < n:
                     powers.append(None)
                     counts.append(0)

@@ -114,7 +114,8 @@ def stratum_rank_sample(rows: DataFrame, plan: DataFrame, count: str,
                         purpose: str = "select") -> DataFrame:
     """The first ``count`` rows of every stratum in hash order."""
     ranked = stratum_rank(rows, purpose, "_rank")
-    wanted = plan.select("label", "stratum", F.col(count).alias("_take"))
+    # one row per stratum: a few thousand at most, see ``bounded_allocate``
+    wanted = F.broadcast(plan.select("label", "stratum", F.col(count).alias("_take")))
     return (ranked.join(wanted, ["label", "stratum"])
             .where(F.col("_rank") <= F.col("_take")).drop("_rank", "_take"))
 
@@ -126,7 +127,7 @@ def select_records(valid: DataFrame, plan: DataFrame) -> DataFrame:
 def assign_split(selected: DataFrame, plan: DataFrame) -> DataFrame:
     """Evaluation for the planned number of rows of each stratum, else train."""
     ranked = stratum_rank(selected, "eval", "_rank")
-    wanted = plan.select("label", "stratum", "n_evaluation")
+    wanted = F.broadcast(plan.select("label", "stratum", "n_evaluation"))
     return (
         ranked.join(wanted, ["label", "stratum"])
         .withColumn("split", F.when(F.col("_rank") <= F.col("n_evaluation"), "evaluation")
@@ -155,9 +156,6 @@ def random_split(rows: DataFrame, key: str, test_share: float = 0.3, seed: int =
     hashed = rows.withColumn("_hash", hash_order(F.lit(str(seed)), F.col(key).cast("string")))
     ranked = rank_within(hashed, [], [F.col("_hash"), F.col(key)],
                          F.substring("_hash", 1, 3), "_rank")
-    size = F.broadcast(rows.agg(F.ceil(F.lit(test_share) * F.count("*")).alias("_test")))
-    return (
-        ranked.join(size)
-        .withColumn("part", F.when(F.col("_rank") <= F.col("_test"), "test").otherwise("train"))
-        .drop("_hash", "_rank", "_test")
-    )
+    size = rows.agg(F.ceil(F.lit(test_share) * F.count("*"))).scalar()
+    return ranked.withColumn("part", F.when(F.col("_rank") <= size, "test").otherwise(
+        "train")).drop("_hash", "_rank")

@@ -76,14 +76,10 @@ def family_counts(events: DataFrame, family: str = "family") -> DataFrame:
 def label_share(events: DataFrame, label: str, order) -> DataFrame:
     """Count and per cent of all events, in table order, 0 for absent labels."""
     counts = events.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
+    total = counts.agg(F.sum("n")).scalar()
     dim = label_dim(events.sparkSession, order)
-    return (
-        _zero_filled(dim, counts, ["label"], ["n"]).join(F.broadcast(total))
-        .withColumn("pct", F.coalesce(F.try_divide(100.0 * F.col("n"), F.col("_total")),
-                                      F.lit(0.0)))
-        .drop("_total")
-    )
+    return _zero_filled(dim, counts, ["label"], ["n"]).withColumn(
+        "pct", F.coalesce(F.try_divide(100.0 * F.col("n"), total), F.lit(0.0)))
 
 
 def events_per_file(events: DataFrame, *extra: str) -> DataFrame:
@@ -128,8 +124,9 @@ def equal_width_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
         F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
     width = (F.col("high") - F.col("low")) / bins
-    placed = values.join(F.broadcast(bounds)).select(
-        F.least(F.floor((F.col("x") - F.col("low")) / width), F.lit(bins - 1))
+    edges = bounds.select(F.struct("low", width.alias("width"))).scalar()
+    placed = values.select(
+        F.least(F.floor((F.col("x") - edges["low"]) / edges["width"]), F.lit(bins - 1))
         .cast("int").alias("bin"))
     counts = placed.groupBy("bin").agg(F.count("*").alias("n"))
     grid = bounds.select("low", "high", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
@@ -214,9 +211,8 @@ def labels_per_file(masks: DataFrame) -> DataFrame:
     """Recordings by number of distinct labels, with the share of the total."""
     sizes = masks.groupBy(F.bit_count("mask").cast("bigint").alias("num_labels")).agg(
         F.count("*").alias("n_files"))
-    total = sizes.agg(F.sum("n_files").alias("_total"))
-    return sizes.join(F.broadcast(total)).withColumn(
-        "pct", 100.0 * F.col("n_files") / F.col("_total")).drop("_total")
+    total = sizes.agg(F.sum("n_files")).scalar()
+    return sizes.withColumn("pct", 100.0 * F.col("n_files") / total)
 
 
 def single_vs_multiple(masks: DataFrame) -> DataFrame:
@@ -311,13 +307,11 @@ def demographics(people: DataFrame) -> DataFrame:
     sizes = people.where(F.col("gender").isin("male", "female")).groupBy("gender").agg(
         F.avg("age").alias("mean_age"), F.stddev_samp("age").alias("std_age"),
         count_if(labelled).alias("n"), count_if(F.col("label") == "normal").alias("_normal"))
-    total = sizes.agg(F.sum("n").alias("_all"))
+    total = sizes.agg(F.sum("n")).scalar()
     normal = F.try_divide(100.0 * F.col("_normal"), F.col("n"))
     return (
-        sizes.join(F.broadcast(total))
-        .withColumn("pct_normal", normal).withColumn("pct_abnormal", 100 - normal)
-        .withColumn("pct_of_all", F.try_divide(100.0 * F.col("n"), F.col("_all")))
-        .drop("_normal", "_all")
+        sizes.withColumn("pct_normal", normal).withColumn("pct_abnormal", 100 - normal)
+        .withColumn("pct_of_all", F.try_divide(100.0 * F.col("n"), total)).drop("_normal")
     )
 
 

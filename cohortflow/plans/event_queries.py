@@ -76,7 +76,7 @@ def _(h):
     return linkage.missing_annotations(h.people(), h.events()).select("file_id", "row_no")
 
 
-@query("file_summary", f"""WITH {o.TABLE} SELECT file_id, split,
+@query("annotation_file_summary", f"""WITH {o.TABLE} SELECT file_id, split,
     round(max(edf_ms) / 60000, 6) AS edf_duration_min, count(*) AS n_events,
     count(*) FILTER (valid_time) AS n_valid_events,
     round(count(*) FILTER (valid_time) / greatest(max(edf_ms) / 60000, 1e-9), 6) AS event_density_per_min,
@@ -97,8 +97,7 @@ def _(h):
                    "edf_duration_min", "event_density_per_min")
 
 
-# the same summary under the name of its aggregation
-@query("annotation_file_summary", f"""WITH {o.EVENTS}, s AS (SELECT DISTINCT file_id FROM h_events)
+@query("annotation_file_status", f"""WITH {o.EVENTS}, s AS (SELECT DISTINCT file_id FROM h_events)
     SELECT s.file_id, CASE WHEN h.file_id IS NULL THEN 'csv_without_readable_edf' ELSE 'ok' END
       AS status, count(e.event_id) AS n_events
     FROM s JOIN h_events e ON e.file_id = s.file_id LEFT JOIN h_headers h ON h.file_id = s.file_id

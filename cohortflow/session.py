@@ -8,6 +8,8 @@ OPTIONS = {
     # HotSpot does not compile methods above 8000 bytes: let Spark split the
     # expressions of such a stage instead of running one interpreted method
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # rows of samples are large: bound the batches that go to Python by size
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
