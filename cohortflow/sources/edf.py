@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.binding import computed_once
 from ..functions.channels import EXPECTED_22, norm_channel, set_difference, vocabulary
 from ..operators.signal import frames_to_signals
-from .tables import clean_id
+from .tables import clean_id, describe_paths
 
 # Width in bytes of the per-signal header fields, in file order.
 SIGNAL_FIELDS = (("label", 16), ("transducer", 80), ("unit", 8), ("phys_min", 8),
@@ -169,9 +169,13 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_edf_headers(spark: SparkSession, root: str) -> DataFrame:
-    """Headers of all recordings below a folder; samples are not read."""
+    """Headers of all recordings below a folder; samples are not read.
+
+    Split and class come from the folders a recording lies in.
+    """
     listing = _files(spark, root).select("path", "length")
-    return parse_headers(listing.mapInArrow(_heads, "path string, length bigint, content binary"))
+    heads = listing.mapInArrow(_heads, "path string, length bigint, content binary")
+    return describe_paths(parse_headers(heads)).drop("stem", "ext", "modality")
 
 
 _FRAMES = ("file_id string, chunk bigint, signals array<struct<channel: string, sfreq: double, "

@@ -131,6 +131,11 @@ def annotation_ids(spark: SparkSession, root: str) -> DataFrame:
     return scan_files(spark, root, ("csv",)).select(clean_id(F.col("path")).alias("file_id"))
 
 
+def empty_annotations(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ids of annotation files without any row."""
+    return ids.join(rows.select("file_id"), "file_id", "left_anti")
+
+
 # ---- inventories --------------------------------------------------------
 
 def describe_paths(files: DataFrame) -> DataFrame:

@@ -163,6 +163,39 @@ def test_annotations(spark, tmp_path):
     assert got == [(9000, 11500), (15000, 16000), (None, 19000)]
 
 
+def test_validation_from_disk(spark, release, tmp_path):
+    """Events of one readable recording, one without a recording, one empty file."""
+    head = "File Start,Start time,End time,Channel names,Comment\n"
+    texts = {
+        "mh_2020_1": head + "10:00:00:000,10:00:00:500,10:00:01:500,FP1 XX,spike\n"
+                            ",10:00:01:000,10:00:09:000,FP1,delta\n,bad,10:00:01:000,FP1,delta\n",
+        "lost": head + "10:00:00:000,10:00:01:000,10:00:02:000,FP1,spike\n",
+        "mh_2020_3": head,
+    }
+    for name, content in texts.items():
+        (tmp_path / f"{name}.csv").write_text(content)
+    root, _ = release
+    rows = tables.read_annotations(spark, str(tmp_path))
+    headers = edf.read_edf_headers(spark, str(root))
+    result = pipelines.validate_annotations(rows, headers)
+    summary = result.files.collect()
+    assert len(summary) == 1
+    s = summary[0]
+    assert (s.file_id, s.split, s.n_events, s.n_valid_events) == ("mh_2020_1", "train", 3, 1)
+    assert (s.n_rows_invalid_time, s.n_rows_invalid_channels) == (2, 1)
+    assert s.median_ms == 1000.0
+    assert {(r.label, r.n) for r in result.label_counts.collect()} == {("Spike and Wave", 1)}
+    reasons = {r.invalid_reason for r in ev.invalid_rows(result.events).collect()}
+    assert reasons == {"end_exceeds_edf", "parse_failed_or_missing_time"}
+    assert [r.excess_ms for r in result.excess.collect()] == [9000 - 2995]
+    ids = tables.annotation_ids(spark, str(tmp_path))
+    empty = tables.empty_annotations(ids, rows)
+    check = ev.check_table(ev.checked_events(rows), empty).first()
+    assert (check.annotated_files, check.empty_files, check.total_events) == (2, 1, 4)
+    mapping = {r.file_id: (r.has_readable_edf, r.has_csv) for r in result.mapping.collect()}
+    assert mapping["lost"] == (False, True) and mapping["volts"] == (True, False)
+
+
 def test_manifest(spark, tmp_path):
     path = tmp_path / "recordings.tsv"
     path.write_text(" File Name \tDate\tGender\tAge (Years)\tAge (Months)\tLabel (Normal/Abnormal)\n"
