@@ -218,7 +218,9 @@ def _split(h):
     return pipelines.build_split(h.manifest(), inventory(h), _SMALL)
 
 
-@query("build_split_selected")
+@query("build_split_selected", f"""WITH RECURSIVE {o.LINKED}, {o.split_plan('valid', _SMALL)}
+    SELECT a.stem, a.split, a.label, v.source, v.year, v.edf_path, v.annotation_csv_path, v.report_path
+    FROM assigned a JOIN valid v ON v.stem = a.stem""")
 def _(h):
     return _split(h).selected.select("stem", "split", "label", "source", "year", "edf_path",
                                      "annotation_csv_path", "report_path")

@@ -272,3 +272,56 @@ psd{tag} AS (SELECT file_id, channel, sfreq, n, bin, bin * sfreq / n AS freq,
           avg((re * re + im * im) / (sfreq * ww)
               * CASE WHEN bin = 0 OR bin * 2 = n THEN 1 ELSE 2 END) AS power
         FROM dft{tag} GROUP BY ALL)"""
+
+
+def allocation(name: str, source: str) -> str:
+    """Rounds of whole shares as a recursive query.
+
+    ``source`` holds ``label, key, w, lo, hi, total``; the result ``name`` holds
+    ``label, key, given``.
+    """
+    each = "range(1, len(ks) + 1)"
+    return f"""{name}_r AS (
+  SELECT label, list(key ORDER BY key) AS ks, list(w::double ORDER BY key) AS ws,
+    list(hi::bigint ORDER BY key) AS his, list(lo::bigint ORDER BY key) AS got,
+    (any_value(total) - sum(lo))::bigint AS rest FROM {source} GROUP BY label
+  UNION ALL
+  SELECT label, ks, ws, his, [got[i] + more[i] for i in {each}], rest - list_sum(more)::bigint
+  FROM (SELECT *, CASE WHEN list_sum(whole) > 0 THEN whole ELSE
+      [CASE WHEN list_contains(lucky, i) THEN 1 ELSE 0 END for i in {each}] END AS more
+    FROM (SELECT *, [x.i for x in list_reverse_sort([{{'f': ideal[i] - floor(ideal[i]), 'w': ws[i],
+          'k': ks[i], 'i': i}} for i in {each} if ideal[i] IS NOT NULL])[1:rest]] AS lucky
+      FROM (SELECT *, [CASE WHEN ideal[i] IS NULL THEN 0
+            ELSE least(floor(ideal[i])::bigint, his[i] - got[i]) END for i in {each}] AS whole
+        FROM (SELECT *, [CASE WHEN got[i] < his[i] THEN rest * ws[i] / mass END for i in {each}]
+              AS ideal
+          FROM (SELECT *, list_sum([CASE WHEN got[i] < his[i] THEN ws[i] ELSE 0 END
+                for i in {each}]) AS mass FROM {name}_r WHERE rest > 0) a WHERE mass > 0) b) c) d) e),
+{name} AS (SELECT label, unnest(ks) AS key, unnest(got) AS given FROM {name}_r WHERE rest = 0)"""
+
+
+def split_plan(rows: str, targets: dict[tuple[str, str], int]) -> str:
+    """Selected and assigned rows of ``rows(label, stratum, stem)``."""
+    tg = values([(c, targets[("train", c)], targets[("evaluation", c)])
+                 for c in sorted({c for _, c in targets})])
+    order = "ORDER BY md5('{}_' || r.label || '_' || r.stratum || '|' || r.stem), r.stem"
+    return f"""tgt(label, tr, evl) AS ({tg}),
+cnt AS (SELECT label, stratum AS key, count(*) AS n FROM {rows} GROUP BY ALL),
+src1 AS (SELECT c.label, c.key, n AS w, CASE WHEN tr + evl >= count(*) OVER (PARTITION BY c.label)
+    THEN 1 ELSE 0 END AS lo, n AS hi, tr + evl AS total FROM cnt c JOIN tgt USING (label)),
+{allocation('sel', 'src1')},
+strict AS (SELECT s.label, s.key, given AS w, CASE WHEN given >= 2 THEN 1 ELSE 0 END AS lo,
+    CASE WHEN given >= 2 THEN given - 1 ELSE 0 END AS hi, evl AS total
+    FROM sel s JOIN tgt USING (label) WHERE given > 0),
+fits AS (SELECT label, sum(lo) <= any_value(total) AND sum(hi) >= any_value(total) AS ok
+    FROM strict GROUP BY label),
+src2 AS (SELECT s.label, s.key, w, CASE WHEN ok THEN lo ELSE 0 END AS lo,
+    CASE WHEN ok THEN hi ELSE w END AS hi, total FROM strict s JOIN fits USING (label)),
+{allocation('evs', 'src2')},
+chosen AS (SELECT label, stratum, stem FROM (SELECT r.*, s.given, row_number() OVER (
+    PARTITION BY r.label, r.stratum {order.format('select')}) AS k FROM {rows} r
+    JOIN sel s ON s.label = r.label AND s.key = r.stratum) x WHERE k <= given),
+assigned AS (SELECT label, stratum, stem, CASE WHEN k <= given THEN 'evaluation' ELSE 'train' END
+    AS split FROM (SELECT r.*, e.given, row_number() OVER (PARTITION BY r.label, r.stratum
+    {order.format('eval')}) AS k FROM chosen r
+    JOIN evs e ON e.label = r.label AND e.key = r.stratum) x)"""

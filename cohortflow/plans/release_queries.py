@@ -323,7 +323,13 @@ def _plan(h):
     return rows, sp.plan_split(sp.stratum_counts(rows), COUNTS)
 
 
-@query("bounded_allocate")
+_ROWS = f"""{o.MANIFEST}, rws AS (SELECT *, label || '_' || source || '_' || year AS stratum FROM rel)"""
+_HALF = """src AS (SELECT label, stratum AS key, count(*) AS w, 1 AS lo, count(*) AS hi,
+    sum(count(*)) OVER (PARTITION BY label) // 2 AS total FROM rws GROUP BY label, stratum)"""
+
+
+@query("bounded_allocate", f"""WITH RECURSIVE {_ROWS}, {_HALF}, {o.allocation('al', 'src')}
+    SELECT label, key, given AS allocated FROM al""")
 def _(h):
     """Half of every class, at least one recording per stratum."""
     counts = sp.stratum_counts(_all_rows(h))
@@ -334,13 +340,15 @@ def _(h):
     return sp.bounded_allocate(groups)
 
 
-@query("select_records")
+@query("select_records", f"""WITH RECURSIVE {_ROWS}, {o.split_plan('rws', COUNTS)}
+    SELECT stem, label, stratum FROM chosen""")
 def _(h):
     rows, plan = _plan(h)
     return sp.select_records(rows, plan).select("stem", "label", "stratum")
 
 
-@query("assign_split")
+@query("assign_split", f"""WITH RECURSIVE {_ROWS}, {o.split_plan('rws', COUNTS)}
+    SELECT stem, label, stratum, split FROM assigned""")
 def _(h):
     rows, plan = _plan(h)
     return sp.assign_split(sp.select_records(rows, plan), plan).select(
