@@ -177,7 +177,7 @@ _EDF = f"""{o.SIGNAL}, f AS (SELECT file_id, sfreq, count(*) AS k,
     CASE WHEN status = 'Valid' THEN n_records * 64 END AS n_samples,
     CASE WHEN status = 'Valid' AND n_records > 0 THEN round((n_records * 64 - 1) / sfreq, 6) END
       AS duration_sec,
-    CASE WHEN status = 'Valid' THEN 19 END AS n_channels FROM e""")
+    CASE WHEN status = 'Valid' THEN 19::bigint END AS n_channels FROM e""")
 def _(h):
     heads = edf.parse_headers(edf_files(h))
     return rounded(heads.select(
