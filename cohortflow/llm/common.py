@@ -90,3 +90,45 @@ def text_bytes(column):
     import pyarrow as pa
 
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as far as asked for."""
+
+    def __init__(self, base: int):
+        import numpy as np
+
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def grow(self, n: int):
+        import numpy as np
+
+        while len(self.up) < n:
+            with np.errstate(over="ignore"):
+                size = len(self.up)
+                self.up = np.concatenate((self.up, self.up * np.uint64(pow(self.base, size, 1 << 64))))
+                self.down = np.concatenate((self.down, self.down * np.uint64(pow(self.inverse, size, 1 << 64))))
+        return self
+
+
+def mix(x):
+    """Finalizer of a 64-bit hash (an array of numpy.uint64)."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def blocks(texts, limit: int = BLOCK_BYTES):
+    """Slices of a list of byte strings with about ``limit`` bytes each; a longer text is one slice."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > limit:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t) + 1
+    if begin < len(texts):
+        yield begin, len(texts)
