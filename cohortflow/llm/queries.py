@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, mixing, packing, secrets, sharding, simhash, toxicity
+from . import chat, embedding_dedup, exact_dedup, mixing, packing, secrets, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,20 @@ def op1(spark, sf_dir):
     return chat.chat_digests(chat.format_chats(turns))
 
 
+@query("op2_embedding_near_dedup", """
+    WITH RECURSIVE valid AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+    unit AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM valid),
+    link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b
+      ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) AND list_inner_product(a.u, b.u) >= 0.9),
+    reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+    SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links,
+      least(vec_id, (SELECT min(b) FROM reach WHERE a = vec_id)) AS component_id,
+      vec_id = least(vec_id, (SELECT min(b) FROM reach WHERE a = vec_id)) AS kept FROM embeddings""")
+def op2(spark, sf_dir):
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_secret_scan")
 def op3(spark, sf_dir):
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
@@ -147,6 +161,12 @@ def op8(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op9_suffix_dedup")
+def op9(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query("op10_exact_dedup", f"""
     SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
       doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import Powers, blocks, identity, mix, text_bytes
+from .common import Powers, blocks, mix, text_bytes
 
 #: Words are counted in this many hashed cells, which bounds the models at any corpus size.
 CELLS = 1 << 21
@@ -142,9 +142,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on) of every row.
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
+    """All rows and columns of ``docs`` with _held_out, _score (0 to 1) and _predicted (1 from ``threshold`` on).
 
     Only the text is scored; null counts as empty, and texts without words get the score of
     empty evidence. Labels are read for rows that are not held out; of several labels of an
@@ -193,18 +193,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
         ratio, (centre, scale, weights) = table.value
         for batch in batches:
-            texts, out = text_bytes(batch.column(1)), []
+            texts, out = text_bytes(batch.column(batch.num_columns - 1)), []
             for a, b in blocks(texts):
                 doc, cell = word_cells(texts[a:b])
                 z = (features(doc, ratio[cell].astype(float), b - a) - centre) / scale
                 out.append(1 / (1 + np.exp(-np.clip(weights[0] + z @ weights[1:], -30, 30))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.concatenate(out) if out else np.zeros(0))] +
-                [batch.column(i) for i in (3, 4, 5)], names=["doc_id", "held_out", "score", "_id", "_null_id", "_text_key"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, held_out(F.col(id_col)).alias("held_out"),
-                       *(c.alias(k) for k, c in identity(id_col, text_col).items()))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("_id", T.LongType()),
-                           T.StructField("_null_id", T.BooleanType()), T.StructField("_text_key", T.LongType())])
-    return rows.mapInArrow(scores, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+                batch.columns[:-1] + [pa.array(np.concatenate(out) if out else np.zeros(0))], names=names)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_held_out", T.BooleanType()), T.StructField("_score", T.DoubleType())])
+    names = schema.names
+    rows = docs.select("*", held_out(F.col(id_col)).alias("_held_out"), text.alias("_text"))
+    return rows.mapInArrow(scores, schema).withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row, see ``score_toxicity``."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic"))
+    return score_toxicity(own, marks, threshold=threshold).select(
+        "doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
