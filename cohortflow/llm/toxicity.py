@@ -38,13 +38,22 @@ def word_cells(texts: list[bytes]):
     return np.searchsorted(firsts, starts, side="right") - 1, (mix(codes) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def _squeezed(batches):
+    """(doc_id, text) with the text compressed: of the rows joined to labels most are not labelled."""
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([zlib.compress(t, 1) for t in text_bytes(batch.column(1))], pa.binary())], names=["doc_id", "text"])
+
+
 def _counted(batches, labelled: bool):
     """Documents of each class that have a word of each cell, per range, compressed; sums over the whole task."""
     import pyarrow as pa
 
     sums = np.zeros((2 if labelled else 1, CELLS), np.int32)
     for batch in batches:
-        texts = text_bytes(batch.column(0))
+        texts = [zlib.decompress(t) for t in batch.column(0).to_pylist()] if labelled else text_bytes(batch.column(0))
         kinds = batch.column(1).to_numpy() if labelled else np.zeros(len(texts), np.int64)
         for a, b in blocks(texts):
             doc, cell = word_cells(texts[a:b])
@@ -71,7 +80,9 @@ def _summed(batches):
 
 
 def document_counts(rows: DataFrame, labelled: bool) -> np.ndarray:
-    """(classes, CELLS) documents by class and cell of ``rows`` (text, class), all rows counted.
+    """(classes, CELLS) documents by class and cell of ``rows``, all rows counted.
+
+    ``rows`` has (text), or where labelled (compressed text, class).
 
     Each task sends its sums by range; ranges are added up in parallel. The driver gets the
     total of CELLS numbers a class, whatever the size of the corpus.
@@ -160,9 +171,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("long").alias("class")).where(
         F.col("class").isin(0, 1)).groupBy("doc_id").agg(F.max("class").alias("class"))
     marks = marks.where(~held_out(F.col("doc_id")))
-    train = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).where(~held_out(F.col("doc_id")))
+    train = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).where(
+        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     shared = document_counts(docs.select(text), labelled=False)[0]
-    counts = document_counts(train.join(marks, "doc_id").select("text", "class"), labelled=True)
+    squeezed = lambda df: df.mapInArrow(_squeezed, "doc_id long, text binary").join(marks, "doc_id").select("text", "class")
+    counts = document_counts(squeezed(train), labelled=True)
     models = Models(counts, shared)
 
     n = marks.count()
@@ -173,15 +186,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         import pyarrow as pa
 
         for batch in batches:
-            texts, kinds = text_bytes(batch.column(0)), batch.column(1).to_numpy()
-            rows = []
-            for i, t in enumerate(texts):
-                doc, cell = word_cells([t])
+            kinds, rows = batch.column(1).to_numpy(), []
+            for i, t in enumerate(batch.column(0).to_pylist()):
+                doc, cell = word_cells([zlib.decompress(t)])
                 rows.append(features(doc, given.value.ratio(cell, int(kinds[i])), 1)[0])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r.tolist() for r in rows], pa.list_(pa.float64())), batch.column(1)], names=["x", "class"])
 
-    got = train.where(chosen).join(marks, "doc_id").select("text", "class").mapInArrow(
+    got = squeezed(train.where(chosen)).mapInArrow(
         examples, "x array<double>, class long").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
     order = np.lexsort(x.T)
