@@ -161,6 +161,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     empty evidence. Labels are read for rows that are not held out; of several labels of an
     id the largest counts, null labels count as none. Repeated rows and null ids are scored.
 
+    Labels grow with the corpus: they are joined by a shuffle at every size, never broadcast.
     Class counts cover all training rows and backoff counts all rows; each is one pass with
     sums inside the task. The calibration is fitted on about CALIBRATION_ROWS training rows,
     scored without their own counts. Scoring is one pass without a shuffle; tasks get one
@@ -174,7 +175,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     train = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).where(
         F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     shared = document_counts(docs.select(text), labelled=False)[0]
-    squeezed = lambda df: df.mapInArrow(_squeezed, "doc_id long, text binary").join(marks, "doc_id").select("text", "class")
+    squeezed = lambda df: df.mapInArrow(_squeezed, "doc_id long, text binary").join(
+        marks.hint("merge"), "doc_id").select("text", "class")
     counts = document_counts(squeezed(train), labelled=True)
     models = Models(counts, shared)
 
