@@ -55,7 +55,7 @@ def not_in(channels: Column, known: Column) -> Column:
     return F.filter(channels, lambda c: ~F.array_contains(known, c))
 
 
-def set_difference(left: Column, right: Column, limit: int = 300) -> tuple[Column, Column]:
-    """Count and sorted, blank-joined, ``limit``-character text of ``left - right``."""
+def set_difference(left: Column, right: Column) -> tuple[Column, Column]:
+    """Count and sorted, blank-joined text of ``left - right``."""
     diff = F.array_sort(F.array_except(left, right))
-    return F.size(diff).cast("bigint"), F.substring(F.array_join(diff, " "), 1, limit)
+    return F.size(diff).cast("bigint"), F.array_join(diff, " ")

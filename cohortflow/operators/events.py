@@ -134,21 +134,20 @@ def invalid_rows(table: DataFrame) -> DataFrame:
     return table.where(~F.col("valid_time")).withColumn("invalid_reason", invalid_reason())
 
 
-def dominant_reason(table: DataFrame) -> DataFrame:
-    """Most frequent reason per file; a tie goes to the smaller name."""
+def reason_report(table: DataFrame) -> DataFrame:
+    """Invalid rows per file beside the dominant reason, in one aggregation."""
     counts = invalid_rows(table).groupBy("file_id", "invalid_reason").agg(
         F.count("*").alias("n"))
     # at most one row per reason and file from here on
     first = F.struct(-F.col("n"), F.col("invalid_reason"))
     return counts.groupBy("file_id").agg(
-        F.min_by("invalid_reason", first).alias("dominant_reason"),
+        F.sum("n").alias("n_invalid_rows"), F.min_by("invalid_reason", first).alias("dominant_reason"),
         F.max("n").alias("dominant_count"))
 
 
-def reason_report(table: DataFrame) -> DataFrame:
-    """Invalid rows per file beside the dominant reason."""
-    total = invalid_rows(table).groupBy("file_id").agg(F.count("*").alias("n_invalid_rows"))
-    return total.join(dominant_reason(table), "file_id", "left")
+def dominant_reason(table: DataFrame) -> DataFrame:
+    """Most frequent reason per file; a tie goes to the smaller name."""
+    return reason_report(table).drop("n_invalid_rows")
 
 
 def file_summary(table: DataFrame) -> DataFrame:

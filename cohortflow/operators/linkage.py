@@ -72,7 +72,11 @@ def duplicate_files(files: DataFrame, keys=("split", "label", "modality", "stem"
     keys = list(keys)
     groups = files.groupBy(*keys).agg(
         F.count("*").alias("duplicate_count"), F.min("path").alias("first_path"))
-    return files.join(groups.where("duplicate_count > 1"), keys)
+    many = groups.where("duplicate_count > 1").withColumnsRenamed({k: f"_{k}" for k in keys})
+    # files outside release folders have null keys, which form groups too
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    rest = [c for c in files.columns if c not in keys]
+    return files.join(many, same).select(*keys, *rest, "duplicate_count", "first_path")
 
 
 def duplicate_pairs(files: DataFrame, keys=("label", "modality", "stem")) -> DataFrame:

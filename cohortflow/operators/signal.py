@@ -284,8 +284,15 @@ def channel_quality(psd: DataFrame) -> DataFrame:
 
 def channel_deviation(signals: DataFrame) -> DataFrame:
     """Population deviation of every channel; merged over chunks and tasks."""
-    x = signals.select("file_id", "channel", F.explode("samples").alias("x"))
-    return x.groupBy("file_id", "channel").agg(F.stddev_pop("x").alias("std"))
+    total = lambda f: F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + f(x.cast("double")))
+    n = F.size("samples").cast("double")
+    chunk = signals.where(F.size("samples") > 0).select("file_id", "channel", "samples", (total(lambda x: x) / n).alias("_mean"))
+    chunk = chunk.select("file_id", "channel", n.alias("_n"), "_mean", total(
+        lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))).alias("_dev"))
+    weight = lambda c: F.sum(F.col("_n") * c)
+    return chunk.groupBy("file_id", "channel").agg(F.sqrt(F.greatest(F.lit(0.0), (
+        F.sum("_dev") + weight(F.col("_mean") * F.col("_mean")) - weight(F.col("_mean")) * weight(F.col("_mean")) / F.sum("_n"))
+        / F.sum("_n"))).alias("std"))
 
 
 def flat_channels(signals: DataFrame, limit: float = 1.0) -> DataFrame:

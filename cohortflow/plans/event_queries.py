@@ -49,19 +49,28 @@ def _(h):
         "event_id", "file_id", "split", "edf_ms", "status")
 
 
+_RENAMED = """SELECT CASE WHEN user_id % 9 = 4 THEN concat(file_id, '-lost') ELSE file_id END AS file_id FROM h_events"""
+
+
+def _renamed(h):
+    """Events of which some belong to recordings that no header names."""
+    return h.events().withColumn("file_id", F.when(
+        F.col("user_id") % 9 == 4, F.concat("file_id", F.lit("-lost"))).otherwise(F.col("file_id")))
+
+
 @query("edf_csv_mapping", f"""WITH {o.EVENTS} SELECT coalesce(h.file_id, e.file_id) AS file_id,
     h.file_id IS NOT NULL AS has_readable_edf, e.file_id IS NOT NULL AS has_csv
-    FROM (SELECT DISTINCT file_id FROM h_events WHERE user_id % 9 <> 4) e
+    FROM (SELECT DISTINCT * FROM ({_RENAMED})) e
     FULL JOIN h_headers h ON e.file_id = h.file_id""")
 def _(h):
-    return linkage.edf_csv_mapping(h.headers(), h.events().where("user_id % 9 <> 4"))
+    return linkage.edf_csv_mapping(h.headers(), _renamed(h))
 
 
 @query("id_union", f"""WITH {o.EVENTS} SELECT file_id FROM h_headers UNION
-    SELECT file_id FROM h_events WHERE user_id % 9 <> 4""")
+    {_RENAMED}""")
 def _(h):
     return h.headers().select("file_id").union(
-        h.events().where("user_id % 9 <> 4").select("file_id")).distinct()
+        _renamed(h).select("file_id")).distinct()
 
 
 @query("semi_processed", f"""WITH {o.EVENTS} SELECT event_id FROM h_events

@@ -7,9 +7,6 @@ or customer is combined map-side or split by adaptive execution.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -73,7 +70,7 @@ FROM (SELECT *, (fs_ms + rel_ms) % 86400000 AS s_ms,
 """
 
 HEADERS_SQL = f"""
-SELECT DISTINCT {_FILE_ID} AS file_id,
+SELECT DISTINCT concat({_FILE_ID}, CASE WHEN user_id % 13 = 12 THEN '-lost' ELSE '' END) AS file_id,
   CASE WHEN user_id % 5 = 0 THEN 'eval' ELSE 'train' END AS split,
   CASE WHEN user_id % 3 = 0 THEN 'abnormal' ELSE 'normal' END AS label,
   CASE WHEN user_id % 17 = 0 THEN 256.0E0 ELSE 200.0E0 END AS sfreq,
@@ -81,7 +78,7 @@ SELECT DISTINCT {_FILE_ID} AS file_id,
   CASE WHEN user_id % 11 = 0 THEN 'FP1 FP2 F3 O1'
        WHEN user_id % 7 = 0 THEN 'FP1 FP2 F7 F3 FZ F4 F8 T3 C3 CZ C4 T4 T5 P3 PZ P4 T6 O1 O2'
        ELSE 'FP1 FP2 F3 F4 O1 O2 A1 C3 C4' END AS channel_text
-FROM {{events}} WHERE user_id % 13 <> 12
+FROM {{events}}
 """
 
 _STEM = """CASE {k} % 3
@@ -222,10 +219,3 @@ class Hosts:
         return s.groupBy("file_id", "channel", "sfreq", "n_samples").agg(
             joined.alias("samples")).withColumn("start", F.lit(0).cast("bigint")).withColumn(
             "chunk", F.lit(0).cast("bigint"))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder of the cluster, or a local one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(
-        tempfile.gettempdir(), "cohortflow-scratch")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

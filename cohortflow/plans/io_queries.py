@@ -12,7 +12,7 @@ from ..functions.text import strip
 from ..operators import integrity, linkage as ln, signal as sg
 from ..sources import edf, tables
 from . import oracle_sql as o, pipelines
-from .hosts import scratch
+from ..shared import shared_path
 from .registry import query, rounded
 from .release_queries import COUNTS, _contents, inventory
 
@@ -24,7 +24,7 @@ _RENAMED = """SELECT file_name AS "File Name", cast(row_no AS varchar) AS "Date"
 
 
 def _manifest_file(h):
-    path = scratch(h.spark, "manifest")
+    path = shared_path(h.spark, "manifest")
     m = h.manifest().select(
         F.col("file_name").alias("File Name"), F.col("row_no").cast("string").alias(" Date "),
         F.coalesce("gender", F.lit("")).alias("Gender"), F.col("age_years").alias("Age (Years)"),
@@ -43,7 +43,7 @@ def _(h):
 @query("read_labels", f"""WITH {o.PEOPLE} SELECT file_id AS file_name, lower(upper(label)) AS label, age,
     gender, minutes AS "edf_length (minutes)" FROM h_people""")
 def _(h):
-    path = scratch(h.spark, "labels")
+    path = shared_path(h.spark, "labels")
     h.people().select(
         F.col("file_id").alias("file_name "), F.upper("label").alias("label"), "age", "gender",
         F.col("minutes").alias(" edf_length (minutes)")).write.option("header", True).csv(path)
@@ -52,7 +52,7 @@ def _(h):
 
 @query("write_table", f"""WITH {o.PEOPLE} SELECT row_no, gender, label, minutes FROM h_people""")
 def _(h):
-    path = scratch(h.spark, "table")
+    path = shared_path(h.spark, "table")
     tables.write_table(h.people().select("row_no", "gender", "label", "minutes"), path)
     return h.spark.read.option("sep", "\t").option("header", True).schema(
         "row_no bigint, gender string, label string, minutes string").csv(path)
@@ -63,7 +63,7 @@ def _(h):
    text, doc_id FROM {documents}''')}) SELECT sha256(text) || '  ' || path AS value FROM d
    WHERE doc_id % 10 <> 3""")
 def _(h):
-    path = scratch(h.spark, "sha256")
+    path = shared_path(h.spark, "sha256")
     tables.write_checksum_text(integrity.sha256_manifest(_contents(h)), path)
     return h.spark.read.text(path)
 

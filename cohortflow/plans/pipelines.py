@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
+from ..functions.channels import SCALP_19, norm_channel, vocabulary
 from ..operators import events, linkage, signal, split, statistics
 from ..sources import edf, tables
 
@@ -76,8 +77,12 @@ def validate_annotations(rows: DataFrame, headers: DataFrame) -> ValidationResul
 
 
 def assess_signals(spark: SparkSession, root: str, chunk_sec: float | None = None) -> DataFrame:
-    """Recordings below a folder to one row of quality measures each."""
-    frames = edf.read_edf_frames(spark, root, chunk_sec=chunk_sec)
+    """Recordings below a folder to one row of quality measures each.
+
+    Only the 19 standard channels count: references and ECG are left out before any measure.
+    """
+    frames = edf.read_edf_frames(spark, root, chunk_sec=chunk_sec).withColumn("signals", F.filter(
+        "signals", lambda s: F.array_contains(vocabulary(SCALP_19), norm_channel(s["channel"]))))
     signals = signal.frames_to_signals(frames)
     labels = tables.scan_files(spark, root, ("edf",)).select(
         tables.clean_id(F.col("path")).alias("file_id"),

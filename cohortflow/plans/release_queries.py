@@ -475,7 +475,8 @@ def _(h):
     FROM d WHERE doc_id % 10 <> 3""")
 def _(h):
     docs = _contents(h)
-    changed = docs.where("doc_id % 11 <> 2").withColumn("content", F.when(
+    changed = docs.withColumn("path", F.when(
+        F.col("doc_id") % 11 == 2, F.concat("path", F.lit(".moved"))).otherwise(F.col("path"))).withColumn("content", F.when(
         F.col("doc_id") % 7 == 1, F.concat("content", F.encode(F.lit("!"), "UTF-8"))
     ).otherwise(F.col("content")))
     return integrity.verify_checksums(integrity.sha256_manifest(docs), changed)

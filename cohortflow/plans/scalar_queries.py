@@ -238,8 +238,8 @@ _INVENTORY = f"""h AS (SELECT *, string_split(channel_text, ' ') AS c FROM h_hea
 
 @query("channel_inventory", f"""WITH {o.EVENTS}, {_INVENTORY} SELECT file_id,
     len(c)::bigint AS n_channels, len(miss)::bigint AS missing_expected,
-    len(extra)::bigint AS extra_channels, array_to_string(miss, ' ')[1:300] AS missing_list,
-    array_to_string(extra, ' ')[1:300] AS extra_list FROM d""")
+    len(extra)::bigint AS extra_channels, array_to_string(miss, ' ') AS missing_list,
+    array_to_string(extra, ' ') AS extra_list FROM d""")
 def _(h):
     return edf.channel_inventory(h.headers()).select(
         "file_id", "n_channels", "missing_expected", "extra_channels", "missing_list",

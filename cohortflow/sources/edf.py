@@ -65,7 +65,7 @@ def parse_headers(files: DataFrame, keep_content: bool = False) -> DataFrame:
     """
     ns = _number(_field(252, 4), _INT, "int")
     head = files.withColumn("_ns_text", _field(252, 4)).withColumn(
-        "_ns", F.when(ns.between(1, 4096), ns))
+        "_ns", F.when(ns.between(1, 9999), ns))
     raw = computed_once(head, {
         "_hb": _field(184, 8), "_nr": _field(236, 8), "_rd": _field(244, 8),
         **{f"_{n}": F.when(F.col("_ns").isNotNull(), _per_signal(n))

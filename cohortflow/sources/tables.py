@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.binding import computed_once
 from ..functions.text import clean_stem, drop_suffix, file_part, to_number
 
 # Column names of the inputs.
@@ -32,7 +33,7 @@ def require_columns(df: DataFrame, required) -> DataFrame:
 def _text_csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
     # quotes inside a cell are doubled
     df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, escape='"')
-    return df.toDF(*[c.strip() for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
 def read_manifest(spark: SparkSession, path: str, required=MANIFEST_COLUMNS) -> DataFrame:
@@ -91,9 +92,10 @@ def parse_annotations(files: DataFrame, columns: dict[str, str] = ANNOTATION_COL
     own file, so all files are read by one job. ``row_no`` is the position in
     the file. Records are split outside quotes only.
     """
-    lines = F.regexp_extract_all(F.regexp_replace("value", "\r\n?", "\n"), F.lit(_RECORD), F.lit(0))
+    lines = F.regexp_extract_all(F.regexp_replace(
+        F.regexp_replace("value", "^\ufeff", ""), "\r\n?", "\n"), F.lit(_RECORD), F.lit(0))
     split = files.select("path", lines.alias("_lines")).where(F.size("_lines") > 0)
-    head = F.transform(csv_cells(F.get("_lines", F.lit(0))), lambda c: F.trim(c))
+    head = F.transform(csv_cells(F.get("_lines", F.lit(0))), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
     rows = split.select(
         "path", head.alias("_head"),
         F.posexplode(F.slice("_lines", F.lit(2), F.size("_lines"))).alias("row_no", "_line"))
@@ -148,7 +150,7 @@ def describe_paths(files: DataFrame) -> DataFrame:
     modality = F.lit(None).cast("string")
     for name, kinds in EXTENSIONS.items():
         modality = F.when(ext.isin(*kinds), name).otherwise(modality)
-    return files.withColumns({
+    return computed_once(files, {
         "stem": clean_stem(F.col("path")), "ext": ext, "modality": modality,
         "split": F.when(has("train"), "train").when(
             has("evaluation", "eval", "test"), "evaluation"),
