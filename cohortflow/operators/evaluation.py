@@ -63,16 +63,22 @@ def accuracy_by_input_length(pred: DataFrame, length: str = "input_len") -> Data
         _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def score_cumulation(scores: DataFrame, resolution: float = 1e-3) -> DataFrame:
+def score_cumulation(scores: DataFrame, parts: int = 256) -> DataFrame:
     """True and false positives at or above every distinct score.
 
-    Ties are merged first; ``resolution`` only sets how the running sums are
-    split over tasks.
+    Ties are merged first. Running sums are split over tasks at about ``parts`` quantiles of
+    the distinct scores, so neither crowded nor unbounded scores matter; the result does not
+    depend on them. Null scores come last, NaN first.
     """
     points = scores.groupBy("score").agg(
         count_if(F.col("y") == 1).alias("pos"), count_if(F.col("y") == 0).alias("neg"))
-    return running_sums(points, [], "score", F.floor(F.col("score") / resolution),
-                        {"pos": "tp", "neg": "fp"}, descending=True)
+    edges = points.agg(F.percentile_approx(
+        F.col("score").cast("double"), [i / parts for i in range(1, parts)], 8 * parts)).scalar()
+    below = F.size(F.filter("_edges", lambda e: e <= F.col("score")))
+    placed = points.withColumn("_edges", edges).withColumn(
+        "_at", F.when(F.col("score").isNotNull(), below)).drop("_edges")
+    return running_sums(placed, [], "score", F.col("_at"),
+                        {"pos": "tp", "neg": "fp"}, descending=True).drop("_at")
 
 
 def _totals(scores: DataFrame) -> Column:

@@ -346,13 +346,21 @@ def integrity_table(recordings: DataFrame, files: DataFrame, sfreq: float = 200.
                     vocab=SCALP_19) -> DataFrame:
     """Counts and per cents of readable, complete and linked recordings.
 
-    ``recordings``: ``file_id, label, readable, channels, sfreq, n_samples``;
-    ``files``: ``stem, modality`` of reports and annotations.
+    ``recordings``: ``file_id, split, label, readable, channels, sfreq, n_samples``;
+    ``files``: ``stem, split, label, modality`` of reports and annotations. A report counts
+    in the recording's own split and class only; splits and classes may be spelled as in
+    folder names. A null split or class has no reports.
     """
-    links = files.groupBy(F.col("stem").alias("file_id")).agg(
-        F.max(F.col("modality") == "report").alias("_rep"),
-        F.max(F.col("modality") == "annotation").alias("_csv"))
-    r = recordings.join(links, "file_id", "left")
+    stem = lambda c: F.lower(c).alias("_stem")
+    own = [F.when(F.lower("split") == "train", "train").when(
+        F.lower("split").isin("evaluation", "eval", "test"), "evaluation").alias("_split"),
+        F.lower("label").alias("_class")]
+    reports = files.where("modality = 'report'").select(stem("stem"), *own).distinct().withColumn(
+        "_rep", F.lit(True))
+    annotations = files.where("modality = 'annotation'").select(stem("stem")).distinct().withColumn(
+        "_csv", F.lit(True))
+    r = recordings.select("*", stem("file_id"), *own).join(
+        reports, ["_stem", "_split", "_class"], "left").join(annotations, "_stem", "left")
     ok = F.col("readable")
     abnormal = F.lower("label") == "abnormal"
     full_set = F.size(F.array_except(vocabulary(vocab), "channels")) == 0

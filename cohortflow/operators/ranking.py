@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+#: Distinct values of a bucket that are looked through at once, about.
+PART_VALUES = 65536
 
 
 def hash_order(tag: Column, key: Column) -> Column:
@@ -18,6 +21,17 @@ def hash_order(tag: Column, key: Column) -> Column:
     return F.md5(F.concat_ws("|", tag, key))
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` that also matches null keys; keys that are never null join plainly."""
+    nullable = [k for k in keys if left.schema[k].nullable]
+    if not nullable:
+        return left.join(right, keys)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) if k in nullable else F.col(k) == F.col(f"_r_{k}")
+          for k in keys]
+    return left.join(renamed, reduce(lambda a, b: a & b, on)).drop(*[f"_r_{k}" for k in keys])
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
                 out: str = "rank") -> DataFrame:
     """1-based row number per key; ``bucket`` must not decrease along ``order``."""
@@ -33,7 +47,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     inside = Window.partitionBy(*by).orderBy(*order)
     return (
         rows.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, by)
+        .transform(join_keys, offsets, by)
         .withColumn(out, (F.col("_offset") + F.col("_inside")).cast("bigint"))
         .drop("_bucket", "_inside", "_offset")
     )
@@ -58,7 +72,7 @@ def running_sums(df: DataFrame, keys: list[str], order: str, bucket: Column,
     offsets = totals.select(*by, *[
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
     inside = along(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, by)
+    joined = join_keys(rows, offsets, by)
     for column, name in sums.items():
         joined = joined.withColumn(name, F.sum(column).over(inside) + F.col(f"_o_{column}"))
     return joined.drop("_bucket", *[f"_o_{c}" for c in sums])
@@ -98,7 +112,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     Rows are first reduced to a histogram of distinct values. Buckets of
     ``width`` locate the wanted ranks, and only the buckets that hold one are
     looked into, so neither a hot key nor a repeated value meets in one task.
-    ``width`` affects the balance of the work, never the result.
+    ``width`` affects the balance of the work, never the result: a bucket of fractional
+    values, which may hold any number of them, is split once more between its extremes
+    into parts of about ``PART_VALUES`` values.
     """
     ps = list(probs.values())
     hist = (
@@ -113,6 +129,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     # values count from their bucket's edge, which keeps the squares small
     off = v - F.col("_b") * F.lit(float(width))
     sums = [F.sum("_c").alias("_bc")]
+    fractional = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
+    if fractional:
+        sums += [F.min(v).alias("_least"), F.max(v).alias("_most"), F.count("*").alias("_values")]
     if moments:
         sums += [F.sum(off * F.col("_c")).alias("_s1"), F.sum(off * off * F.col("_c")).alias("_s2"),
                  F.min(v).alias("_min"), F.max(v).alias("_max")]
@@ -130,12 +149,27 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
             spots += [F.floor(at), F.ceil(at)]
         return F.array_distinct(F.array(*spots))
 
-    wanted = (
-        buckets.withColumn("_ranks", F.filter(
-            ranks(F.col("_n")), lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
-        .where(F.size("_ranks") > 0)
-        .select(*[F.col(c).alias(f"_w_{c}") for c in by], "_start", "_n", "_ranks")
-    )
+    def holding(parts: DataFrame, *more: str) -> DataFrame:
+        """Parts that hold a wanted rank, with these ranks."""
+        return parts.withColumn("_ranks", F.filter(
+            ranks(F.col("_n")), lambda r: (r >= F.col("_start")) & (r < F.col("_end")))).where(
+            F.size("_ranks") > 0).select(*by, *more, "_start", "_n", "_ranks")
+
+    if fractional:
+        limits = ["_least", "_most", "_values"]
+        spot = (v - F.col("_least")) / (F.col("_most") - F.col("_least")) * F.ceil(
+            F.col("_values") / PART_VALUES)
+        hist = join_keys(hist, holding(buckets, *limits), by).withColumn(
+            "_p", F.when(F.col("_most") > F.col("_least"), F.floor(F.nanvl(spot, F.lit(0.0)))).otherwise(0))
+        upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        parts = hist.groupBy(*by, "_p", "_start", "_n").agg(F.sum("_c").alias("_pc")).withColumn(
+            "_end", F.col("_start") + F.sum("_pc").over(upto)).withColumn(
+            "_start", F.col("_end") - F.col("_pc"))
+        hist, by = hist.drop("_start", "_n", "_ranks", *limits), [*by, "_p"]
+        wanted = holding(parts)
+    else:
+        wanted = holding(buckets)
+    wanted = wanted.withColumnsRenamed({c: f"_w_{c}" for c in by})
     within = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     on = reduce(lambda a, b: a & b,
                 [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by])

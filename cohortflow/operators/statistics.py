@@ -8,7 +8,7 @@ from ..functions import taxonomy
 from ..functions.text import AGE_GROUPS, GENDERS, age_group, normalize_gender
 from .events import count_if
 from .labels import inline_table, label_dim, label_family
-from .ranking import exact_percentiles
+from .ranking import exact_percentiles, join_keys
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -144,11 +144,13 @@ def box_stats(df: DataFrame, keys: list[str], value: str, width: float) -> DataF
     box = exact_percentiles(df, keys, value, QUARTILES, width)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(value)
-    near = df.where(v.isNotNull()).join(box.select(*keys, "q1", "q3"), keys)
+    # repeated values say nothing new about the whiskers and go before the shuffle
+    near = join_keys(df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(*keys, value).distinct(),
+                     box.select(*keys, "q1", "q3"), keys)
     whiskers = near.groupBy(*keys).agg(
         F.min(F.when(v >= F.col("q1") - reach, v)).cast("double").alias("whisker_low"),
         F.max(F.when(v <= F.col("q3") + reach, v)).cast("double").alias("whisker_high"))
-    return box.join(whiskers, keys)
+    return join_keys(box, whiskers, keys)
 
 
 def metric_median_iqr(metrics: DataFrame, columns: dict[str, float]) -> DataFrame:
@@ -183,21 +185,33 @@ def run_mean_std(runs: DataFrame, model: str, score: str) -> DataFrame:
 
 
 # ---- labels per recording ----------------------------------------------
-# The labels of a vocabulary fit in the bits of one number, so what occurs in a
+# The labels of a vocabulary are bits of a few numbers, so what occurs in a
 # recording is a bitwise OR: a fixed-size, combinable state for any hot file.
 
+#: Labels in one number of a mask.
+WORD = 60
+
+
 def label_masks(events: DataFrame, label: str, order, keep_unknown: bool = False) -> DataFrame:
-    """``(file_id, mask)``: bit ``i`` is set when label ``i`` of ``order`` occurs."""
-    bit = F.lit(None).cast("bigint")
-    for i, name in reversed(list(enumerate(order))):
-        if keep_unknown or name != "Unknown":
-            bit = F.when(F.col(label) == name, F.lit(1 << i).cast("bigint")).otherwise(bit)
-    marked = events.select("file_id", bit.alias("_bit")).where(F.col("_bit").isNotNull())
-    return marked.groupBy("file_id").agg(F.bit_or("_bit").alias("mask"))
+    """``(file_id, mask)``: bit ``i % WORD`` of number ``i // WORD`` is set when label ``i`` of ``order`` occurs."""
+    known = [(name, i) for i, name in enumerate(order) if keep_unknown or name != "Unknown"]
+    if not known:
+        return events.select("file_id", F.array(F.lit(0).cast("bigint")).alias("mask")).limit(0)
+    place = F.create_map(*[F.lit(x) for pair in known for x in pair])
+    marked = events.select("file_id", F.try_element_at(place, F.col(label)).alias("_i")).where("_i IS NOT NULL")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_i") % WORD)
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("_i") / WORD) == w, bit)), F.lit(0).cast("bigint"))
+             for w in range(-(-len(order) // WORD))]
+    return marked.groupBy("file_id").agg(F.array(*words).alias("mask"))
 
 
 def has_label(mask: Column, index: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << index).cast("bigint")) != 0
+    return F.get(mask, F.lit(index // WORD)).bitwiseAND(F.lit(1 << index % WORD).cast("bigint")) != 0
+
+
+def n_labels(mask: Column | str) -> Column:
+    """Number of labels in a mask."""
+    return F.aggregate(mask, F.lit(0).cast("bigint"), lambda n, word: n + F.bit_count(word))
 
 
 def mask_labels(mask: Column, order) -> Column:
@@ -209,14 +223,14 @@ def mask_labels(mask: Column, order) -> Column:
 
 def labels_per_file(masks: DataFrame) -> DataFrame:
     """Recordings by number of distinct labels, with the share of the total."""
-    sizes = masks.groupBy(F.bit_count("mask").cast("bigint").alias("num_labels")).agg(
+    sizes = masks.groupBy(n_labels("mask").alias("num_labels")).agg(
         F.count("*").alias("n_files"))
     total = sizes.agg(F.sum("n_files")).scalar()
     return sizes.withColumn("pct", 100.0 * F.col("n_files") / total)
 
 
 def single_vs_multiple(masks: DataFrame) -> DataFrame:
-    many = F.bit_count("mask") > 1
+    many = n_labels("mask") > 1
     return masks.agg(
         F.count("*").alias("n_files"), count_if(~many).alias("single"),
         count_if(many).alias("multiple"),
@@ -226,7 +240,7 @@ def single_vs_multiple(masks: DataFrame) -> DataFrame:
 
 def label_sets(masks: DataFrame, order) -> DataFrame:
     """Sorted label list of every recording that has more than one."""
-    return masks.where(F.bit_count("mask") > 1).select(
+    return masks.where(n_labels("mask") > 1).select(
         "file_id", F.array_sort(mask_labels(F.col("mask"), order)).alias("labels"))
 
 
@@ -243,12 +257,12 @@ def label_cooccurrence(masks: DataFrame, order) -> DataFrame:
     ``2 ** len(order)`` sets, so pairs are formed on that small table only.
     """
     sets = masks.groupBy("mask").agg(F.count("*").alias("_files"))
-    pairs = F.array(*[
-        F.when(has_label(F.col("mask"), i) & has_label(F.col("mask"), j),
-               F.struct(F.lit(a).alias("label_a"), F.lit(b).alias("label_b")))
-        for i, a in enumerate(order) for j, b in enumerate(order) if i < j])
+    found = sets.select("_files", mask_labels(F.col("mask"), order).alias("_l"))
+    pairs = F.flatten(F.transform("_l", lambda a, i: F.transform(
+        F.slice("_l", i + 2, F.size("_l")),
+        lambda b: F.struct(a.alias("label_a"), b.alias("label_b")))))
     return (
-        sets.select("_files", F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("p"))
+        found.select("_files", F.explode(pairs).alias("p"))
         .groupBy("p.label_a", "p.label_b").agg(F.sum("_files").alias("n_files"))
     )
 

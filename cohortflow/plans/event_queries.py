@@ -483,7 +483,7 @@ def _(h):
     LEFT JOIN meta m ON m.file_id = p.file_id GROUP BY ALL""")
 def _(h):
     return st.presence_demographics(masks(h), h.people()).select(
-        "file_id", F.bit_count("mask").cast("bigint").alias("n_labels"), "age", "gender")
+        "file_id", st.n_labels("mask").alias("n_labels"), "age", "gender")
 
 
 _WHO = f"""{_MERGED}, {o.PEOPLE}, meta AS (SELECT DISTINCT file_id, age, gender FROM h_people),

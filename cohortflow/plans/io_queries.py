@@ -226,9 +226,10 @@ def _(h):
                                      "annotation_csv_path", "report_path")
 
 
-@query("build_split_summary", f"""WITH tg(split, label, target) AS ({o.values(
-    [(s, c, n) for (s, c), n in _SMALL.items()])}) SELECT split, label, target::bigint AS target,
-    target::bigint AS n FROM tg""")
+@query("build_split_summary", f"""WITH RECURSIVE {o.LINKED}, {o.split_plan('valid', _SMALL)},
+    tg(split, label, target) AS ({o.values([(s, c, n) for (s, c), n in _SMALL.items()])})
+    SELECT tg.split, tg.label, tg.target::bigint AS target, count(a.stem) AS n
+    FROM tg LEFT JOIN assigned a ON a.split = tg.split AND a.label = tg.label GROUP BY ALL""")
 def _(h):
     return _split(h).summary
 

@@ -272,12 +272,14 @@ def _(h):
         ln.recording_count_check(rows, COUNTS), ln.duplicate_files(files))
 
 
-@query("integrity_table", f"""WITH {o.EVENTS}, {o.FILES}, k AS (SELECT stem, bool_or(modality = 'report') AS rep,
-      bool_or(modality = 'annotation') AS csv FROM inv GROUP BY stem),
-    r AS (SELECT h.*, k.rep, k.csv, h.dur_ms % 300000 <> 0 AS readable,
+@query("integrity_table", f"""WITH {o.EVENTS}, {o.FILES}, 
+    r AS (SELECT h.*, h.dur_ms % 300000 <> 0 AS readable, EXISTS (SELECT 1 FROM inv i WHERE i.stem = h.file_id
+        AND i.modality = 'report' AND lower(i.label) = h.label
+        AND i.split = CASE h.split WHEN 'eval' THEN 'evaluation' ELSE h.split END) AS rep,
+      EXISTS (SELECT 1 FROM inv i WHERE i.stem = h.file_id AND i.modality = 'annotation') AS csv,
       len(list_intersect(string_split(channel_text, ' '),
         [{', '.join(o.quoted(c) for c in ln.SCALP_19)}])) = 19 AS full_set
-      FROM h_headers h LEFT JOIN k ON k.stem = h.file_id),
+      FROM h_headers h),
     t AS (SELECT count(*) AS a, count(*) FILTER (label = 'abnormal') AS b,
       count(*) FILTER (readable) AS c1, count(*) FILTER (readable AND full_set) AS c2,
       count(*) FILTER (readable AND sfreq = 200) AS c3,
@@ -355,9 +357,9 @@ def _(h):
         "stem", "label", "stratum", "split")
 
 
-# the counts of the assigned split are its targets, whatever rows are drawn
-@query("split_targets", f"""WITH tg(split, label, target) AS ({_TARGETS})
-    SELECT split, label, target::bigint AS target, target::bigint AS n FROM tg""")
+@query("split_targets", f"""WITH RECURSIVE {_ROWS}, {o.split_plan('rws', COUNTS)},
+    tg(split, label, target) AS ({_TARGETS}) SELECT tg.split, tg.label, tg.target::bigint AS target,
+    count(a.stem) AS n FROM tg LEFT JOIN assigned a ON a.split = tg.split AND a.label = tg.label GROUP BY ALL""")
 def _(h):
     rows, plan = _plan(h)
     return sp.check_targets(sp.assign_split(sp.select_records(rows, plan), plan), COUNTS)

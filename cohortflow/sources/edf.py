@@ -1,8 +1,8 @@
 """EDF recordings: headers without samples, and samples as frames.
 
 Header fields are fixed-width text, so they are cut out of the bytes by built-in
-expressions. Only the samples need Python: one Arrow kernel turns the int16
-records of a file into channel arrays.
+expressions. Only the samples need Python: an Arrow kernel fetches the int16
+records of a file by byte range and turns them into channel arrays.
 """
 
 from __future__ import annotations
@@ -145,15 +145,26 @@ def parse_headers(files: DataFrame, keep_content: bool = False) -> DataFrame:
         "header_bytes", "spr", "signals", *(["content"] if keep_content else []))
 
 
-def _heads(batches):
-    """Arrow kernel: fetch only the header bytes of every path."""
+def _open(path: str):
+    """Store and name of a path as Spark lists it."""
     from pyarrow import fs
 
+    return fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", path), safe="/:@"))
+
+
+def _read_range(path: str, begin: int, size: int) -> bytes:
+    """``size`` bytes of a file from ``begin`` on; nothing else is fetched."""
+    store, name = _open(path)
+    with store.open_input_file(name) as f:
+        return f.read_at(size, begin)
+
+
+def _heads(batches):
+    """Arrow kernel: fetch only the header bytes of every path."""
     for batch in batches:
         heads = []
         for path in batch.column("path").to_pylist():
-            store, name = fs.FileSystem.from_uri(quote(
-                re.sub(r"^file:/+", "file:///", path), safe="/:@"))
+            store, name = _open(path)
             with store.open_input_stream(name) as f:
                 head = f.read(256)
                 count = head[252:256].strip()
@@ -173,9 +184,12 @@ def read_edf_headers(spark: SparkSession, root: str) -> DataFrame:
 
     Split and class come from the folders a recording lies in.
     """
+    return describe_paths(_read_heads(spark, root)).drop("stem", "ext", "modality")
+
+
+def _read_heads(spark: SparkSession, root: str) -> DataFrame:
     listing = _files(spark, root).select("path", "length")
-    heads = listing.mapInArrow(_heads, "path string, length bigint, content binary")
-    return describe_paths(parse_headers(heads)).drop("stem", "ext", "modality")
+    return parse_headers(listing.mapInArrow(_heads, "path string, length bigint, content binary"))
 
 
 _FRAMES = ("file_id string, chunk bigint, signals array<struct<channel: string, sfreq: double, "
@@ -185,6 +199,29 @@ _SIGNAL = pa.struct([("channel", pa.string()), ("sfreq", pa.float64()),
                      ("samples", pa.list_(pa.float32()))])
 
 
+def _frame(row: dict, data: np.ndarray, chunk: int, first: int, tmax: float | None):
+    """One frame of the records ``data``, of which the first is record ``first``; None without samples."""
+    spr = [int(n) for n in row["spr"]]
+    at = np.concatenate([[0], np.cumsum(spr)])
+    signals = []
+    for s in row["signals"]:
+        k = s["index"]
+        total = int(row["n_records"]) * spr[k]
+        if tmax is not None:
+            total = min(total, int(np.floor(tmax * s["sfreq"])) + 1)
+        here = first * spr[k]
+        x = data[:, at[k]:at[k + 1]].reshape(-1)[:max(total - here, 0)]
+        if len(x):
+            signals.append({
+                "channel": s["channel"], "sfreq": s["sfreq"], "n_samples": total, "start": here,
+                "samples": (x * s["gain"] + s["offset"]).astype(np.float32)})
+    if not signals:
+        return None
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row["file_id"]]), pa.array([chunk], pa.int64()), pa.array([signals], pa.list_(_SIGNAL))],
+        names=["file_id", "chunk", "signals"])
+
+
 def _decode(tmax: float | None, chunk_sec: float | None):
     """Arrow kernel: int16 records to channel arrays, one frame per chunk."""
     def run(batches):
@@ -192,36 +229,50 @@ def _decode(tmax: float | None, chunk_sec: float | None):
             for row in batch.to_pylist():
                 if not row["signals"]:
                     continue
-                spr = np.asarray(row["spr"], dtype=np.int64)
-                width, records = int(spr.sum()), int(row["n_records"])
-                begin = int(row["header_bytes"])
-                data = np.frombuffer(row["content"], dtype="<i2", offset=begin,
+                width, records = int(sum(row["spr"])), int(row["n_records"])
+                data = np.frombuffer(row["content"], dtype="<i2", offset=int(row["header_bytes"]),
                                      count=records * width).reshape(records, width)
-                at = np.concatenate([[0], np.cumsum(spr)])
-                step = records if chunk_sec is None else max(
-                    1, int(chunk_sec // row["record_sec"]))
-                for chunk, first in enumerate(range(0, records, max(step, 1))):
-                    part = data[first:first + step]
-                    signals = []
-                    for s in row["signals"]:
-                        k = s["index"]
-                        total = records * int(spr[k])
-                        if tmax is not None:
-                            total = min(total, int(np.floor(tmax * s["sfreq"])) + 1)
-                        here = first * int(spr[k])
-                        x = part[:, at[k]:at[k + 1]].reshape(-1)[:max(total - here, 0)]
-                        if len(x) == 0:
-                            continue
-                        signals.append({
-                            "channel": s["channel"], "sfreq": s["sfreq"], "n_samples": total,
-                            "start": here,
-                            "samples": (x * s["gain"] + s["offset"]).astype(np.float32)})
-                    if not signals:
+                step = max(1, records if chunk_sec is None else int(chunk_sec / row["record_sec"]))
+                for chunk, first in enumerate(range(0, records, step)):
+                    frame = _frame(row, data[first:first + step], chunk, first, tmax)
+                    if frame is None:
                         break
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["file_id"]]), pa.array([chunk], pa.int64()),
-                         pa.array([signals], pa.list_(_SIGNAL))],
-                        names=["file_id", "chunk", "signals"])
+                    yield frame
+    return run
+
+
+def record_ranges(headers: DataFrame, tmax: float | None = None, chunk_sec: float | None = None) -> DataFrame:
+    """The records to fetch of each readable recording: ``chunk, first, take`` beside its header.
+
+    One range per recording, or per ``chunk_sec`` seconds; records behind ``tmax`` are left out.
+    """
+    wanted = F.col("n_records")
+    if tmax is not None:
+        samples = lambda s: F.floor(s["sfreq"] * F.lit(float(tmax))) + 1
+        wanted = F.least(wanted, F.array_max(F.transform(
+            "signals", lambda s: F.ceil(F.try_divide(samples(s), s["spr"])))))
+    step = F.col("_wanted") if chunk_sec is None else F.greatest(
+        F.floor(F.lit(float(chunk_sec)) / F.col("record_sec")), F.lit(1))
+    rows = headers.where(F.size("signals") > 0).withColumn("_wanted", wanted).where("_wanted > 0")
+    rows = rows.withColumn("_step", step.cast("bigint"))
+    return rows.select(
+        "file_id", "path", "header_bytes", "n_records", "record_sec", "spr", "signals", "_wanted", "_step",
+        F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("_wanted") - 1, F.col("_step"))).alias("chunk", "first"),
+    ).withColumn("take", F.least("_step", F.col("_wanted") - F.col("first"))).drop("_wanted", "_step")
+
+
+def _fetch(tmax: float | None):
+    """Arrow kernel: read the bytes of each range and decode them to one frame."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                width = int(sum(row["spr"]))
+                raw = _read_range(row["path"], int(row["header_bytes"]) + 2 * width * row["first"],
+                                  2 * width * row["take"])
+                data = np.frombuffer(raw, "<i2").reshape(-1, width)
+                frame = _frame(row, data, row["chunk"], row["first"], tmax)
+                if frame is not None:
+                    yield frame
     return run
 
 
@@ -241,8 +292,12 @@ def decode_frames(files: DataFrame, tmax: float | None = None,
 
 def read_edf_frames(spark: SparkSession, root: str, tmax: float | None = None,
                     chunk_sec: float | None = None) -> DataFrame:
-    return decode_frames(_files(spark, root).select("path", "length", "content"),
-                         tmax, chunk_sec)
+    """Frames of all recordings below a folder, fetched by byte range.
+
+    Tasks follow the sizes of the files. A crop reads only its records, and with
+    ``chunk_sec`` a task holds one chunk at a time, however long a recording is.
+    """
+    return record_ranges(_read_heads(spark, root), tmax, chunk_sec).mapInArrow(_fetch(tmax), _FRAMES)
 
 
 def read_edf_signals(spark: SparkSession, root: str, tmax: float | None = None,

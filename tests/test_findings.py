@@ -1,11 +1,14 @@
 """Cases that an earlier version lost."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortflow.functions import channels
-from cohortflow.operators import linkage, signal
+from cohortflow.operators import evaluation, linkage, ranking, signal, statistics
 from cohortflow.shared import shared_path, stored
-from cohortflow.sources import tables
+from cohortflow.sources import edf, tables
+
+from .test_files import edf_bytes
 
 
 def test_byte_order_mark(spark, tmp_path):
@@ -38,3 +41,53 @@ def test_channel_deviation_over_chunks(spark):
 def test_stored_tables_lie_in_the_shared_folder(spark):
     assert shared_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert stored(spark.range(3).where("id > 5"), "empty").count() == 0
+
+
+def test_crop_fetches_its_records_only(spark, tmp_path, monkeypatch):
+    """Ten records of a second, two channels of 200 Hz: a crop of 1.5 s is two records of 800 bytes."""
+    x = np.arange(2000) % 100
+    (tmp_path / "a.edf").write_bytes(edf_bytes([x, -x]))
+    ranges = edf.record_ranges(edf._read_heads(spark, str(tmp_path)), 1.5)
+    fetched, read = [], edf._read_range
+    monkeypatch.setattr(edf, "_read_range", lambda path, begin, size: fetched.append((begin, size)) or read(path, begin, size))
+    frames = list(edf._fetch(1.5)(ranges.toArrow().to_batches()))
+    assert fetched == [(256 * 3, 2 * 800)] and len(frames) == 1
+    got = {s["channel"]: s for s in frames[0].column("signals").to_pylist()[0]}
+    assert [len(s["samples"]) for s in got.values()] == [301, 301]
+    chunks = edf.record_ranges(edf._read_heads(spark, str(tmp_path)), None, 4.0).select("chunk", "first", "take").collect()
+    assert sorted(map(tuple, chunks)) == [(0, 0, 4), (1, 4, 4), (2, 8, 2)]
+
+
+def test_more_labels_than_bits(spark):
+    order = [f"L{i:03d}" for i in range(130)]
+    rows = [("a", "L000"), ("a", "L059"), ("a", "L060"), ("a", "L129"), ("b", "L129"), ("b", "L129"), ("b", None), ("c", "other")]
+    masks = statistics.label_masks(spark.createDataFrame(rows, "file_id string, label string"), "label", order)
+    sets = {r.file_id: r.labels for r in masks.select("file_id", statistics.mask_labels(F.col("mask"), order).alias("labels")).collect()}
+    assert sets == {"a": ["L000", "L059", "L060", "L129"], "b": ["L129"]}
+    pairs = statistics.label_cooccurrence(masks, order).collect()
+    assert len(pairs) == 6 and {(r.label_a, r.label_b) for r in pairs} >= {("L000", "L059"), ("L060", "L129")}
+
+
+def test_percentiles_inside_one_bucket(spark, monkeypatch):
+    """All values lie in one bucket, which is split many times; a null key and a constant key beside it."""
+    monkeypatch.setattr(ranking, "PART_VALUES", 16)
+    x = np.random.default_rng(1).beta(0.3, 5, 3000)
+    rows = [(k, float(v)) for k in ("a", None) for v in x] + [("b", 0.25)] * 5
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in statistics.box_stats(df, ["k"], "v", 1000.0).collect()}
+    q1, q2, q3 = np.percentile(x, [25, 50, 75])
+    for k in ("a", None):
+        assert np.allclose([got[k].q1, got[k].median, got[k].q3], [q1, q2, q3], rtol=1e-12)
+        assert got[k].whisker_high == x[x <= q3 + 1.5 * (q3 - q1)].max() and got[k].n == 3000
+    assert (got["b"].q1, got["b"].whisker_low, got["b"].n) == (0.25, 0.25, 5)
+
+
+def test_roc_of_crowded_and_unbounded_scores(spark):
+    rng = np.random.default_rng(2)
+    s = np.concatenate([rng.random(500) * 1e-9, rng.normal(0, 1e6, 500)])
+    y = rng.integers(0, 2, 1000)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)] + [(None, 1)], "score double, y int")
+    rows = evaluation.score_cumulation(df, 8).collect()
+    assert len(rows) == 1001
+    for r in rows:
+        assert r.tp == (y[s >= r.score].sum() if r.score is not None else y.sum() + 1)
