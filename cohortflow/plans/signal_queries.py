@@ -384,13 +384,17 @@ def _parts(h):
     return [parted.where(F.col("part") == p) for p in ("train", "test")]
 
 
-@query("standardize", f"""WITH {_FEATSQL}, r AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || file_id),
+_SCALED = f"""{_FEATSQL}, r AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || file_id),
       file_id) AS k, count(*) OVER () AS n FROM m),
     p AS (SELECT *, k <= ceil(0.3::double * n) AS test FROM r),
     s AS (SELECT avg(mean) AS a1, stddev_pop(mean) AS d1, avg(std) AS a2, stddev_pop(std) AS d2,
-      avg(min) AS a3, stddev_pop(min) AS d3, avg(max) AS a4, stddev_pop(max) AS d4 FROM p WHERE NOT test)
-    SELECT file_id, round((mean - a1) / d1, 5) AS mean, round((std - a2) / d2, 5) AS std,
-    round((min - a3) / d3, 5) AS min, round((max - a4) / d4, 5) AS max FROM p, s WHERE test""")
+      avg(min) AS a3, stddev_pop(min) AS d3, avg(max) AS a4, stddev_pop(max) AS d4 FROM p WHERE NOT test),
+    z AS (SELECT file_id, y, test, (mean - a1) / d1 AS mean, (std - a2) / d2 AS std,
+      (min - a3) / d3 AS min, (max - a4) / d4 AS max FROM p, s)"""
+
+
+@query("standardize", f"""WITH {_SCALED} SELECT file_id, round(mean, 5) AS mean, round(std, 5) AS std,
+    round(min, 5) AS min, round(max, 5) AS max FROM z WHERE test""")
 def _(h):
     from pyspark.ml.functions import vector_to_array
     _, test = md.standardize(*_parts(h))
@@ -403,13 +407,27 @@ def _fitted(h):
     return md.baseline_classifier(train), test
 
 
-@query("baseline_classifier")
+# the same loss by gradient steps, until they no longer move it
+_SUM = "w + " + " + ".join(f"w_{c} * {c}" for c in COLUMNS)
+_MISS = f"(1 / (1 + exp(-({_SUM}))) - y)"
+_FIT = f"""{_SCALED}, steps(i, w, {', '.join(f'w_{c}' for c in COLUMNS)}) AS (
+      SELECT 0, 0::double{', 0::double' * len(COLUMNS)} UNION ALL
+      SELECT i + 1, w - 1.5 * avg({_MISS}),
+        {', '.join(f'w_{c} - 1.5 * (avg({_MISS} * {c}) + w_{c} / count(*))' for c in COLUMNS)}
+      FROM steps, z WHERE i < 200 AND NOT test GROUP BY i, w, {', '.join(f'w_{c}' for c in COLUMNS)}),
+    fit AS (SELECT * FROM steps WHERE i = 200)"""
+
+
+@query("baseline_classifier", f"""WITH RECURSIVE {_FIT}, scored AS (SELECT file_id, y::int AS y,
+      1 / (1 + exp(-({_SUM}))) AS score FROM z, fit WHERE test)
+    SELECT file_id, y, CASE WHEN score > 0.5 THEN 1 ELSE 0 END::int AS pred, round(score, 3) AS score FROM scored""")
 def _(h):
     model, test = _fitted(h)
-    return rounded(md.predict(model, test), "score")
+    return md.predict(model, test).withColumn("score", F.round("score", 3))
 
 
-@query("coefficient_table")
+@query("coefficient_table", f"""WITH RECURSIVE {_FIT}
+    {' UNION ALL '.join(f"SELECT '{c}' AS feature, round(w_{c}, 4) AS coefficient FROM fit" for c in COLUMNS)}""")
 def _(h):
     model, _ = _fitted(h)
-    return rounded(md.coefficient_table(h.spark, model, COLUMNS), "coefficient")
+    return md.coefficient_table(h.spark, model, COLUMNS).withColumn("coefficient", F.round("coefficient", 4))

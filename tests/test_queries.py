@@ -19,9 +19,10 @@ def con():
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, name):
     status, rows, _, detail = compare(spark, con, SF, name, QUERIES[name], ORACLES.get(name))
-    assert status in ("ok", "rows-only"), detail
-    if status == "rows-only":
-        assert rows > 0
+    if name in ORACLES:
+        assert status == "ok", detail
+    else:  # operators beyond SQL are compared with brute force in tests of their own
+        assert status == "rows-only" and rows > 0, detail
 
 
 def test_entry(spark):
