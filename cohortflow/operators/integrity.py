@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import hashlib
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..sources.tables import open_store, scan_files
 
 # What a checksum manifest leaves out.
 EXCLUDED_NAMES = ("sha256.txt", ".git", "__pycache__", ".DS_Store", "Thumbs.db")
@@ -20,9 +25,44 @@ def release_file_filter(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def sha256_manifest(files: DataFrame) -> DataFrame:
-    """Digest per included file from ``(path, content)``, in path order."""
-    return release_file_filter(files).select(
-        F.sha2("content", 256).alias("digest"), "path").orderBy("path")
+    """Digest per included file from ``(path, content)``; contents are read and hashed once."""
+    return release_file_filter(files).select(F.sha2("content", 256).alias("digest"), "path")
+
+
+def relative_paths(files: DataFrame, root: str) -> DataFrame:
+    """Files below ``root`` with their path relative to it as ``path`` and the full one as ``uri``."""
+    name = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", root)
+    name = "/" + name.strip("/") + "/" if name.strip("/") else "/"
+    below = F.locate(name, F.col("path"))
+    return files.where(below > 0).withColumns({
+        "uri": F.col("path"),
+        "path": F.substring("path", below + len(name), F.length("path"))})
+
+
+def _digests(batches):
+    """Arrow kernel: SHA-256 of each file, read in blocks."""
+    import pyarrow as pa
+
+    for batch in batches:
+        digests = []
+        for uri in batch.column("uri").to_pylist():
+            store, name = open_store(uri)
+            digest = hashlib.sha256()
+            with store.open_input_stream(name) as f:
+                while block := f.read(1 << 20):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), batch.column("path")], names=["digest", "path"])
+
+
+def checksum_folder(spark: SparkSession, root: str) -> DataFrame:
+    """``digest, path`` of all included files below an absolute path or URI.
+
+    Paths are relative to the root, and only they decide what is left out. Files are
+    streamed, whatever their size.
+    """
+    files = relative_paths(scan_files(spark, root).select("path"), root)
+    return release_file_filter(files).select("uri", "path").mapInArrow(_digests, "digest string, path string")
 
 
 def verify_checksums(stored: DataFrame, files: DataFrame) -> DataFrame:

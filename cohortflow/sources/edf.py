@@ -7,9 +7,6 @@ records of a file by byte range and turns them into channel arrays.
 
 from __future__ import annotations
 
-import re
-from urllib.parse import quote
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.binding import computed_once
 from ..functions.channels import EXPECTED_22, norm_channel, set_difference, vocabulary
 from ..operators.signal import frames_to_signals
-from .tables import clean_id, describe_paths
+from .tables import clean_id, describe_paths, open_store
 
 # Width in bytes of the per-signal header fields, in file order.
 SIGNAL_FIELDS = (("label", 16), ("transducer", 80), ("unit", 8), ("phys_min", 8),
@@ -145,16 +142,9 @@ def parse_headers(files: DataFrame, keep_content: bool = False) -> DataFrame:
         "header_bytes", "spr", "signals", *(["content"] if keep_content else []))
 
 
-def _open(path: str):
-    """Store and name of a path as Spark lists it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", path), safe="/:@"))
-
-
 def _read_range(path: str, begin: int, size: int) -> bytes:
     """``size`` bytes of a file from ``begin`` on; nothing else is fetched."""
-    store, name = _open(path)
+    store, name = open_store(path)
     with store.open_input_file(name) as f:
         return f.read_at(size, begin)
 
@@ -164,7 +154,7 @@ def _heads(batches):
     for batch in batches:
         heads = []
         for path in batch.column("path").to_pylist():
-            store, name = _open(path)
+            store, name = open_store(path)
             with store.open_input_stream(name) as f:
                 head = f.read(256)
                 count = head[252:256].strip()

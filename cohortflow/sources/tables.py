@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.binding import computed_once
 from ..functions.text import clean_stem, drop_suffix, file_part, to_number
+from ..shared import stored
 
 # Column names of the inputs.
 MANIFEST_COLUMNS = ("File Name", "Date", "Gender", "Age (Years)", "Age (Months)",
@@ -23,6 +27,13 @@ EXTENSIONS = {"edf": ("edf",), "annotation": ("csv",),
               "report": ("txt", "pdf", "doc", "docx", "rtf")}
 
 
+def open_store(path: str):
+    """Store and name of a path as Spark lists it, for kernels that read files themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", path), safe="/:@"))
+
+
 def require_columns(df: DataFrame, required) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -195,5 +206,6 @@ def write_table(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorife
 
 def write_checksum_text(manifest: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``digest␠␠path`` lines in path order; the files of the folder follow that order."""
-    lines = manifest.orderBy("path").select(F.concat_ws("  ", "digest", "path").alias("value"))
+    # sorting looks at its input twice: digests are stored first, so that contents are read once
+    lines = stored(manifest.select("digest", "path"), "digests").orderBy("path").select(F.concat_ws("  ", "digest", "path").alias("value"))
     lines.write.mode(mode).text(path)

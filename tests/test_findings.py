@@ -1,10 +1,12 @@
 """Cases that an earlier version lost."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from cohortflow.functions import channels
-from cohortflow.operators import evaluation, linkage, ranking, signal, statistics
+from cohortflow.operators import evaluation, integrity, linkage, ranking, signal, statistics
 from cohortflow.shared import shared_path, stored
 from cohortflow.sources import edf, tables
 
@@ -91,3 +93,16 @@ def test_roc_of_crowded_and_unbounded_scores(spark):
     assert len(rows) == 1001
     for r in rows:
         assert r.tp == (y[s >= r.score].sum() if r.score is not None else y.sum() + 1)
+
+
+def test_checksums_of_a_folder(spark, tmp_path):
+    """The root's own name is an excluded one; excluded names below it are left out."""
+    root = tmp_path / "sha256.txt"
+    for name in ("a/x 1.edf", "b+c.csv", "copy_log.csv", "a/Thumbs.db"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(name.encode() * 1000)
+    want = {n: hashlib.sha256(n.encode() * 1000).hexdigest() for n in ("a/x 1.edf", "b+c.csv")}
+    manifest = integrity.checksum_folder(spark, str(root))
+    assert {r.path: r.digest for r in manifest.collect()} == want
+    tables.write_checksum_text(manifest, str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == [f"{d}  {p}" for p, d in sorted(want.items())]
