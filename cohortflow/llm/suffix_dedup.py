@@ -14,7 +14,7 @@ from .common import Powers, blocks, identity, mix, stored, text_bytes
 SEED = 32
 #: Window starts of one document that are looked at together.
 STRETCH = 1 << 20
-#: Segments of one seed that are compared at once; more are told apart by longer seeds first.
+#: Segments of one seed that a task takes up at once; more are counted by Spark and told apart by longer seeds.
 SEED_ROWS = 4096
 #: Bytes of segments that go into one transform, about.
 TRANSFORM_BYTES = 1 << 20
@@ -137,15 +137,15 @@ _FATE = T.StructType([T.StructField("row", T.LongType()), T.StructField("start",
                       T.StructField("read", T.BooleanType()), T.StructField("hot", T.BooleanType())])
 
 
-def _fates(seed_rows: int):
-    """What becomes of segments, in a stream sorted by (seed, body).
+def _fates(batches):
+    """What becomes of segments, in a stream sorted by (seed, body) whose seeds have SEED_ROWS rows at most.
 
     A body that is there twice is repeated as a ``whole``. Where a seed has several bodies,
-    one segment of each must be ``read`` to compare their windows; ``hot`` seeds have many.
+    one segment of each must be ``read`` to compare their windows.
     """
-    def settle(row, start, count, seed, body, at, n):
-        import pyarrow as pa
+    import pyarrow as pa
 
+    def settle(row, start, count, seed, body, at, n):
         new_seed = np.r_[True, seed[1:] != seed[:-1]]
         heads = np.flatnonzero(new_seed | np.r_[True, body[1:] != body[:-1]])
         size = np.diff(np.r_[heads, len(seed)])
@@ -153,27 +153,39 @@ def _fates(seed_rows: int):
         first = np.zeros(len(seed), bool)
         first[heads] = True
         of = np.cumsum(new_seed) - 1
-        bodies = np.bincount(of, first)[of]
-        read = first & (bodies > 1)
+        read = first & (np.bincount(of, first)[of] > 1)
         keep = np.flatnonzero(whole | read)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (row, start, count, seed, at, whole, read, bodies > seed_rows)],
-                                          names=_FATE.names)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (
+            row, start, count, seed, at, whole, read, np.zeros(len(seed), bool))], names=_FATE.names)
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(7)])
-            size += batch.num_rows
-            if size < 65536:
-                continue
-            x = [np.concatenate(c) for c in zip(*held)]
-            cut = np.searchsorted(x[3], x[3][-1])
-            held, size = [[c[cut:] for c in x]], size - cut
-            if cut:
-                yield settle(*(c[:cut] for c in x))
-        if size:
-            yield settle(*(np.concatenate(c) for c in zip(*held)))
-    return run
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy() for i in range(7)])
+        size += batch.num_rows
+        if size < 65536:
+            continue
+        x = [np.concatenate(c) for c in zip(*held)]
+        cut = np.searchsorted(x[3], x[3][-1])
+        held, size = [[c[cut:] for c in x]], size - cut
+        if cut:
+            yield settle(*(c[:cut] for c in x))
+    if size:
+        yield settle(*(np.concatenate(c) for c in zip(*held)))
+
+
+def crowded_fates(segments: DataFrame, seed_rows: int) -> DataFrame:
+    """The same (_FATE) for seeds of any number of segments, which no task sees whole.
+
+    Bodies and seeds are counted before their shuffles; the joins have one row a key on one
+    side and can be split. Seeds of more than ``seed_rows`` bodies are ``hot``.
+    """
+    bodies = stored(segments.groupBy("seed", "body").agg(
+        F.sum("n").alias("copies"), F.min(F.struct("row", "start")).alias("first")), "crowded-bodies")
+    judged = bodies.join(bodies.groupBy("seed").agg(F.count("*").alias("bodies")), "seed")
+    first = (F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start"))
+    return segments.join(judged, ["seed", "body"]).select(
+        "row", "start", "count", "seed", "at", (F.col("copies") > 1).alias("whole"), (first & (F.col("bodies") > 1)).alias("read"),
+        (F.col("bodies") > seed_rows).alias("hot")).where("whole OR read")
 
 
 # -- segments of the texts that need it --------------------------------------------------------
@@ -316,6 +328,30 @@ def _compared(length: int):
     return run
 
 
+def _windows(length: int):
+    """(row, start, name, whole) of every window of segments; the name is 128 bits of its bytes."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for data, first, count, row, whole in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                out += [(row, first + k, hashlib.blake2b(data[k:k + length], digest_size=16).digest(), whole) for k in range(count)]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
+                                             names=["row", "start", "name", "whole"])
+    return run
+
+
+def crowded_ranges(reads: DataFrame, length: int) -> DataFrame:
+    """Ranges to remove from segments of seeds that too many share: their windows are counted by name, whatever the number."""
+    windows = stored(reads.select("bytes", "start", "count", "row", "whole").mapInArrow(
+        _windows(length), "row long, start long, name binary, whole boolean"), "crowded-windows")
+    twice = windows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    return windows.where("NOT whole").join(twice, "name").select(
+        "row", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+
+
 def _removed(batches):
     """Union of the ranges of each text and what it leaves."""
     import pyarrow as pa
@@ -362,16 +398,27 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     equal within a batch are one row before any shuffle. Segments that are there twice are
     decided by their hashes (seed and body, 128 bits). The rest of a seed's segments, if it
     has several, are read and compared window by window in ``repeated_starts``, whole groups
-    in blocks of about TRANSFORM_BYTES. Seeds of more than ``seed_rows`` different segments are
-    split by longer seeds, which equal windows share as well.
+    in blocks of about TRANSFORM_BYTES.
+
+    A passage that any share of the corpus has makes a seed of as many segments. Seeds of more
+    than ``seed_rows`` segments are judged by aggregations (``crowded_fates``); those of more
+    than ``seed_rows`` different segments are split by longer seeds, which equal windows share
+    as well, and where one of these still has more, its windows are counted one by one
+    (``crowded_ranges``). So a task holds ``seed_rows`` segments of a seed at most.
     """
     own = list(identity())
     named = docs.select(*(c.alias(k) for k, c in identity(id_col, text_col).items()), F.col(text_col).alias("text"))
     index = stored(named.mapInArrow(_seeded(length), _SEEDS), "seeds")
     lines = index.where("n_bytes IS NOT NULL").select("row", *own, "n_bytes", "sha256")
     segments = index.where("seed IS NOT NULL")
-    fates = stored(segments.select("row", "start", "count", "seed", "body", "at", "n").repartition("seed").sortWithinPartitions(
-        "seed", "body").mapInArrow(_fates(seed_rows), _FATE), "segment-fates")
+    places = segments.select("row", "start", "count", "seed", "body", "at", "n")
+    crowded = stored(places.groupBy("seed").agg(F.count("*").alias("_rows")).where(F.col("_rows") > seed_rows).select("seed"), "crowded-seeds")
+    some = not crowded.isEmpty()
+    few = places.join(crowded, "seed", "left_anti").select(places.columns) if some else places
+    fates = few.repartition("seed").sortWithinPartitions("seed", "body").mapInArrow(_fates, _FATE)
+    if some:
+        fates = fates.unionByName(crowded_fates(places.join(crowded, "seed", "left_semi").select(places.columns), seed_rows))
+    fates = stored(fates, "segment-fates")
     span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("count") + length - 1).alias("b"))
     read = "struct<seed:bigint,start:bigint,count:int,at:int,whole:boolean,hot:boolean>"
     copies = segments.where("n > 1").select("others", "count").mapInArrow(_others, "row long, start long, count int")
@@ -388,7 +435,13 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
         _affected(length), "row long, text binary, segments array<struct<seed:long,bytes:binary,start:long,count:int,whole:boolean>>, "
         "wholes array<struct<a:long,b:long>>"), "affected-texts")
     reads = affected.select("row", F.explode("segments").alias("s")).select("s.seed", "s.bytes", "s.start", "s.count", "row", "s.whole")
-    ranges = reads.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compared(length), "row long, a long, b long")
+    own_columns = reads.columns
+    crowded = stored(reads.groupBy("seed").agg(F.count("*").alias("_rows")).where(F.col("_rows") > seed_rows).select("seed"), "crowded-cores")
+    some = not crowded.isEmpty()
+    few = reads.join(crowded, "seed", "left_anti").select(own_columns) if some else reads
+    ranges = few.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compared(length), "row long, a long, b long")
+    if some:
+        ranges = ranges.unionByName(crowded_ranges(reads.join(crowded, "seed", "left_semi").select(own_columns), length))
     ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     cut = affected.select("row", "text", "wholes").join(ranges, "row", "left").select("row", "text", "wholes", "ranges").mapInArrow(
         _removed, "row long, n_removed long, spans array<struct<a:long,b:long>>, kept_sha256 string")
