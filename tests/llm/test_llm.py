@@ -394,7 +394,11 @@ def test_transform_runs(texts, length):
 
 
 @pytest.mark.parametrize("seed_rows", [4096, 2])
-def test_suffix_dedup(spark, seed_rows):
+def test_suffix_dedup(spark, seed_rows, monkeypatch):
+    called = set()
+    for name in ("crowded_fates", "crowded_ranges"):
+        own = getattr(suffix_dedup, name)
+        monkeypatch.setattr(suffix_dedup, name, lambda *a, own=own, name=name: called.add(name) or own(*a))
     r = random.Random(5)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(2000)]
     para = lambda n: " ".join(r.choice(words) for _ in range(n))
@@ -413,6 +417,7 @@ def test_suffix_dedup(spark, seed_rows):
                  for r in suffix_dedup.suffix_dedup(df, seed_rows=seed_rows).collect())
     want = brute_repeats([(t or "").encode() for _, t in data], 200)
     assert got == sorted((10**6 if i is None else i, *w) for (i, _), w in zip(data, want))
+    assert called == ({"crowded_fates", "crowded_ranges"} if seed_rows == 2 else set())
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
