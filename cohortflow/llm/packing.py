@@ -163,6 +163,15 @@ _PIECE = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(n
     "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [T.StructField("ids", T.BinaryType())])
 
 
+def runs(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``rows`` of one queue, cut wherever a row does not begin where the one before it ends.
+
+    A batch may hold rows of several tasks: scans put files together in any order, and
+    tasks of one queue that meet in a batch need not follow each other.
+    """
+    return np.split(rows, np.flatnonzero(starts[rows[1:]] != (starts + sizes)[rows[:-1]]) + 1)
+
+
 def _packed(names: list[str], robin: RoundRobin, with_ids: bool):
     number = {n: i for i, n in enumerate(names)}
 
@@ -173,21 +182,21 @@ def _packed(names: list[str], robin: RoundRobin, with_ids: bool):
             queues = np.array([number[q] for q in batch.column(0).to_pylist()], np.int64)
             starts, sizes = batch.column(1).to_numpy(), batch.column(3).to_numpy()
             docs, ids = batch.column(2), batch.column(4)
-            for q in np.unique(queues):
-                rows = np.flatnonzero(queues == q)
-                raw = []
-                for i in rows.tolist():
-                    value = ids[i].as_py()
-                    raw.append(memoryview(np.frombuffer(value, f"<u{value[0]}", offset=1).astype("<u4").tobytes()))
-                own = docs.take(pa.array(rows))
-                for row, start, length, window, offset in robin.pieces(int(q), starts[rows], sizes[rows]):
-                    cut = [raw[r][4 * a:4 * (a + n)] for r, a, n in zip(row.tolist(), start.tolist(), length.tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [own.take(pa.array(row)), pa.array(start), pa.array(length),
-                         pa.array(np.fromiter(map(zlib.crc32, cut), np.int64, len(cut))), pa.array(sizes[rows][row]),
-                         pa.array(window), pa.array(offset),
-                         pa.array([bytes(c) for c in cut], pa.binary()) if with_ids else pa.nulls(len(cut), pa.binary())],
-                        names=_PIECE.names)
+            for queue_rows in (np.flatnonzero(queues == q) for q in np.unique(queues)):
+                for rows in runs(queue_rows, starts, sizes):
+                    raw = []
+                    for i in rows.tolist():
+                        value = ids[i].as_py()
+                        raw.append(memoryview(np.frombuffer(value, f"<u{value[0]}", offset=1).astype("<u4").tobytes()))
+                    own = docs.take(pa.array(rows))
+                    for row, start, length, window, offset in robin.pieces(int(queues[rows[0]]), starts[rows], sizes[rows]):
+                        cut = [raw[r][4 * a:4 * (a + n)] for r, a, n in zip(row.tolist(), start.tolist(), length.tolist())]
+                        yield pa.RecordBatch.from_arrays(
+                            [own.take(pa.array(row)), pa.array(start), pa.array(length),
+                             pa.array(np.fromiter(map(zlib.crc32, cut), np.int64, len(cut))), pa.array(sizes[rows][row]),
+                             pa.array(window), pa.array(offset),
+                             pa.array([bytes(c) for c in cut], pa.binary()) if with_ids else pa.nulls(len(cut), pa.binary())],
+                            names=_PIECE.names)
     return run
 
 
@@ -226,7 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
     few = bases.count() <= BROADCAST_BASES
     bases = bases.select("queue", "part", "base")
     placed = tokens.join(F.broadcast(bases) if few else bases, ["queue", "part"])
-    if not few:  # rows of a task in a queue follow each other again
+    if not few:  # rows of a task in a queue follow each other again, which keeps runs long
         placed = placed.sortWithinPartitions("queue", "part", "before")
     out = placed.select("queue", (F.col("base") + F.col("before")).alias("start"), "doc_id", "n", "ids").mapInArrow(
         _packed(names, robin, with_ids), _PIECE)

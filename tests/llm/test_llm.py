@@ -219,6 +219,21 @@ def test_packing_weights_and_odd_rows(spark, odd, none):
     assert len(ids) % 4 == 0
 
 
+@pytest.mark.parametrize("most", [packing.BROADCAST_BASES, 0])
+def test_packing_many_part_files(spark, monkeypatch, most):
+    """Scan partitions and batches hold rows of many tasks, out of order and with gaps between them."""
+    monkeypatch.setattr(packing, "BROADCAST_BASES", most)
+    rows = [(i, f"{'ab'[i % 2]}", f"word {i} " * (i * 7 % 23)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(60, "doc_id")
+    old = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.set("spark.sql.files.minPartitionNum", "2")
+    try:
+        unpacked(packing.pack(docs, tokenizer(), window=64).collect(), {i: t for i, _, t in rows}, 64)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if old is None else spark.conf.set(
+            "spark.sql.files.minPartitionNum", old)
+
+
 def test_encoder_agrees():
     from tokenizers import Tokenizer
 
