@@ -7,12 +7,10 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import Powers, blocks, mix, text_bytes
+from .common import Powers, blocks, mix, stored, text_bytes
 
-#: Words are counted in this many hashed cells, which bounds the models at any corpus size.
-CELLS = 1 << 21
-#: Counts of all tasks are summed in this many independent ranges of cells.
-RANGES = 64
+#: Words with a ratio up to this many are broadcast; more are joined to each document's words by their keys.
+BROADCAST_WORDS = 1 << 20
 #: Share of each class's probability that goes to the shared backoff.
 BACKOFF = 0.5
 #: Documents taken off a word's count in the toxic class; scaled by class size in the other.
@@ -25,7 +23,7 @@ _POWERS = Powers(0x9E3779B97F4A7C15 | 1)
 
 
 def word_cells(texts: list[bytes]):
-    """(text number, cell) of every word of the texts: runs of ASCII letters and digits, A-Z lower-cased, or bytes beyond ASCII."""
+    """(text number, 64-bit hash) of every word of the texts: runs of ASCII letters and digits, A-Z lower-cased, or bytes beyond ASCII."""
     raw = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
     inside = _WORD_BYTE[raw].astype(np.int8)
     edges = np.diff(inside, prepend=np.int8(0))
@@ -35,7 +33,7 @@ def word_cells(texts: list[bytes]):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers.up[:len(raw)])))
         codes = (sums[ends] - sums[starts]) * powers.down[starts]
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-    return np.searchsorted(firsts, starts, side="right") - 1, (mix(codes) & np.uint64(CELLS - 1)).astype(np.int64)
+    return np.searchsorted(firsts, starts, side="right") - 1, mix(codes).view(np.int64)
 
 
 def _squeezed(batches):
@@ -48,91 +46,143 @@ def _squeezed(batches):
 
 
 def _counted(batches, labelled: bool):
-    """Documents of each class that have a word of each cell, per range, compressed; sums over the whole task."""
+    """Documents of each class that have a word, summed over each block of texts."""
     import pyarrow as pa
 
-    sums = np.zeros((2 if labelled else 1, CELLS), np.int32)
     for batch in batches:
         texts = [zlib.decompress(t) for t in batch.column(0).to_pylist()] if labelled else text_bytes(batch.column(0))
-        kinds = batch.column(1).to_numpy() if labelled else np.zeros(len(texts), np.int64)
+        kinds = batch.column(1).to_numpy() if labelled else np.full(len(texts), -1)
         for a, b in blocks(texts):
-            doc, cell = word_cells(texts[a:b])
-            once = np.unique(doc * CELLS + cell)
-            for k in range(len(sums)):
-                sums[k] += np.bincount(once[kinds[a:b][once // CELLS] == k] % CELLS, minlength=CELLS).astype(np.int32)
-    rows = [(r, zlib.compress(part.astype("<i8").tobytes(), 1)) for r, part in
-            enumerate(np.split(sums, RANGES, axis=1)) if part.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
-                                     names=["range", "counts"])
-
-
-def _summed(batches):
-    import pyarrow as pa
-
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for r, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(raw), "<i8")
-            sums[r] = sums[r] + part if r in sums else part
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())],
-        names=["range", "counts"])
-
-
-def document_counts(rows: DataFrame, labelled: bool) -> np.ndarray:
-    """(classes, CELLS) documents by class and cell of ``rows``, all rows counted.
-
-    ``rows`` has (text), or where labelled (compressed text, class).
-
-    Each task sends its sums by range; ranges are added up in parallel. The driver gets the
-    total of CELLS numbers a class, whatever the size of the corpus.
+            doc, word = word_cells(texts[a:b])
+            words, at = np.unique(word, return_inverse=True)
+            if not len(words):
+                continue
+            once = np.unique(doc * len(words) + at)
+            kind, at = kinds[a:b][once // len(words)], once % len(words)
+            counts = [pa.array(np.bincount(at[kind == k], minlength=len(words))) for k in (-1, 0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(words), *counts], names=["word", "n", "c0", "c1"])
+
+
+def document_counts(texts: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(word, n, c0, c1): documents with the word in ``texts`` and in both classes of ``labelled``.
+
+    ``texts`` has (text), ``labelled`` has (compressed text, class). Every distinct word has
+    a row of its own, so the table grows with the vocabulary. Sums are combined before the
+    shuffle; nothing is collected.
     """
-    schema = "range int, counts binary"
-    parts = rows.mapInArrow(lambda b: _counted(b, labelled), schema).repartition("range").mapInArrow(_summed, schema)
-    out = np.zeros((2 if labelled else 1, CELLS), np.int64)
-    width = CELLS // RANGES
-    for r in parts.toLocalIterator():
-        out[:, r["range"] * width:(r["range"] + 1) * width] = np.frombuffer(
-            zlib.decompress(bytes(r["counts"])), "<i8").reshape(len(out), width)
-    return out
+    schema = "word long, n long, c0 long, c1 long"
+    parts = texts.mapInArrow(lambda b: _counted(b, False), schema).unionByName(
+        labelled.mapInArrow(lambda b: _counted(b, True), schema))
+    return stored(parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "c0", "c1"))), "word-counts")
 
 
 class Models:
-    """Kneser-Ney models of the ordinary (0) and the toxic class (1).
+    """Kneser-Ney models of the ordinary (0) and the toxic class (1) over a table of ``document_counts``.
 
     The contexts of a word are the documents it occurs in. A class's model discounts the
     number of its documents with the word and gives a fixed share of its mass to the backoff,
     which is shared: contexts in the whole corpus, labelled or not. Discounts take the same
     share of documents in both classes, so a word that is rare in the smaller class falls
-    back to the same probability in both and says nothing.
+    back to the same probability in both and says nothing. Only totals are held here.
     """
 
-    def __init__(self, counts: np.ndarray, shared: np.ndarray):
-        self.counts = counts
-        size = np.maximum(counts.sum(axis=1), 1)
+    def __init__(self, words: DataFrame):
+        total = words.agg(F.count("*").alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "c0", "c1"))).first()
+        size = np.maximum(np.array([total.c0, total.c1]), 1)
         self.discount = DISCOUNT * size / size[1]
-        self.mass = np.maximum(np.maximum(counts - self.discount[:, None], 0).sum(axis=1), 1.0)
-        self.backoff = (shared + 0.5) / (shared.sum() + 0.5 * CELLS)
+        over = [F.greatest(F.col(f"c{c}") - F.lit(float(self.discount[c])), F.lit(0.0)) for c in (0, 1)]
+        mass = words.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in over)).first()
+        self.mass = np.maximum(np.array(mass, float), 1.0)
+        self.shared = total.n + 0.5 * total.words
 
-    def ratio(self, cells: np.ndarray | slice, own: int | None = None) -> np.ndarray:
+    def ratio(self, n: np.ndarray, counts: tuple[np.ndarray, np.ndarray], own: int | None = None) -> np.ndarray:
         """Log-likelihood ratio of words, toxic to ordinary; ``own`` is the class whose counts hold the text itself."""
+        backoff = BACKOFF * (n + 0.5) / self.shared
         logs = [np.log((1 - BACKOFF) * np.maximum(
-            self.counts[c, cells] - (own == c) - self.discount[c], 0) / self.mass[c] + BACKOFF * self.backoff[cells]) for c in (0, 1)]
+            counts[c] - (own == c) - self.discount[c], 0) / self.mass[c] + backoff) for c in (0, 1)]
         return logs[1] - logs[0]
 
+    def ratios(self, words: DataFrame) -> DataFrame:
+        """(word, ratio, ratio0, ratio1) of the words with a ratio, and with a text of either class left out.
+
+        A word whose discounted count is zero in both classes has the shared backoff in both:
+        its ratio is exactly zero, with or without its own text, so it needs no row.
+        """
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                word, n, c0, c1 = (c.to_numpy() for c in batch.columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word), *(pa.array(self.ratio(n, (c0, c1), own)) for own in (None, 0, 1))],
+                    names=["word", "ratio", "ratio0", "ratio1"])
+
+        over = (F.col("c0") > F.lit(float(self.discount[0]))) | (F.col("c1") > F.lit(float(self.discount[1])))
+        return words.where(over).mapInArrow(run, "word long, ratio double, ratio0 double, ratio1 double")
+
+
+def terms(ratio: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What is summed over the words of a text: ratios, ratios beyond one nat, words beyond two nats."""
+    return ratio, np.maximum(ratio - 1, 0), (ratio > 2).astype(float)
+
+
+def looked_up(table: tuple[np.ndarray, np.ndarray], word: np.ndarray) -> np.ndarray:
+    """Ratio of each word by a sorted table of (words, ratios); zero where it is not in the table."""
+    words, ratios = table
+    if not len(words):
+        return np.zeros(len(word))
+    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+    return np.where(words[at] == word, ratios[at], 0.0)
+
+
+def joined_sums(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(_row, _s0, _s1, _s2): ``terms`` summed over the words of each text, for rows that have a word of ``ratios``.
+
+    ``rows`` has (_row, text, own), own being the class whose counts hold the text, or null.
+    Distinct words of a text meet their ratios by a join, so no task holds the vocabulary.
+    """
+    def spread(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, ids, own = text_bytes(batch.column(1)), batch.column(0).to_numpy(), batch.column(2)
+            for a, b in blocks(texts):
+                doc, word = word_cells(texts[a:b])
+                words, at = np.unique(word, return_inverse=True)
+                if not len(words):
+                    continue
+                once, times = np.unique(doc * len(words) + at, return_counts=True)
+                doc = once // len(words) + a
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[doc]), own.take(pa.array(doc)), pa.array(words[once % len(words)]), pa.array(times)],
+                    names=["_row", "own", "word", "times"])
+
+    pairs = rows.select("_row", "text", "own").mapInArrow(spread, "_row long, own long, word long, times long")
+    ratio = F.when(F.col("own") == 0, F.col("ratio0")).when(F.col("own") == 1, F.col("ratio1")).otherwise(F.col("ratio"))
+    met = pairs.join(ratios.hint("merge"), "word").select("_row", "times", ratio.alias("r"))
+    return met.groupBy("_row").agg(
+        F.sum(F.col("times") * F.col("r")).alias("_s0"),
+        F.sum(F.col("times") * F.greatest(F.col("r") - 1, F.lit(0.0))).alias("_s1"),
+        F.sum(F.when(F.col("r") > 2, F.col("times")).otherwise(0).cast("double")).alias("_s2"))
+
 
 #: Features of a text: mean ratio, mean ratio beyond one nat, share of words beyond two nats, and these by length.
 N_FEATURES = 6
 
 
-def features(doc: np.ndarray, ratio: np.ndarray, n: int) -> np.ndarray:
-    """(n, N_FEATURES): length-normalised comparisons of the two log-likelihoods."""
-    words = np.bincount(doc, minlength=n)
-    mean = lambda x: np.bincount(doc, x, minlength=n) / np.maximum(words, 1)
-    all_, clear, strong = mean(ratio), mean(np.maximum(ratio - 1, 0)), mean((ratio > 2).astype(float))
+def features(words: np.ndarray, sums) -> np.ndarray:
+    """(n, N_FEATURES): length-normalised comparisons of the two log-likelihoods, from words and summed ``terms`` of each text."""
+    all_, clear, strong = (x / np.maximum(words, 1) for x in sums)
     return np.stack([all_, clear, strong, np.log1p(words), clear * np.sqrt(words), strong * np.sqrt(words)], axis=1)
 
 
+def text_features(texts: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """``features`` of texts by a table of ratios held in memory."""
+    doc, word = word_cells(texts)
+    n = len(texts)
+    return features(np.bincount(doc, minlength=n), [np.bincount(doc, x, minlength=n) for x in terms(looked_up(table, word))])
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1):
     """(centre, scale, weights) of a logistic curve over the features, by Newton steps."""
     if not len(y) or y.min() == y.max():
@@ -162,10 +212,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     id the largest counts, null labels count as none. Repeated rows and null ids are scored.
 
     Labels grow with the corpus: they are joined by a shuffle at every size, never broadcast.
-    Class counts cover all training rows and backoff counts all rows; each is one pass with
-    sums inside the task. The calibration is fitted on about CALIBRATION_ROWS training rows,
-    scored without their own counts. Scoring is one pass without a shuffle; tasks get one
-    ratio per cell (8 MB).
+    Class counts cover all training rows and backoff counts all rows, by word, in a table
+    that grows with the vocabulary. The calibration is fitted on about CALIBRATION_ROWS
+    training rows, scored without their own counts. Words with a ratio other than zero are
+    broadcast up to BROADCAST_WORDS, and scoring is then one pass without a shuffle; where
+    there are more, the distinct words of each document are joined to them instead.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
@@ -174,51 +225,90 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     marks = marks.where(~held_out(F.col("doc_id")))
     train = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).where(
         F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    shared = document_counts(docs.select(text), labelled=False)[0]
     squeezed = lambda df: df.mapInArrow(_squeezed, "doc_id long, text binary").join(
         marks.hint("merge"), "doc_id").select("text", "class")
-    counts = document_counts(squeezed(train), labelled=True)
-    models = Models(counts, shared)
+    words = document_counts(docs.select(text), squeezed(train))
+    models = Models(words)
+    ratios = stored(models.ratios(words), "word-ratios")
+    few = ratios.count() <= BROADCAST_WORDS
 
     n = marks.count()
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION_ROWS / max(n, 1)))
-    given = spark.sparkContext.broadcast(models)
+    examples = squeezed(train.where(chosen))
+    if few:
+        held = ratios.toArrow().sort_by("word")
+        given = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in held.columns))
 
-    def examples(batches):
-        import pyarrow as pa
+        def measured(batches):
+            import pyarrow as pa
 
-        for batch in batches:
-            kinds, rows = batch.column(1).to_numpy(), []
-            for i, t in enumerate(batch.column(0).to_pylist()):
-                doc, cell = word_cells([zlib.decompress(t)])
-                rows.append(features(doc, given.value.ratio(cell, int(kinds[i])), 1)[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tolist() for r in rows], pa.list_(pa.float64())), batch.column(1)], names=["x", "class"])
+            for batch in batches:
+                rows = [text_features([zlib.decompress(t)], (given.value[0], given.value[2 + k]))[0].tolist()
+                        for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "class"])
+
+        got = examples.mapInArrow(measured, "x array<double>, class long").toPandas()
+    else:
+        def opened(batches):
+            import pyarrow as pa
 
-    got = squeezed(train.where(chosen)).mapInArrow(
-        examples, "x array<double>, class long").toPandas()
+            for batch in batches:
+                texts = [zlib.decompress(t) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), batch.column(1)], names=["text", "own"])
+
+        chosen_rows = stored(examples.mapInArrow(opened, "text binary, own long").withColumn(
+            "_row", F.monotonically_increasing_id()), "examples")
+
+        def measured(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                x = _summed_features(text_bytes(batch.column(0)), batch, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "class"])
+
+        got = _with_sums(chosen_rows, joined_sums(chosen_rows, ratios)).select("text", "own", "_s0", "_s1", "_s2").mapInArrow(
+            measured, "x array<double>, class long").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
     order = np.lexsort(x.T)
     curve = calibrate(x[order], got["class"].to_numpy(float)[order])
-    table = spark.sparkContext.broadcast((models.ratio(slice(None)).astype(np.float32), curve))
 
-    def scores(batches):
+    schema = T.StructType([*docs.schema.fields, T.StructField("_held_out", T.BooleanType()), T.StructField("_score", T.DoubleType())])
+    names = schema.names
+
+    def scored(batches, of_block, extra: int):
         import pyarrow as pa
 
-        ratio, (centre, scale, weights) = table.value
+        centre, scale, weights = curve
         for batch in batches:
             texts, out = text_bytes(batch.column(batch.num_columns - 1)), []
             for a, b in blocks(texts):
-                doc, cell = word_cells(texts[a:b])
-                z = (features(doc, ratio[cell].astype(float), b - a) - centre) / scale
+                z = (of_block(texts[a:b], batch.slice(a, b - a)) - centre) / scale
                 out.append(1 / (1 + np.exp(-np.clip(weights[0] + z @ weights[1:], -30, 30))))
             yield pa.RecordBatch.from_arrays(
-                batch.columns[:-1] + [pa.array(np.concatenate(out) if out else np.zeros(0))], names=names)
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_held_out", T.BooleanType()), T.StructField("_score", T.DoubleType())])
-    names = schema.names
-    rows = docs.select("*", held_out(F.col(id_col)).alias("_held_out"), text.alias("_text"))
-    return rows.mapInArrow(scores, schema).withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+                batch.columns[:batch.num_columns - extra] + [pa.array(np.concatenate(out) if out else np.zeros(0))], names=names)
+
+    if few:
+        rows = docs.select("*", held_out(F.col(id_col)).alias("_held_out"), text.alias("_text"))
+        out = rows.mapInArrow(lambda bs: scored(bs, lambda texts, _: text_features(texts, given.value[:2]), 1), schema)
+    else:
+        rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+        sums = joined_sums(rows.select("_row", text, F.lit(None).cast("long").alias("own")), ratios)
+        rows = _with_sums(rows, sums).select(
+            *docs.columns, held_out(F.col(id_col)).alias("_held_out"), "_s0", "_s1", "_s2", text.alias("_text"))
+        out = rows.mapInArrow(
+            lambda bs: scored(bs, lambda texts, part: _summed_features(texts, part, part.num_columns - 4), 4), schema)
+    return out.withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+
+
+def _with_sums(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """``rows`` with their sums, zero where no word of a row has a ratio."""
+    return rows.join(sums, "_row", "left").fillna(0.0, ["_s0", "_s1", "_s2"])
+
+
+def _summed_features(texts: list[bytes], batch, first: int) -> np.ndarray:
+    """``features`` of texts whose sums are three columns of the batch from ``first`` on."""
+    doc, _ = word_cells(texts)
+    return features(np.bincount(doc, minlength=len(texts)), [batch.column(first + k).to_numpy() for k in range(3)])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -159,6 +159,29 @@ def test_word_cells_do_not_depend_on_the_block():
     assert doc.tolist() == [0, 0, 0, 2, 2] and cell[1] == cell[4]
 
 
+def test_toxicity_counts_every_word_by_itself(spark):
+    """Counts of a vocabulary beyond any fixed number of cells: no two words share a count."""
+    size = (1 << 21) + 1000
+    texts = spark.range(0, size, 500, 8).selectExpr("array_join(transform(sequence(id, id + 499), x -> 'w' || x), ' ') AS text")
+    counts = toxicity.document_counts(texts, spark.createDataFrame([], "text binary, class long"))
+    n, most = counts.agg(F.count("*"), F.max("n")).first()
+    assert (n, most) == ((size + 499) // 500 * 500, 1)
+
+
+def test_toxicity_joined_words_score_like_broadcast_words(spark, odd, none, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    few = docs.unionByName(docs.limit(50)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    run = lambda: [sorted(toxicity.score_toxicity(d, m).selectExpr(
+        "coalesce(doc_id, -1)", "md5(coalesce(text, ''))", "_score", "_predicted").collect()) for d, m in ((few, labels), (odd, marks))]
+    broadcast = run()
+    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", -1)
+    for one, two in zip(broadcast, run(), strict=True):
+        assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in two]
+        assert np.allclose([r[2] for r in one], [r[2] for r in two], rtol=0, atol=1e-9)
+    assert len(broadcast[0]) == few.count() and toxicity.toxicity(none, marks).count() == 0
+
+
 # -- packing -----------------------------------------------------------------------------------
 
 def tokenizer():
