@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embedding_dedup, exact_dedup, mixing, packing, secrets, sharding, simhash, suffix_dedup, toxicity
+from . import byte_bpe, chat, embedding_dedup, exact_dedup, mixing, packing, secrets, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,11 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op13_byte_bpe")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    return byte_bpe.bpe_digest(byte_bpe.byte_bpe(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
