@@ -26,7 +26,7 @@ _ASCII_SPACE = bytes(32 if b in b"\t\n\v\f\r " else b for b in range(256))
 _WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 
-def _byte_of() -> dict[str, int]:
+def byte_table() -> dict[str, int]:
     """Printable stand-ins of bytes in byte-level vocabularies."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     rest = [b for b in range(256) if b not in plain]
@@ -62,7 +62,7 @@ def encoder(path: str):
         return by_file
     import tiktoken
 
-    byte_of, added = _byte_of(), [t["content"] for t in spec.get("added_tokens", [])]
+    byte_of, added = byte_table(), [t["content"] for t in spec.get("added_tokens", [])]
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in added}
     full, single = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={})
                     for n, p in (("full", SPLIT), ("single", SPLIT_SINGLE)))
