@@ -16,7 +16,7 @@ SHORTEST, LONGEST = 2, 6
 #: A gram is extended where more words than this have it; more than a share of all grams also.
 FREQUENT, SHARE = 64, 1 << 15
 #: Lists of up to this many words are compared pair by pair; longer ones by deleted characters.
-LIST_ROWS = 512
+LIST_ROWS = 256
 
 #: Fixed value: what the contract takes as a word.
 RUN = "[A-Za-zÀ-ÿ]+"
@@ -122,7 +122,7 @@ def affected(word: str, ends: list[int], frequent: frozenset[str], longest: int,
     return most
 
 
-_INDEX = "word string, size int, grows boolean, need int, gram long, at int, behind int"
+_INDEX = "word string, size int, grows boolean, need int, gram long, begin int, end int"
 
 
 def _grams(given):
@@ -140,31 +140,32 @@ def _grams(given):
                     ends = decompose(word, frequent, longest)
                     need = affected(word, ends, frequent, longest, grows) + 1
                     for begin, end in enumerate(ends):
-                        name = zlib.crc32(word[begin:end].encode()) << 24 | (end - begin) << 21 | (n + grows) & 0x1FFFFF
-                        out.append((word, n + grows, grows, need, name, begin, n - begin))
+                        name = zlib.crc32(word[begin:end].encode()) << 24 | (end - begin) << 21 | (n + grows) & 0x1FFFFF  # any order will do
+                        out.append((word, n + grows, grows, need, name, begin, end))
             kinds = (pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
-                                             names=["word", "size", "grows", "need", "gram", "at", "behind"])
+                                             names=["word", "size", "grows", "need", "gram", "begin", "end"])
     return run
 
 
 def gram_lists(words: DataFrame, frequent: frozenset[str]) -> DataFrame:
     """(key, word, grows): the lists that each word must be sought in, and is entered in.
 
-    Words one edit apart share all grams but those the edit affects, at equal places from the
-    left end or, behind an insertion, from the right one. So the rarest ``need`` grams of both
-    (one more than the affected-gram bound) have one in common; only these are kept.
+    Words one edit apart share all grams but those the edit affects. So the rarest ``need``
+    grams of both (one more than the affected-gram bound) have one in common; only these are
+    kept. The edit lies behind the shared gram or before it: so the words agree up to the
+    gram's end or from its beginning on, and a gram has a list for each text before it and
+    one for each text behind it, among words of one length (and those shorter by one).
     """
     given = words.sparkSession.sparkContext.broadcast(frequent)
     index = stored(words.select("word").mapInArrow(_grams(given), _INDEX), "gram-index")
     lists = index.groupBy("gram").agg(F.count("*").alias("_rows"))
     ranked = index.join(lists, "gram").groupBy("word", "size", "grows").agg(
-        F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("_rows", "gram", "at", "behind"))).alias("g"))
+        F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("_rows", "gram", "begin", "end"))).alias("g"))
     kept = ranked.select("word", "size", "grows", F.explode(F.slice("g", F.lit(1), F.col("need"))).alias("g"))
-    # equal lengths meet from the left; lengths that differ from the left or from the right
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("g.at").alias("p")), F.struct(F.lit(1).alias("side"), F.col("g.behind").alias("p"))))
-    return kept.select("word", "size", "grows", F.col("g.gram").alias("gram"), sides.alias("s")).select(
-        F.xxhash64("gram", "size", "s.side", "s.p").alias("key"), "word", "size", "grows", F.col("s.side").alias("side"))
+    upto, onward = F.substring("word", F.lit(1), F.col("g.end")), F.substring("word", F.col("g.begin") + 1, F.length("word"))
+    return kept.select("word", "grows", F.explode(F.array(
+        F.xxhash64("size", F.lit(0), upto), F.xxhash64("size", F.lit(1), onward))).alias("key")).distinct()
 
 
 # -- pairs -------------------------------------------------------------------------------------
@@ -220,10 +221,10 @@ def near_words(words: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     crowded = stored(lists.groupBy("key").agg(F.count("*").alias("_rows")).where(F.col("_rows") > list_rows).select("key"), "crowded-lists")
     some = not crowded.isEmpty()
     few = lists.join(crowded, "key", "left_anti") if some else lists
-    left = few.where("NOT grows").select("key", "side", F.col("word").alias("a"))
+    left = few.where("NOT grows").select("key", F.col("word").alias("a"))
     right = few.select("key", "grows", F.col("word").alias("b"))
     pairs = left.join(right, "key").where(
-        (F.col("grows") | ((F.col("side") == 0) & (F.col("a") < F.col("b")))) & (F.levenshtein("a", "b", 1) == 1)).select("a", "b")
+        (F.col("grows") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)).select("a", "b")
     if some:
         hot = crowded_pairs(lists.join(crowded, "key", "left_semi"))
         pairs = pairs.unionByName(hot.where(F.levenshtein("a", "b", 1) == 1))
