@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Powers, mix, stored
+from .common import Powers, mix, stored, text_bytes
 
 #: Lengths of grams; how long they may get in short words is ``longest_gram``.
 SHORTEST, LONGEST = 2, 6
@@ -20,34 +20,28 @@ LIST_ROWS = 256
 
 #: Fixed value: what the contract takes as a word.
 RUN = "[A-Za-zÀ-ÿ]+"
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _POWERS = Powers(0x9E6C63D0876A9A47 | 1)
 
 
 # -- words -------------------------------------------------------------------------------------
 
-def misspelt(doc_id, run: str, every: int = 97) -> str:
-    """The run without one code point where the CRC-32 of ``<doc_id>:<run>`` is divisible by ``every``."""
-    h = zlib.crc32(f"{doc_id}:{run}".encode())
-    return run[:h % len(run)] + run[h % len(run) + 1:] if h % every == 0 else run
-
-
 def _counted(every: int, shortest: int):
-    """(word, n) of a batch: rows of a document's runs are counted before its planted slips are applied."""
+    """(word, n) of a batch; of each document's runs the few that slip are moved to their misspelt word."""
     def run(batches):
         import pyarrow as pa
 
-        find = re.compile(RUN).findall
+        find, crc = re.compile(RUN).findall, zlib.crc32
         for batch in batches:
             total: Counter = Counter()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                head = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-                for word, n in Counter(find((text or "").translate(_LOWER))).items():
-                    h = zlib.crc32(word.encode(), head)
-                    if h % every == 0:
-                        word = word[:h % len(word)] + word[h % len(word) + 1:]
-                    total[word] += n
-            words = [w for w in total if len(w) >= shortest]
+            for doc_id, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                runs = find(raw.lower().decode())  # bytes are lower-cased in A-Z only
+                total.update(runs)
+                head = crc(f"{'' if doc_id is None else doc_id}:".encode())
+                for word in [r for r in set(runs) if not crc(r.encode(), head) % every]:
+                    n, at = runs.count(word), crc(word.encode(), head) % len(word)
+                    total[word] -= n
+                    total[word[:at] + word[at + 1:]] += n
+            words = [w for w, n in total.items() if n and len(w) >= shortest]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([total[w] for w in words], pa.int64())], names=["word", "n"])
     return run
 
