@@ -20,6 +20,8 @@ SEED_ROWS = 4096
 TRANSFORM_BYTES = 1 << 20
 #: Window starts whose common bytes form a longer seed.
 CORE_STARTS = 24
+#: Bands that the offsets of a seed are cut into; each has a hash of 16 bits of the bytes that its windows share.
+BANDS = 4
 
 _POS = np.uint64((1 << 24) - 1)
 _POWERS = Powers(0xD6E8FEB86659FD93)
@@ -36,16 +38,24 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
 
 
+def band_starts(length: int) -> int:
+    """Window starts of a band: offsets of a seed are below ``length - SEED + 1``."""
+    return -(-(length - SEED + 1) // BANDS)
+
+
 def seeds(texts: list[bytes], length: int):
-    """(text number, first start, starts, seed hash, segment hash, seed offset) arrays.
+    """(text number, first start, starts, seed hash, segment hash, seed offset, band hashes) arrays.
 
     Every window of ``length`` bytes has one seed: its SEED bytes of least hash, the first of
     equals. Equal windows have equal seeds at equal offsets. Neighbouring windows of one
-    seed are a segment: ``starts`` windows, ``starts + length - 1`` bytes.
+    seed are a segment: ``starts`` windows, ``starts + length - 1`` bytes. The windows of a
+    band, ``band_starts`` neighbouring offsets of the seed, share the bytes from the last
+    start to the first end; equal windows are in bands of one number and so of one hash
+    (never zero; zero where a segment has no window in the band).
     """
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw) < length:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
     powers = _POWERS.grow(len(raw) + 1)
     with np.errstate(over="ignore"):
         sums = np.empty(len(raw) + 1, np.uint64)
@@ -65,14 +75,20 @@ def seeds(texts: list[bytes], length: int):
     with np.errstate(over="ignore"):
         body = (sums[first + count + length - 1] - sums[first]) * powers.down[first]
         body = mix(body ^ (count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        width, bands = band_starts(length), np.zeros(len(seed), np.uint64)
+        for j in range(BANDS):
+            some = np.flatnonzero((seed - first - count + 1 < width * (j + 1)) & (seed - first >= width * j))
+            high = seed[some] - width * j
+            core = mix((sums[high - width + 1 + length] - sums[high]) * powers.down[high])
+            bands[some] |= (core % np.uint64(65535) + np.uint64(1)) << np.uint64(16 * j)
     doc = doc[heads]
-    return doc, first - begins[doc], count, gram[seed], body, seed - first
+    return doc, first - begins[doc], count, gram[seed], body, seed - first, bands
 
 
 _SEEDS = T.StructType([
     T.StructField("row", T.LongType()), T.StructField("start", T.LongType()), T.StructField("count", T.IntegerType()),
     T.StructField("seed", T.LongType()), T.StructField("body", T.LongType()), T.StructField("at", T.IntegerType()),
-    T.StructField("n", T.LongType()), T.StructField("others", T.BinaryType()),
+    T.StructField("bands", T.LongType()), T.StructField("n", T.LongType()), T.StructField("others", T.BinaryType()),
     T.StructField("_id", T.LongType()), T.StructField("_null_id", T.BooleanType()), T.StructField("_text_key", T.LongType()),
     T.StructField("n_bytes", T.LongType()), T.StructField("sha256", T.StringType())])
 
@@ -95,9 +111,9 @@ def _seeded(length: int):
                 for cut in range(0, len(t), STRETCH) if len(t) > STRETCH else ():
                     doc, first, *rest = seeds([t[cut:cut + STRETCH + length - 1]], length)
                     parts.append((doc + i, first + cut, *rest))
-            doc, first, count, seed, body, at = (np.concatenate(x) for x in zip(*parts)) if parts else seeds([], length)
+            doc, first, count, seed, body, at, bands = (np.concatenate(x) for x in zip(*parts)) if parts else seeds([], length)
             order = np.lexsort((body, seed))
-            doc, first, count, seed, body, at = (x[order] for x in (doc, first, count, seed, body, at))
+            doc, first, count, seed, body, at, bands = (x[order] for x in (doc, first, count, seed, body, at, bands))
             heads = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (body[1:] != body[:-1])]) if len(doc) else np.zeros(0, np.int64)
             n = np.diff(np.r_[heads, len(doc)])
             others = [None] * len(heads)
@@ -108,10 +124,10 @@ def _seeded(length: int):
             line = np.argsort(doc[heads], kind="stable")
             pick = heads[line]
             own = [pa.array(x) for x in (doc[pick] + number, first[pick], count[pick].astype(np.int32), seed[pick].view(np.int64),
-                                         body[pick].view(np.int64), at[pick].astype(np.int32), n[line])]
+                                         body[pick].view(np.int64), at[pick].astype(np.int32), bands[pick].view(np.int64), n[line])]
             none = [pa.nulls(len(pick), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string())]
             yield pa.RecordBatch.from_arrays(own + [pa.array([others[k] for k in line.tolist()], pa.binary())] + none, names=_SEEDS.names)
-            lack = [pa.nulls(len(texts), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
+            lack = [pa.nulls(len(texts), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(number + np.arange(len(texts)))] + lack + [batch.column(i) for i in range(3)] +
                 [pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
@@ -134,33 +150,35 @@ def _others(batches):
 
 _FATE = T.StructType([T.StructField("row", T.LongType()), T.StructField("start", T.LongType()), T.StructField("count", T.IntegerType()),
                       T.StructField("seed", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("whole", T.BooleanType()),
-                      T.StructField("read", T.BooleanType()), T.StructField("hot", T.BooleanType())])
+                      T.StructField("read", T.IntegerType()), T.StructField("hot", T.BooleanType())])
 
 
 def _fates(batches):
     """What becomes of segments, in a stream sorted by (seed, body) whose seeds have SEED_ROWS rows at most.
 
-    A body that is there twice is repeated as a ``whole``. Where a seed has several bodies,
-    one segment of each must be ``read`` to compare their windows.
+    A body that is there twice is repeated as a ``whole``. Where bodies of a seed share the
+    hash of a band, one segment of each must be ``read`` to compare the windows of that band
+    (a bit each); other windows have no equal.
     """
     import pyarrow as pa
 
-    def settle(row, start, count, seed, body, at, n):
+    def settle(row, start, count, seed, body, at, bands, n):
         new_seed = np.r_[True, seed[1:] != seed[:-1]]
         heads = np.flatnonzero(new_seed | np.r_[True, body[1:] != body[:-1]])
         size = np.diff(np.r_[heads, len(seed)])
         whole = np.repeat(np.add.reduceat(n, heads) > 1, size)
-        first = np.zeros(len(seed), bool)
-        first[heads] = True
-        of = np.cumsum(new_seed) - 1
-        read = first & (np.bincount(of, first)[of] > 1)
-        keep = np.flatnonzero(whole | read)
+        of, read = (np.cumsum(new_seed) - 1)[heads], np.zeros(len(seed), np.int32)
+        for j in range(BANDS):
+            name = bands[heads] >> (16 * j) & 65535
+            _, at_name, times = np.unique(of << 16 | name, return_inverse=True, return_counts=True)
+            read[heads] |= ((times[at_name] > 1) & (name > 0)).astype(np.int32) << j
+        keep = np.flatnonzero(whole | (read > 0))
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (
             row, start, count, seed, at, whole, read, np.zeros(len(seed), bool))], names=_FATE.names)
 
     held, size = [], 0
     for batch in batches:
-        held.append([batch.column(i).to_numpy() for i in range(7)])
+        held.append([batch.column(i).to_numpy() for i in range(8)])
         size += batch.num_rows
         if size < 65536:
             continue
@@ -182,14 +200,20 @@ def crowded_fates(segments: DataFrame, seed_rows: int) -> DataFrame:
     bodies = stored(segments.groupBy("seed", "body").agg(
         F.sum("n").alias("copies"), F.min(F.struct("row", "start")).alias("first")), "crowded-bodies")
     judged = bodies.join(bodies.groupBy("seed").agg(F.count("*").alias("bodies")), "seed")
-    first = (F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start"))
+    first = (F.col("row") == F.col("first.row")) & (F.col("start") == F.col("first.start")) & (F.col("bodies") > 1)
     return segments.join(judged, ["seed", "body"]).select(
-        "row", "start", "count", "seed", "at", (F.col("copies") > 1).alias("whole"), (first & (F.col("bodies") > 1)).alias("read"),
-        (F.col("bodies") > seed_rows).alias("hot")).where("whole OR read")
+        "row", "start", "count", "seed", "at", (F.col("copies") > 1).alias("whole"),
+        F.when(first, (1 << BANDS) - 1).otherwise(0).alias("read"), (F.col("bodies") > seed_rows).alias("hot")).where("whole OR read > 0")
 
 
 # -- segments of the texts that need it --------------------------------------------------------
 
+def _cuts(start: int, count: int, seed_at: int, width: int) -> list[tuple[int, int, int]]:
+    """(band, first start, last start) of a segment's windows in each band of ``width`` seed offsets."""
+    return [(j, max(seed_at - width * (j + 1) + 1, start), min(seed_at - width * j, start + count - 1))
+            for j in range((seed_at - start - count + 1) // width, (seed_at - start) // width + 1)]
+
+
 def _affected(length: int):
     """Compressed text and segments to read of each text, from (row, text, reads)."""
     def run(batches):
@@ -201,19 +225,23 @@ def _affected(length: int):
             for packed, reads in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text, own = zlib.decompress(packed), []
                 for r in reads or ():
-                    cuts = [(r["seed"], r["start"], r["count"])]
+                    cuts, seed_at = [], r["start"] + r["at"]
                     if r["hot"]:
                         # windows whose seed lies at like offsets share the bytes around it: these are a longer seed
-                        cuts, seed_at = [], r["start"] + r["at"]
-                        for j in range((r["at"] - r["count"] + 1) // CORE_STARTS, r["at"] // CORE_STARTS + 1):
-                            low, high = seed_at - CORE_STARTS * (j + 1) + 1, seed_at - CORE_STARTS * j
-                            a, b = max(low, r["start"]), min(high, r["start"] + r["count"] - 1)
-                            if a > b:
-                                continue
-                            core = text[high:low + length]
+                        for j, a, b in _cuts(r["start"], r["count"], seed_at, CORE_STARTS):
+                            high = seed_at - CORE_STARTS * j
+                            core = text[high:high - CORE_STARTS + 1 + length]
                             name = hashlib.blake2b(core + b"%d,%d" % (r["seed"], j), digest_size=8).digest()
-                            cuts.append((int.from_bytes(name, "big", signed=True), a, b - a + 1))
-                    own += [{"seed": s, "bytes": text[a:a + n + length - 1], "start": a, "count": n, "whole": r["whole"]} for s, a, n in cuts]
+                            cuts.append((int.from_bytes(name, "big", signed=True), a, b))
+                    else:
+                        # a higher band lies before a lower one; neighbours are one segment
+                        for j, a, b in reversed(_cuts(r["start"], r["count"], seed_at, band_starts(length))):
+                            if not r["read"] >> j & 1:
+                                continue
+                            if cuts and cuts[-1][2] + 1 == a:
+                                a = cuts.pop()[1]
+                            cuts.append((r["seed"], a, b))
+                    own += [{"seed": s, "bytes": text[a:b + length], "start": a, "count": b - a + 1, "whole": r["whole"]} for s, a, b in cuts]
                 out.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(segment)), batch.column(3)],
                                              names=["row", "text", "segments", "wholes"])
@@ -396,9 +424,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     A transform of the whole corpus would be one task's work, so equal windows first meet by
     their seed (``seeds``): equal windows have equal seeds, and each window has one. Segments
     equal within a batch are one row before any shuffle. Segments that are there twice are
-    decided by their hashes (seed and body, 128 bits). The rest of a seed's segments, if it
-    has several, are read and compared window by window in ``repeated_starts``, whole groups
-    in blocks of about TRANSFORM_BYTES.
+    decided by their hashes (seed and body, 128 bits). Of the rest those bands are read whose
+    common bytes another segment of the seed has too, by a hash that only rules out; their
+    windows are compared in ``repeated_starts``, whole groups in blocks of about
+    TRANSFORM_BYTES.
 
     A passage that any share of the corpus has makes a seed of as many segments. Seeds of more
     than ``seed_rows`` segments are judged by aggregations (``crowded_fates``); those of more
@@ -411,7 +440,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     index = stored(named.mapInArrow(_seeded(length), _SEEDS), "seeds")
     lines = index.where("n_bytes IS NOT NULL").select("row", *own, "n_bytes", "sha256")
     segments = index.where("seed IS NOT NULL")
-    places = segments.select("row", "start", "count", "seed", "body", "at", "n")
+    places = segments.select("row", "start", "count", "seed", "body", "at", "bands", "n")
     crowded = stored(places.groupBy("seed").agg(F.count("*").alias("_rows")).where(F.col("_rows") > seed_rows).select("seed"), "crowded-seeds")
     some = not crowded.isEmpty()
     few = places.join(crowded, "seed", "left_anti").select(places.columns) if some else places
@@ -420,12 +449,12 @@ def suffix_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
         fates = fates.unionByName(crowded_fates(places.join(crowded, "seed", "left_semi").select(places.columns), seed_rows))
     fates = stored(fates, "segment-fates")
     span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("count") + length - 1).alias("b"))
-    read = "struct<seed:bigint,start:bigint,count:int,at:int,whole:boolean,hot:boolean>"
+    read = "struct<seed:bigint,start:bigint,count:int,at:int,whole:boolean,read:int,hot:boolean>"
     copies = segments.where("n > 1").select("others", "count").mapInArrow(_others, "row long, start long, count int")
     wholes = fates.where("whole").select("row", "start", "count").unionByName(copies)
-    todo = wholes.select("row", span.alias("w"), F.lit(None).cast(read).alias("r")).unionByName(fates.where("read").select(
+    todo = wholes.select("row", span.alias("w"), F.lit(None).cast(read).alias("r")).unionByName(fates.where("read > 0").select(
         "row", F.lit(None).cast("struct<a:bigint,b:bigint>").alias("w"),
-        F.struct("seed", "start", "count", "at", "whole", "hot").alias("r")))
+        F.struct("seed", "start", "count", "at", "whole", "read", "hot").alias("r")))
     todo = todo.groupBy("row").agg(F.collect_list("w").alias("wholes"), F.collect_list("r").alias("reads"))
     texts = named.mapInArrow(_compressed, T.StructType([
         T.StructField("_id", T.LongType()), T.StructField("_null_id", T.BooleanType()), T.StructField("_text_key", T.LongType()),

@@ -459,7 +459,10 @@ def test_suffix_dedup(spark, seed_rows, monkeypatch):
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
-def test_suffix_dedup_long_text(spark, monkeypatch):
+@pytest.mark.parametrize("stretch", [1 << 20, 700])
+def test_suffix_dedup_long_text(spark, monkeypatch, stretch):
+    """Also where a text is longer than a stretch and passages cross the border of two."""
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
     r = random.Random(6)
     text = "".join(r.choice("abcdefghij ") for _ in range(5000))
     df = spark.createDataFrame([(1, text), (2, "x" + text[900:3300] + "y" + text[100:350])], "doc_id long, text string")
@@ -469,6 +472,21 @@ def test_suffix_dedup_long_text(spark, monkeypatch):
     assert pieces[2].sum() == len(text) - 199
 
 
+def test_suffix_bands():
+    """Equal windows lie in bands of one number and one hash."""
+    r = random.Random(8)
+    shared = [bytes(r.choice(b"abcd") for _ in range(r.randint(200, 420))) for _ in range(5)]
+    texts = [bytes(r.choice(b"abcd") for _ in range(r.randint(0, 90))) + r.choice(shared)[r.randint(0, 60):] + bytes(
+        r.choice(b"abcd") for _ in range(r.randint(0, 90))) for _ in range(60)]
+    width, seen = suffix_dedup.band_starts(200), {}
+    for doc, start, count, seed, _, at, bands in zip(*(x.tolist() for x in suffix_dedup.seeds(texts, 200))):
+        for k in range(count):
+            j = (at - k) // width
+            name = bands >> 16 * j & 65535
+            assert name and seen.setdefault(texts[doc][start + k:start + k + 200], (seed, j, name)) == (seed, j, name)
+    assert len(seen) < sum(max(len(t) - 199, 0) for t in texts)
+
+
 # -- exact -------------------------------------------------------------------------------------
 
 def test_exact(spark, odd, none):
