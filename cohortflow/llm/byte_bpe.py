@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Matches of the pattern that are looked at together, and distinct ones whose ids a worker remembers.
-MATCHES, WORDS = 1 << 18, 400_000
+MATCHES, WORDS = 1 << 19, 600_000
 #: Words up to this many bytes lose one pair a step; longer ones every pair that cannot touch another.
 LONG = 256
 #: Words that one query takes.
@@ -31,7 +31,7 @@ SHORT_SQL = """
       SELECT r.w, r.p, CASE WHEN r.p = c.p THEN c.new ELSE r.tok END::INT, CASE WHEN r.p = c.p THEN c.q2 ELSE r.q END,
         CASE WHEN r.p = c.p THEN c.nxt2 WHEN r.q = c.p THEN c.new ELSE r.nxt END::INT, c.new IS NULL
       FROM ranked r JOIN cut c ON r.w = c.w WHERE c.q IS NULL OR r.p <> c.q))
-    SELECT w, list(tok ORDER BY p) AS ids FROM bpe WHERE done GROUP BY w ORDER BY w"""
+    SELECT w, tok FROM bpe WHERE done ORDER BY w, p"""
 
 #: The same for long words, with one row a token kept in place (a swallowed one becomes -1). Of the pairs
 #: of minimum rank those are contracted together whose order cannot matter: every second one of a run of
@@ -63,10 +63,10 @@ LONG_SQL = """
       SELECT m.w, m.p, m.tok::INT, m.q, coalesce(c.new, m.nxt)::INT
       FROM moved m LEFT JOIN cut c ON c.w = m.w AND c.p = m.q WHERE m.fresh OR c.p IS NOT NULL
       UNION ALL SELECT w, q, -1, NULL, NULL FROM cut))
-    SELECT w, list(tok ORDER BY p) AS ids FROM bpe WHERE tok >= 0 GROUP BY w ORDER BY w"""
+    SELECT w, tok FROM bpe WHERE tok >= 0 ORDER BY w, p"""
 
 DECODE_SQL = """
-    SELECT w, unhex(string_agg(hex(bytes), '' ORDER BY p)) AS text FROM tokens JOIN vocabulary ON id = tok GROUP BY w ORDER BY w"""
+    SELECT w, string_agg(text, '' ORDER BY p) AS text FROM tokens JOIN vocabulary ON id = tok GROUP BY w ORDER BY w"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,7 +99,8 @@ class Coder:
         # tables of (token positions of) one query at a time are registered under these names
         self._table("merges", {"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32()),
                                "alone": pa.array([r in lowered for _, r in pairs], pa.bool_())}, keep=True)
-        self._table("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}, keep=True)
+        # a character of ``text`` stands for the byte of its number
+        self._table("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "text": pa.array([t.decode("latin-1") for t in ranks])}, keep=True)
         self.long_sql = LONG_SQL.format(reach=2 * max(map(len, ranks), default=0))
 
     def _table(self, name: str, columns: dict, keep: bool = False):
@@ -116,38 +117,36 @@ class Coder:
         place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self._table("tokens", {"w": word, "p": place.astype(np.int32), "tok": tokens})
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; an empty word has none."""
-        out: list = [None if w else np.zeros(0, np.int32) for w in words]
-        short, long = [], []
-        for i, w in enumerate(words):
-            known = self.ranks.get(w)
-            if known is not None:
-                out[i] = np.array([known], np.int32)
-            elif w:
-                (short if len(w) <= LONG else long).append(i)
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit numbers; an empty word has none."""
+        out = [b"" if not w or (known := self.ranks.get(w)) is None else known.to_bytes(4, "little") for w in words]
+        todo = [i for i, w in enumerate(words) if w and not out[i]]
+        short = [i for i in todo if len(words[i]) <= LONG]
         groups = [(SHORT_SQL, short[k:k + QUERY_WORDS]) for k in range(0, len(short), QUERY_WORDS)]
-        for sql, group in groups + [(self.long_sql, [i]) for i in long]:
+        for sql, group in groups + [(self.long_sql, [i]) for i in todo if len(words[i]) > LONG]:
             raw = np.frombuffer(b"".join(words[i] for i in group), np.uint8)
             self._positions(np.array([len(words[i]) for i in group]), self.byte[raw])
-            ids = self.con.sql(sql).to_arrow_table()["ids"].combine_chunks()
-            flat, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())
-            for i, part in zip(group, np.split(flat, ends[:-1]), strict=True):
-                out[i] = part
+            word, ids = (c.to_numpy() for c in self.con.sql(sql).to_arrow_table().columns)
+            flat, end = ids.astype("<i4").tobytes(), 0
+            for i, size in zip(group, (4 * np.bincount(word, minlength=len(group))).tolist(), strict=True):
+                out[i], end = flat[end:end + size], end + size
         return out
 
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each list of ids, put together by an ordered aggregation."""
-        sizes = np.array([len(i) for i in ids], np.int64)
-        out = [b""] * len(ids)
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """Bytes of each list of ids (as ``encode`` gives them), put together by an ordered aggregation."""
+        sizes = np.array([len(i) // 4 for i in ids], np.int64)
         some = np.flatnonzero(sizes)
-        if len(some):
-            self._positions(sizes[some], np.concatenate([ids[i] for i in some]).astype(np.int32))
-            got = self.con.sql(DECODE_SQL).to_arrow_table()
-            if got.num_rows < len(some):
-                raise ValueError("an id is not in the vocabulary")
-            for i, text in zip(some.tolist(), got["text"].to_pylist(), strict=True):
-                out[i] = text
+        if not len(some):
+            return [b""] * len(ids)
+        self._positions(sizes[some], np.frombuffer(b"".join(ids), "<i4"))
+        texts = [t.encode("latin-1") for t in self.con.sql(DECODE_SQL).to_arrow_table()["text"].to_pylist()]
+        if len(texts) < len(some):
+            raise ValueError("an id is not in the vocabulary")
+        if len(some) == len(ids):
+            return texts
+        out = [b""] * len(ids)
+        for i, text in zip(some.tolist(), texts, strict=True):
+            out[i] = text
         return out
 
 
@@ -156,32 +155,52 @@ def coder(path: str) -> Coder:
     return Coder(read_ranks(path))
 
 
+class Memory:
+    """Ids and decoded bytes of words met lately, at most WORDS of them: those not met again are forgotten first."""
+
+    def __init__(self, own: Coder):
+        self.own, self.new, self.old = own, {}, {}
+
+    def look_up(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        if len(self.new) > WORDS // 2:
+            self.new, self.old = {}, self.new
+        found = [self.new.get(w) or self.old.get(w) for w in words]
+        lack = [i for i, f in enumerate(found) if f is None]
+        for begin in range(0, len(lack), QUERY_WORDS):
+            some = lack[begin:begin + QUERY_WORDS]
+            ids = self.own.encode([words[i].encode() for i in some])
+            for i, pair in zip(some, zip(ids, self.own.decode(ids), strict=True), strict=True):
+                found[i] = pair
+        self.new.update(zip(words, found, strict=True))
+        return found
+
+
+@functools.lru_cache(maxsize=1)
+def remembered(path: str) -> Memory:
+    """The memory of this worker, which the tasks that it runs one after the other share."""
+    return Memory(coder(path))
+
+
 def _coded(path: str, pattern: str):
     """Ids and their decoded bytes of every text; equal matches of a block are encoded and decoded once."""
     def run(batches):
         import pyarrow as pa
         import regex
 
-        own, match = coder(path), regex.compile(pattern)
-        ids, decoded = {}, {}
-
-        def learn(parts):
-            new = set().union(*parts)
-            if len(ids) + len(new) > WORDS:
-                ids.clear()
-                decoded.clear()
-            words = list(new.difference(ids))
-            for begin in range(0, len(words), QUERY_WORDS):
-                some = words[begin:begin + QUERY_WORDS]
-                coded = own.encode([w.encode() for w in some])
-                ids.update(zip(some, (c.astype("<i4").tobytes() for c in coded), strict=True))
-                decoded.update(zip(some, own.decode(coded), strict=True))
+        memory, match = remembered(path), regex.compile(pattern)
 
         def settle(parts, rows, out):
-            learn(parts)
-            for part, row in zip(parts, rows, strict=True):
-                out[row][0].append(b"".join(map(ids.__getitem__, part)))
-                out[row][1].append(b"".join(map(decoded.__getitem__, part)))
+            """Append ids and decoded bytes of the matches in ``parts`` to their rows."""
+            words = list(set().union(*parts))
+            number = {w: i for i, w in enumerate(words)}
+            at = np.fromiter(itertools.chain.from_iterable(map(number.__getitem__, p) for p in parts), np.int64, sum(map(len, parts)))
+            stops = np.cumsum([0] + [len(p) for p in parts])
+            for k, values in enumerate(zip(*memory.look_up(words))):
+                whole = pa.array(values, pa.large_binary()).take(pa.array(at))
+                data = whole.buffers()[2]
+                ends = np.frombuffer(whole.buffers()[1], np.int64, len(at) + 1)[stops].tolist()
+                for row, a, b in zip(rows, ends, ends[1:]):
+                    out[row][k].append(data[a:b].to_pybytes())
 
         for batch in batches:
             out, parts, rows, size = [([], []) for _ in range(batch.num_rows)], [], [], 0
@@ -210,7 +229,7 @@ def _decoded(path: str):
         import pyarrow as pa
 
         for batch in batches:
-            ids = [np.array(i or [], np.int32) for i in batch.column(1).to_pylist()]
+            ids = [np.array(i or [], "<i4").tobytes() for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder(path).decode(ids), pa.binary())], names=["doc_id", "decoded"])
     return run
 
@@ -224,8 +243,8 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     of ``docs`` are not read, so their names do not matter. Null ids stay null.
 
     One pass without a shuffle. A task encodes the distinct words of a block by recursive
-    queries and remembers up to WORDS of them; what it holds does not grow with the input but
-    for one text's own ids. A word beyond LONG bytes takes a step per rank that it contains,
+    queries, and its worker remembers up to WORDS of them (about 200 MB) for this and later
+    tasks; what it holds does not grow with the input but for one text's own ids. A word beyond LONG bytes takes a step per rank that it contains,
     each over its tokens, so a text of megabytes without any break is slow, but whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
