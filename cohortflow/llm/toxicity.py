@@ -186,7 +186,8 @@ def text_features(texts: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> n
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1):
     """(centre, scale, weights) of a logistic curve over the features, by Newton steps."""
     if not len(y) or y.min() == y.max():
-        return np.zeros(N_FEATURES), np.ones(N_FEATURES), np.r_[np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), np.zeros(N_FEATURES)]
+        # without both classes nothing can be told apart: every score is one half
+        return np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1)
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z, w = np.c_[np.ones(len(x)), (x - centre) / scale], np.zeros(N_FEATURES + 1)
     for _ in range(50):
@@ -205,16 +206,18 @@ def held_out(doc_id: Column) -> Column:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
-    """All rows and columns of ``docs`` with _held_out, _score (0 to 1) and _predicted (1 from ``threshold`` on).
+    """``row`` (all columns of a row of ``docs``), held_out, score (0 to 1) and predicted (1 from ``threshold`` on).
 
-    Only the text is scored; null counts as empty, and texts without words get the score of
+    The row is carried as one struct, so its column names do not matter. Only the text is scored; null counts as empty, and texts without words get the score of
     empty evidence. Labels are read for rows that are not held out; of several labels of an
     id the largest counts, null labels count as none. Repeated rows and null ids are scored.
+    Without training rows of both classes every score is 0.5. An empty table gives no rows.
 
     Labels grow with the corpus: they are joined by a shuffle at every size, never broadcast.
     Class counts cover all training rows and backoff counts all rows, by word, in a table
     that grows with the vocabulary. The calibration is fitted on about CALIBRATION_ROWS
-    training rows, scored without their own counts. Words with a ratio other than zero are
+    different training rows, drawn by a hash of id and text whatever the number of rows of an
+    id, and scored without their own counts. Words with a ratio other than zero are
     broadcast up to BROADCAST_WORDS, and scoring is then one pass without a shuffle; where
     there are more, the distinct words of each document are joined to them instead.
     """
@@ -226,15 +229,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     train = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).where(
         F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     squeezed = lambda df: df.mapInArrow(_squeezed, "doc_id long, text binary").join(
-        marks.hint("merge"), "doc_id").select("text", "class")
-    words = document_counts(docs.select(text), squeezed(train))
+        marks.hint("merge"), "doc_id")
+    words = document_counts(docs.select(text), squeezed(train).select("text", "class"))
     models = Models(words)
     ratios = stored(models.ratios(words), "word-ratios")
     few = ratios.count() <= BROADCAST_WORDS
 
-    n = marks.count()
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION_ROWS / max(n, 1)))
-    examples = squeezed(train.where(chosen))
+    keys = train.select("doc_id", F.xxhash64("doc_id", "text").alias("_key"))
+    n = keys.join(marks.hint("merge"), "doc_id", "left_semi").distinct().count()
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION_ROWS / max(n, 1)))
+    examples = squeezed(train.where(chosen)).dropDuplicates(["doc_id", "text"]).select("text", "class")
     if few:
         held = ratios.toArrow().sort_by("word")
         given = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in held.columns))
@@ -272,32 +276,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     order = np.lexsort(x.T)
     curve = calibrate(x[order], got["class"].to_numpy(float)[order])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_held_out", T.BooleanType()), T.StructField("_score", T.DoubleType())])
-    names = schema.names
+    row = T.StructField("row", T.StructType(docs.schema.fields), False)
+    schema = T.StructType([row, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
-    def scored(batches, of_block, extra: int):
+    def scored(batches, of_block):
         import pyarrow as pa
 
         centre, scale, weights = curve
         for batch in batches:
-            texts, out = text_bytes(batch.column(batch.num_columns - 1)), []
+            texts, out = text_bytes(batch.column(2)), []
             for a, b in blocks(texts):
                 z = (of_block(texts[a:b], batch.slice(a, b - a)) - centre) / scale
                 out.append(1 / (1 + np.exp(-np.clip(weights[0] + z @ weights[1:], -30, 30))))
             yield pa.RecordBatch.from_arrays(
-                batch.columns[:batch.num_columns - extra] + [pa.array(np.concatenate(out) if out else np.zeros(0))], names=names)
+                batch.columns[:2] + [pa.array(np.concatenate(out) if out else np.zeros(0))], names=schema.names)
 
+    given_row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(given_row, held_out(F.col(id_col)).alias("held_out"), text)
     if few:
-        rows = docs.select("*", held_out(F.col(id_col)).alias("_held_out"), text.alias("_text"))
-        out = rows.mapInArrow(lambda bs: scored(bs, lambda texts, _: text_features(texts, given.value[:2]), 1), schema)
+        out = rows.mapInArrow(lambda bs: scored(bs, lambda texts, _: text_features(texts, given.value[:2])), schema)
     else:
-        rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-        sums = joined_sums(rows.select("_row", text, F.lit(None).cast("long").alias("own")), ratios)
-        rows = _with_sums(rows, sums).select(
-            *docs.columns, held_out(F.col(id_col)).alias("_held_out"), "_s0", "_s1", "_s2", text.alias("_text"))
-        out = rows.mapInArrow(
-            lambda bs: scored(bs, lambda texts, part: _summed_features(texts, part, part.num_columns - 4), 4), schema)
-    return out.withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+        rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "documents")
+        sums = joined_sums(rows.select("_row", "text", F.lit(None).cast("long").alias("own")), ratios)
+        rows = _with_sums(rows, sums).select("row", "held_out", "text", "_s0", "_s1", "_s2")
+        out = rows.mapInArrow(lambda bs: scored(bs, lambda texts, part: _summed_features(texts, part, 3)), schema)
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def _with_sums(rows: DataFrame, sums: DataFrame) -> DataFrame:
@@ -316,5 +319,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score and predicted of every row, see ``score_toxicity``."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic"))
-    return score_toxicity(own, marks, threshold=threshold).select(
-        "doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return score_toxicity(own, marks, threshold=threshold).select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted")

@@ -147,10 +147,33 @@ def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (3, 0), (77, 1), (None, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd, labels).collect()
     assert len(got) == 9 and all(0 <= r.score <= 1 for r in got)
-    assert toxicity.score_toxicity(odd, labels).columns[:len(odd.columns)] == odd.columns
+    clash = odd.withColumns({c: F.lit("x") for c in ("_text", "_held_out", "held_out", "predicted", "_row", "_s0", "class")})
+    assert sorted(map(repr, toxicity.score_toxicity(clash, labels).select("row.*").collect())) == sorted(map(repr, clash.collect()))
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(odd, labels.limit(0)).count() == 9
 
 
+@pytest.mark.parametrize("marks", [[(0, 1)], [(0, 0), (2, 0)], []])
+def test_toxicity_without_both_classes(spark, marks):
+    """Labels of one class, or none, tell nothing apart: nothing is predicted to be toxic."""
+    docs = spark.createDataFrame([(i, f"clean text number {i}") for i in range(19)], "doc_id long, text string")
+    got = toxicity.toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    assert len(got) == 19 and all(r.score == 0.5 and r.predicted == 0 for r in got)
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
+    """One labelled id on very many rows gives no more examples than the bound, whether they are equal or not."""
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 100)
+    seen = []
+    fit = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda x, y: seen.append(len(y)) or fit(x, y))
+    same = spark.range(0, 4000, 1, 4).selectExpr("0L AS doc_id", "'the same awful text' AS text")
+    other = spark.range(0, 4000, 1, 4).selectExpr("0L AS doc_id", "concat('awful text ', id) AS text")
+    clean = spark.range(0, 200, 1, 4).selectExpr("2L AS doc_id", "concat('a fine day ', id) AS text")
+    marks = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, toxic int")
+    got = toxicity.toxicity(same.unionByName(other).unionByName(clean), marks)
+    assert got.count() == 8200 and 50 < seen[0] < 200
+
+
 def test_word_cells_do_not_depend_on_the_block():
     texts = [b"One two,three", b"", "één TWO".encode(), b"##"]
     doc, cell = toxicity.word_cells(texts)
@@ -173,7 +196,7 @@ def test_toxicity_joined_words_score_like_broadcast_words(spark, odd, none, monk
     few = docs.unionByName(docs.limit(50)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
     marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     run = lambda: [sorted(toxicity.score_toxicity(d, m).selectExpr(
-        "coalesce(doc_id, -1)", "md5(coalesce(text, ''))", "_score", "_predicted").collect()) for d, m in ((few, labels), (odd, marks))]
+        "coalesce(row.doc_id, -1)", "md5(coalesce(row.text, ''))", "score", "predicted").collect()) for d, m in ((few, labels), (odd, marks))]
     broadcast = run()
     monkeypatch.setattr(toxicity, "BROADCAST_WORDS", -1)
     for one, two in zip(broadcast, run(), strict=True):
@@ -531,7 +554,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     found = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in found) for k in range(1, 11)] == [1] * 10 and "pipeline" in found
+    assert [sum(n.startswith(f"op{k}_") for n in found) for k in range(1, 14)] == [1] * 13 and "pipeline" in found
 
 
 def test_pipeline_stages(spark):
@@ -563,3 +586,24 @@ def test_pipeline_stages(spark):
             assert words(new.values()) >= cp.SHARE * words(old.values()) - 100 and len(new) < len(old)
         before = after
     unpacked(cp.STAGES[-1][1](spark, before, SF).collect(), {r.doc_id: r.text for r in before.collect()}, 1024)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing names and an empty table in every stage."""
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(1, 1), (2, 0), (None, 1), (77, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd.withColumns({c: F.lit("x") for c in ("_text", "_held_out", "_id", "_row", "tokens", "domain", "epoch", "fingerprint")})
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert 0 < len(rows) <= docs.count() and {(r.doc_id, r.text) for r in rows} <= texts, name
+        if name == "exact_dedup":
+            assert len(rows) == 6
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    pieces = cp.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {i for i, _ in texts}
+    assert cp.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
