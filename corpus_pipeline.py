@@ -22,7 +22,7 @@ SHARE = 0.9
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are not predicted to be toxic. One pass over the texts, nothing shuffled but counts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_toxicity(docs, labels).where("_predicted = 0").select(*docs.columns)
+    return score_toxicity(docs, labels).where("predicted = 0").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
