@@ -13,10 +13,17 @@ Two shapes of the sample table:
 Both are exchanged by ``frames_to_signals`` (no shuffle) and
 ``signals_to_frames``. Spectra stay arrays of one row per channel, so bands are
 array slices and need no shuffle either.
+
+Either shape may have a halo: ``samples`` run on past the chunk, of which ``own``
+samples are its own. A window belongs to the chunk that owns its first sample, so
+with a halo of a window's length every window is whole in one row and samples are
+never shuffled. ``without_halo`` gives the plain chunks back.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,8 +37,14 @@ BANDS = {"Delta": (0.5, 4.0), "Theta": (4.0, 8.0), "Alpha": (8.0, 13.0),
 
 
 def frames_to_signals(frames: DataFrame) -> DataFrame:
+    halo = ["s.own"] if "own" in frames.schema["signals"].dataType.elementType.names else []
     return frames.select("file_id", "chunk", F.explode("signals").alias("s")).select(
-        "file_id", "chunk", "s.channel", "s.sfreq", "s.n_samples", "s.start", "s.samples")
+        "file_id", "chunk", "s.channel", "s.sfreq", "s.n_samples", "s.start", "s.samples", *halo)
+
+
+def without_halo(signals: DataFrame) -> DataFrame:
+    """Only the samples that a chunk owns."""
+    return signals.withColumn("samples", F.slice("samples", F.lit(1), F.col("own").cast("int"))).drop("own")
 
 
 def signals_to_frames(signals: DataFrame) -> DataFrame:
@@ -68,13 +81,21 @@ def _window_columns(signals: DataFrame, length: Column, overlap: float) -> DataF
 def segment_signal(signals: DataFrame, length: Column, overlap: float = 0.5) -> DataFrame:
     """Complete overlapping windows, also where they cross chunk borders.
 
-    Every chunk is cut into the pieces it gives to the windows it touches, and
+    With a halo every window is cut from the chunk that owns its first sample, without a
+    shuffle; a halo shorter than a window is an error. Else every chunk is cut into the pieces it gives to the windows it touches, and
     the pieces of a window meet by ``(file, channel, window)``: small groups,
     however long a recording is. Rows: ``segment`` and its ``samples``.
     """
     w = _window_columns(signals, length, overlap)
     begin, end = F.col("start"), F.col("start") + F.size("samples")
     last = F.floor((F.col("n_samples") - F.col("nperseg")) / F.col("hop"))
+    if "own" in signals.columns:
+        first = F.ceil(begin / F.col("hop"))
+        upto = F.least(last, F.floor((begin + F.col("own") - 1) / F.col("hop")))
+        cut = F.slice("samples", (F.col("segment") * F.col("hop") - begin + 1).cast("int"), F.col("nperseg").cast("int"))
+        return w.withColumn("segment", F.explode(F.when(upto >= first, F.sequence(first, upto)))).select(
+            "file_id", "channel", "sfreq", "nperseg", "hop", "segment",
+            F.when(F.size(cut) == F.col("nperseg"), cut).otherwise(F.raise_error(F.lit(SHORT_HALO))).alias("samples"))
     first = F.greatest(F.floor((begin - F.col("nperseg")) / F.col("hop")) + 1, F.lit(0))
     upto = F.least(last, F.floor((end - 1) / F.col("hop")))
     touched = F.when(upto >= first, F.sequence(first, upto))
@@ -91,6 +112,8 @@ def segment_signal(signals: DataFrame, length: Column, overlap: float = 0.5) ->
     )
 
 
+SHORT_HALO = "the halo is shorter than a window"
+
 _PSD = ("file_id string, channel string, sfreq double, nperseg bigint, "
         "n_segments bigint, power array<double>")
 
@@ -103,29 +126,42 @@ def _window(name: str, n: int) -> np.ndarray:
     raise ValueError(f"unknown window: {name}")
 
 
+def owned_windows(x: np.ndarray, start: int, own: int, total: int, n: int, hop: int) -> np.ndarray:
+    """(k, n): the windows of a channel of ``total`` samples whose first sample is among the ``own`` from ``start`` on."""
+    begin = -start % hop
+    count = max(0, min(own - 1 - begin, total - n - start - begin) // hop + 1)
+    if n < 1 or not count:
+        return np.zeros((0, max(n, 1)))
+    if begin + (count - 1) * hop + n > len(x):
+        raise ValueError(SHORT_HALO)
+    return np.lib.stride_tricks.sliding_window_view(x, n)[begin::hop][:count]
+
+
+def densities(seg: np.ndarray, fs: float, window: str) -> np.ndarray:
+    """(k, n // 2 + 1): one-sided density of every window, its mean taken off."""
+    n = seg.shape[1]
+    taper = _window(window, n)
+    spec = np.fft.rfft((seg - seg.mean(axis=1, keepdims=True)) * taper, axis=1)
+    power = (spec.real ** 2 + spec.imag ** 2) / (fs * (taper ** 2).sum())
+    power[:, 1:(-1 if n % 2 == 0 else None)] *= 2
+    return power
+
+
 def _periodograms(window: str):
-    """Arrow kernel: mean one-sided density of the windows inside each row."""
+    """Arrow kernel: mean one-sided density of the windows that each row owns."""
     def run(batches):
         for batch in batches:
             column = batch.column("samples")
             flat = column.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
             rates = batch.column("sfreq").to_numpy(zero_copy_only=False)
-            sizes = batch.column("nperseg").to_numpy(zero_copy_only=False)
-            hops = batch.column("hop").to_numpy(zero_copy_only=False)
+            names = ("start", "own", "n_samples", "nperseg", "hop")
+            places = zip(*(batch.column(c).to_pylist() for c in names))
             powers, counts, begin = [], [], 0
-            for end, fs, n, hop in zip(ends, rates, sizes, hops):
+            for end, fs, place in zip(ends, rates, places):
                 x, begin = flat[begin:end].astype(np.float64), end
-                if n < 1 or len(x) < n:
-                    powers.append(None)
-                    counts.append(0)
-                    continue
-                seg = np.lib.stride_tricks.sliding_window_view(x, n)[::hop]
-                taper = _window(window, n)
-                spec = np.fft.rfft((seg - seg.mean(axis=1, keepdims=True)) * taper, axis=1)
-                power = (spec.real ** 2 + spec.imag ** 2).mean(axis=0) / (fs * (taper ** 2).sum())
-                power[1:(-1 if n % 2 == 0 else None)] *= 2
-                powers.append(power)
+                seg = owned_windows(x, *place)
+                powers.append(densities(seg, fs, window).mean(axis=0) if len(seg) else None)
                 counts.append(len(seg))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("file_id"), batch.column("channel"), batch.column("sfreq"),
@@ -139,16 +175,21 @@ def welch_psd(signals: DataFrame, length: Column, overlap: float = 0.5,
               window: str = "hann", chunked: bool = False) -> DataFrame:
     """Averaged periodograms: ``power`` holds the density of bins 0..nperseg/2.
 
-    Rows that hold a whole channel are transformed where they are. With
-    ``chunked`` the windows are put together first and the spectra of a channel
-    are averaged by a combined aggregation.
+    Rows that hold a whole channel are transformed where they are. With ``chunked`` the
+    spectra of a channel's rows are averaged by a combined aggregation: with a halo each
+    row gives the windows it owns, so only spectra are shuffled; without one the windows
+    are put together first.
     """
-    if chunked:
-        rows = segment_signal(signals, length, overlap)
+    halo = "own" in signals.columns
+    if chunked and not halo:
+        rows = segment_signal(signals, length, overlap).withColumn("n_samples", F.col("nperseg"))
     else:
         rows = _window_columns(signals, length, overlap)
-    one = rows.select(F.col("file_id").cast("string"), "channel", "sfreq", "nperseg", "hop",
-                      "samples").mapInArrow(_periodograms(window), _PSD)
+    whole = F.size("samples").cast("bigint")
+    one = rows.select(
+        F.col("file_id").cast("string"), "channel", "sfreq", "nperseg", "hop", "samples", "n_samples" if halo else whole.alias("n_samples"),
+        "start" if halo else F.lit(0).cast("bigint").alias("start"), "own" if halo else whole.alias("own"),
+    ).mapInArrow(_periodograms(window), _PSD)
     one = one.where("n_segments > 0")
     if not chunked:
         return one
@@ -306,6 +347,11 @@ _PAIRS = ("file_id string, a string, b string, n bigint, ma double, mb double, "
           "caa double, cbb double, cab double")
 
 
+def unlike_pairs(rows: list[np.ndarray]):
+    """Pairs of channels with unlike numbers of samples in a frame: rates differ, so they have no common moments."""
+    return [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(rows[i]) != len(rows[j])]
+
+
 def _pair_moments(batches):
     """Arrow kernel: moments of every channel pair of a frame."""
     for batch in batches:
@@ -321,6 +367,12 @@ def _pair_moments(batches):
             rows = [np.asarray(arrays[i].values, dtype=np.float64)
                     for i in range(begin, begin + size)]
             begin += size
+            for a, b in unlike_pairs(rows):
+                out["file_id"].append(file_id)
+                out["a"].append(label[a])
+                out["b"].append(label[b])
+                for name in ("n", "ma", "mb", "caa", "cbb", "cab"):
+                    out[name].append(0)
             for length in sorted({len(r) for r in rows}):
                 pick = [i for i, r in enumerate(rows) if len(r) == length]
                 if length == 0 or len(pick) < 2:
@@ -344,7 +396,7 @@ def _pair_moments(batches):
 
 
 def pair_correlation(frames: DataFrame) -> DataFrame:
-    """Pearson r of every channel pair of a recording.
+    """Pearson r of every channel pair of a recording; null where the rates of the two differ.
 
     Frames hold all channels of a chunk, so moments are taken where the samples
     are and only a few numbers per pair are shuffled and merged.
@@ -359,7 +411,7 @@ def pair_correlation(frames: DataFrame) -> DataFrame:
     def comoment(c, x, y):
         cross = F.sum(F.col("n") * F.col(x) * F.col(y))
         return (F.sum(c) + cross
-                - F.sum(F.col("n") * F.col(x)) * F.sum(F.col("n") * F.col(y)) / n)
+                - F.try_divide(F.sum(F.col("n") * F.col(x)) * F.sum(F.col("n") * F.col(y)), n))
 
     sums = moments.groupBy("file_id", "a", "b").agg(
         comoment("caa", "ma", "ma").alias("caa"), comoment("cbb", "mb", "mb").alias("cbb"),
@@ -370,8 +422,8 @@ def pair_correlation(frames: DataFrame) -> DataFrame:
 def interchannel_corr(frames: DataFrame, skip_undefined: bool = True) -> DataFrame:
     """Mean absolute r over channel pairs.
 
-    A constant channel has no r: its pairs are skipped, or make the whole
-    recording null.
+    A constant channel has no r, nor have channels of unlike rates: such pairs are
+    skipped, or make the whole recording null.
     """
     pairs = pair_correlation(frames)
     mean = F.avg(F.abs("r"))
@@ -384,27 +436,197 @@ def file_quality(channels: DataFrame, corr: DataFrame, headers: DataFrame) -> Da
     """Per recording: rate, minutes, mean and minimum SNR, mean correlation."""
     snr = channels.groupBy("file_id").agg(F.avg("snr_db").alias("mean_snr_db"),
                                           F.min("snr_db").alias("min_snr_db"))
-    head = headers.select("file_id", "split", "label", "sfreq",
-                          (F.col("dur_ms") / 60000).alias("duration_min"))
-    return (head.join(snr, "file_id")
+    return (_recording_head(headers).join(snr, "file_id")
             .join(corr.withColumnRenamed("mean_corr", "mean_inter_channel_corr"),
                   "file_id", "left"))
 
 
-def recording_signal_stats(signals: DataFrame, frames: DataFrame, labels: DataFrame,
-                           chunked: bool = False) -> DataFrame:
-    """Per recording: SNR proxy, correlation, alpha peak, four bands, group, subset."""
-    bands = {b: e for b, e in BANDS.items() if b != "Gamma"}
-    slow = welch_psd(signals, F.col("sfreq") * 10, chunked=chunked)
-    fast = welch_psd(signals, F.col("sfreq") * 2, chunked=chunked)
-    rel = relative_band_power(band_power_sum(fast, bands, (0.5, 30.0)), bands, 1e-9)
-    mean = rel.groupBy("file_id").agg(*[F.avg(b).alias(b) for b in bands])
-    corr = interchannel_corr(frames, skip_undefined=False).withColumnRenamed(
-        "mean_corr", "correlation")
-    return (
-        labels.join(snr_proxy_db(slow), "file_id").join(corr, "file_id", "left")
-        .join(posterior_alpha_peak(signals, chunked), "file_id", "left").join(mean, "file_id")
-    )
+def _recording_head(headers: DataFrame) -> DataFrame:
+    return headers.select("file_id", "split", "label", "sfreq",
+                          (F.col("dur_ms") / 60000).alias("duration_min"))
+
+
+# ---- one pass over the samples -------------------------------------------
+
+class Spectrum(NamedTuple):
+    """What one pass keeps of a channel's spectrum: sums and integrals over bands and the bins of one band.
+
+    All of it is linear in the periodograms, so it adds up over windows and chunks.
+    """
+    name: str
+    seconds: float | None = None
+    points: int | None = None
+    overlap: float = 0.5
+    window: str = "hann"
+    sums: tuple = ()
+    areas: tuple = ()
+    bins: tuple | None = None
+    channels: tuple | None = None
+
+    def length(self, fs: float, total: int) -> int:
+        return min(int(self.points or self.seconds * fs), total)
+
+
+def _kept(power: np.ndarray, spec: Spectrum, fs: float, n: int) -> tuple[np.ndarray, int]:
+    """(sums, areas and bins of a spectrum, number of the first bin)."""
+    def inside(lo, hi):
+        first, last = int(np.ceil(lo * n / fs)), min(int(np.floor(hi * n / fs)), len(power) - 1)
+        return first, power[first:max(last + 1, first)]
+
+    bands = [inside(*edge)[1] for edge in spec.areas]
+    areas = [(p.sum() - (p[0] + p[-1]) / 2) * fs / n if len(p) > 1 else 0.0 for p in bands]
+    first, bins = inside(*spec.bins) if spec.bins else (0, power[:0])
+    return np.r_[[inside(*edge)[1].sum() for edge in spec.sums], areas, bins], first
+
+
+_STATES = ("file_id string, kind string, a string, b string, step double, first int, n bigint, v array<double>")
+#: Kind of the rows with the moments of a channel pair.
+PAIR = "pair"
+
+
+def _states(spectra: list[Spectrum]):
+    """Arrow kernel: everything that is kept of a frame, channel by channel and pair by pair."""
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            entries = batch.column("signals").flatten()
+            fields = [entries.field(c).to_pylist() for c in ("channel", "sfreq", "n_samples", "start", "own")]
+            arrays, begin = entries.field("samples"), 0
+            for file_id, size in zip(batch.column("file_id").to_pylist(), batch.column("signals").value_lengths().to_pylist()):
+                whole = [np.asarray(arrays[i].values, dtype=np.float64) for i in range(begin, begin + size)]
+                names, rates, totals, starts, owns = ([f[i] for i in range(begin, begin + size)] for f in fields)
+                begin += size
+                for name, fs, total, start, own, x in zip(names, rates, totals, starts, owns, whole):
+                    for spec in spectra:
+                        if spec.channels is not None and name not in spec.channels:
+                            continue
+                        n = spec.length(fs, total)
+                        seg = owned_windows(x, start, own, total, n, n - int(n * spec.overlap))
+                        if len(seg):
+                            v, first = _kept(densities(seg, fs, spec.window).sum(axis=0), spec, fs, n)
+                            out.append((file_id, spec.name, name, None, fs / n, first, len(seg), v.tolist()))
+                rows = [x[:own] for x, own in zip(whole, owns)]
+                for i, j in unlike_pairs(rows):
+                    out.append((file_id, PAIR, names[i], names[j], 0.0, 0, 0, [0.0] * 8))
+                for length in sorted({len(r) for r in rows} - {0}):
+                    pick = [i for i, r in enumerate(rows) if len(r) == length]
+                    x = np.stack([rows[i] for i in pick])
+                    mean = x.mean(axis=1)
+                    x = x - mean[:, None]
+                    gram = x @ x.T
+                    for i in range(len(pick)):
+                        for j in range(i + 1, len(pick)):
+                            p, q = mean[i], mean[j]
+                            out.append((file_id, PAIR, names[pick[i]], names[pick[j]], 0.0, 0, length, [
+                                length * p, length * q, length * p * p, length * q * q, length * p * q,
+                                gram[i, i], gram[j, j], gram[i, j]]))
+            kinds = (pa.string(),) * 4 + (pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
+                                             names=["file_id", "kind", "a", "b", "step", "first", "n", "v"])
+    return run
+
+
+def signal_states(frames: DataFrame, spectra: list[Spectrum]) -> DataFrame:
+    """Merged states of each channel and channel pair: ``file_id, kind, a, b, step, first, n, v``.
+
+    One pass over frames with a halo of the longest window; what is shuffled are some twenty
+    numbers per channel, pair and frame, added up before the shuffle. ``v`` of a spectrum are
+    its means over ``n`` windows, in the order sums, areas, bins (``first`` is the number of
+    the first bin, ``step`` their distance in Hz); ``v`` of a pair are sums over ``n`` samples.
+    """
+    keys = ["file_id", "kind", "a", "b", "step", "first"]
+    one = frames.select(F.col("file_id").cast("string"), "signals").mapInArrow(_states(spectra), _STATES)
+    added = one.select(*keys, "n", F.posexplode("v").alias("_k", "_v")).groupBy(*keys, "_k").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
+    value = F.when(F.col("kind") == PAIR, F.col("_v")).otherwise(F.col("_v") / F.col("n"))
+    # a state has a bounded number of values
+    return added.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(
+        F.array_sort(F.collect_list(F.struct("_k", value.alias("x")))), lambda s: s["x"]).alias("v"))
+
+
+def _v(i: int) -> Column:
+    return F.get("v", F.lit(i))
+
+
+def _state_r() -> Column:
+    """Pearson r of a pair's moments; null where one channel is constant or the rates differ."""
+    ca, cb, cab = _v(5) + _v(2) - _v(0) * _v(0) / F.col("n"), _v(6) + _v(3) - _v(1) * _v(1) / F.col("n"), _v(7) + _v(4) - _v(0) * _v(1) / F.col("n")
+    return F.when(F.col("n") > 0, F.try_divide(cab, F.sqrt(ca * cb)))
+
+
+def _of(kind: str, value: Column) -> Column:
+    return F.when(F.col("kind") == kind, value)
+
+
+def _mean_r(skip_undefined: bool) -> Column:
+    """Mean absolute r over the pairs of a recording, in an aggregation of its states with a column ``r``."""
+    mean = F.avg(F.abs("r"))
+    return mean if skip_undefined else F.when(F.count_if((F.col("kind") == PAIR) & F.col("r").isNull()) == 0, mean)
+
+
+#: The spectra behind the measures of a recording.
+FOUR_BANDS = {b: e for b, e in BANDS.items() if b != "Gamma"}
+RECORDING = [
+    Spectrum("slow", seconds=10, sums=((1.0, 40.0), (40.0, 80.0))),
+    Spectrum("fast", seconds=2, sums=((0.5, 30.0), *FOUR_BANDS.values())),
+    Spectrum("posterior", points=256, overlap=0.0, window="hamming", bins=(8.0, 13.0), channels=tuple(POSTERIOR))]
+
+
+def _common_peak(states: Column) -> Column:
+    """Frequency with the largest mean density over ``states`` (step, first, v: bins); the lowest of equal ones."""
+    points = F.flatten(F.transform(states, lambda s: F.transform(
+        s["v"], lambda p, i: F.struct(((s["first"] + i) * s["step"]).alias("f"), p.alias("p")))))
+
+    def mean(f):
+        own = F.filter(points, lambda x: x["f"] == f)
+        return F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x["p"]) / F.size(own)
+
+    best = F.array_max(F.transform(F.array_distinct(F.transform(points, lambda x: x["f"])), lambda f: F.struct(mean(f).alias("m"), (-f).alias("f"))))
+    return -best["f"]
+
+
+def recording_signal_stats(frames: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per recording: the columns of ``labels`` (group, subset), SNR proxy, correlation, alpha peak and four bands.
+
+    ``frames`` have a halo of ten seconds or more; their samples are read once (``signal_states``).
+    """
+    states = signal_states(frames, RECORDING).withColumn("r", _of(PAIR, _state_r()))
+    total = _v(0) + F.lit(1e-9)
+    shares = [F.avg(_of("fast", _v(1 + i) / total)).alias(b) for i, b in enumerate(FOUR_BANDS)]
+    found = states.groupBy("file_id").agg(
+        F.median(_of("slow", 10 * F.log10(_v(0) / (_v(1) + 1e-9)))).alias("snr"), _mean_r(False).alias("correlation"),
+        # a header bounds the number of channels in a recording
+        F.collect_list(_of("posterior", F.struct("step", "first", "v"))).alias("_bins"), *shares)
+    return labels.join(found.withColumn("alpha_peak", _common_peak(F.col("_bins"))), "file_id").select(
+        *labels.columns, "snr", "correlation", "alpha_peak", *FOUR_BANDS)
+
+
+def quality_spectrum(points: int | None = None, seconds: float | None = None) -> Spectrum:
+    """The spectrum behind ``channel_measures``: total and bands by integral, and the bins of the alpha band."""
+    return Spectrum("channel", seconds=seconds, points=points, areas=((0.5, 45.0), *BANDS.values()), bins=BANDS["Alpha"])
+
+
+def _channel_columns() -> dict[str, Column]:
+    names = list(BANDS)
+    bins = F.slice("v", 2 + len(names), F.greatest(F.size("v") - 1 - len(names), F.lit(0)))
+    at = F.col("first") + F.array_position(bins, F.array_max(bins)) - 1
+    shares = {f"{b.lower()}_rel": F.try_divide(_v(1 + i), _v(0)) for i, b in enumerate(names)}
+    return shares | {
+        "snr_db": 10 * F.log10((_v(0) + 1e-12) / (_v(1 + names.index("Gamma")) + 1e-12)),
+        "alpha_peak_hz": F.when((_v(1 + names.index("Alpha")) > 0) & (F.size(bins) > 0), at * F.col("step"))}
+
+
+def channel_measures(states: DataFrame) -> DataFrame:
+    """``channel_quality`` from the states of ``quality_spectrum``."""
+    return states.where("kind = 'channel'").select(
+        "file_id", F.col("a").alias("channel"), *(c.alias(name) for name, c in _channel_columns().items()))
+
+
+def file_measures(states: DataFrame, headers: DataFrame) -> DataFrame:
+    """``file_quality`` from the states of ``quality_spectrum``: one aggregation of them."""
+    rows = states.withColumns({"r": _of(PAIR, _state_r()), "_snr": _of("channel", _channel_columns()["snr_db"])})
+    found = rows.groupBy("file_id").agg(F.avg("_snr").alias("mean_snr_db"), F.min("_snr").alias("min_snr_db"),
+                                        _mean_r(True).alias("mean_inter_channel_corr"))
+    return _recording_head(headers).join(found, "file_id")
 
 
 def alpha_window(metrics: DataFrame, column: str = "alpha_peak") -> DataFrame:

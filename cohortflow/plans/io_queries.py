@@ -132,7 +132,8 @@ def _(h):
 _NUMBER = "cast(regexp_extract(file_id, '[0-9]+$', 0) AS bigint)"
 
 
-def edf_files(h):
+def edf_files(h, damaged=True, extra=()):
+    """(path, length, content) of the recordings; ``extra`` channels repeat the samples of the first one."""
     def text(value, width):
         return F.rpad(value if not isinstance(value, str) else F.lit(value), width, " ")
 
@@ -141,30 +142,45 @@ def edf_files(h):
     swap = lambda x: F.concat(F.substring(x, 3, 2), F.substring(x, 1, 2))
     hexed = F.array_join(F.transform("samples", lambda x: swap(word(digit(x.cast("double"))))), "")
     place = F.array_position(F.array(*[F.lit(c) for c in o.hosts.SCALP_19_MIXED]), F.col("channel"))
+    names = [*o.hosts.SCALP_19_MIXED, *extra]
     rows = h.signals().select("file_id", "sfreq", "chunk", place.alias("k"), hexed.alias("data"))
+    for i in range(len(extra)):
+        rows = rows.unionByName(rows.where("k = 1").withColumn("k", F.lit(20 + i).cast("bigint")))
     whole = rows.groupBy("file_id", "sfreq").agg(
         F.array_sort(F.collect_list(F.struct("chunk", "k", "data"))).alias("rows"))
     number = F.regexp_extract("file_id", "[0-9]+$", 0).cast("bigint")
-    ns = len(o.hosts.SCALP_19_MIXED)
+    ns = len(names)
     repeat = lambda value, width: F.repeat(text(value, width), ns)
-    count = F.when(number % 5 == 1, F.concat(F.lit("4"), F.repeat(F.chr(F.lit(0)), 7))).otherwise(
+    harm = lambda kind: F.lit(damaged) & (number % 5 == kind)
+    count = F.when(harm(1), F.concat(F.lit("4"), F.repeat(F.chr(F.lit(0)), 7))).otherwise(
         text("4", 8))
-    low = F.when(number % 5 == 2, repeat("abc", 8)).otherwise(repeat("-3276.8", 8))
+    low = F.when(harm(2), repeat("abc", 8)).otherwise(repeat("-3276.8", 8))
     seconds = text(F.when(F.col("sfreq") == 200, "0.32").otherwise("0.64"), 8)
     header = F.concat(
         text("0", 8), text("X", 80), text("X", 80), text("01.01.20", 8), text("00.00.00", 8),
         text(str(256 * (ns + 1)), 8), text("", 44), count, seconds, text(str(ns), 4),
-        F.concat(*[text(c, 16) for c in o.hosts.SCALP_19_MIXED]), repeat("", 80), repeat("uV", 8),
+        F.concat(*[text(c, 16) for c in names]), repeat("", 80), repeat("uV", 8),
         low, repeat("3276.7", 8), repeat("-32768", 8), repeat("32767", 8), repeat("", 80),
         repeat("64", 8), repeat("", 32))
     content = F.concat(F.encode(header, "ISO-8859-1"), F.unhex(F.array_join(
         F.transform("rows", lambda r: r["data"]), "")))
-    content = F.when(number % 5 == 3, F.substring(content, 1, 1000)).otherwise(content)
+    content = F.when(harm(3), F.substring(content, 1, 1000)).otherwise(content)
     return whole.select(
         F.concat(F.lit("file:/edf/"), F.col("file_id"), F.lit(".edf")).alias("path"),
         F.length(content).cast("bigint").alias("length"), content.alias("content"))
 
 
+def edf_folder(h, damaged=True, extra=()):
+    """The same as files that tasks write to a new shared folder, by class and split; some names begin with ``_`` or ``.``."""
+    number = F.regexp_extract("path", r"_(\d+)\.edf$", 1).cast("bigint")
+    folder = F.concat(F.when(number % 3 == 0, "eval").otherwise("train"), F.lit("/"), F.when(number % 2 == 0, "abnormal").otherwise("normal"),
+                      F.when(number % 11 == 4, "/_more/.part/").otherwise("/"))
+    root = shared_path(h.spark, "edf")
+    tables.write_files(edf_files(h, damaged, extra).select(
+        F.concat(folder, F.substring_index("path", "/", -1)).alias("path"), "content"), root)
+    return root
+
+
 _EDF = f"""{o.SIGNAL}, f AS (SELECT file_id, sfreq, count(*) AS k,
       split_part(file_id, '_', 2)::bigint % 5 AS d FROM h_signal GROUP BY file_id, sfreq),
   e AS (SELECT *, CASE d WHEN 1 THEN 'Critical Header Corruption (Null Bytes)' WHEN 2 THEN 'ValueError'
@@ -179,7 +195,7 @@ _EDF = f"""{o.SIGNAL}, f AS (SELECT file_id, sfreq, count(*) AS k,
       AS duration_sec,
     CASE WHEN status = 'Valid' THEN 19::bigint END AS n_channels FROM e""")
 def _(h):
-    heads = edf.parse_headers(edf_files(h))
+    heads = edf.read_edf_headers(h.spark, edf_folder(h))
     return rounded(heads.select(
         "file_id", "status", "sfreq", "n_records", "n_samples", "duration_sec",
         F.when(F.col("channels").isNotNull(), F.size("channels")).cast("bigint")
@@ -202,12 +218,20 @@ def _(h):
     count(*) AS n FROM (SELECT *, unnest(samples) AS x FROM h_signal) s JOIN e ON e.file_id = s.file_id
     WHERE e.status = 'Valid' AND s.chunk < e.n_records GROUP BY ALL""")
 def _(h):
-    s = sg.frames_to_signals(edf.decode_frames(edf_files(h), chunk_sec=0.1))
+    s = edf.read_edf_signals(h.spark, edf_folder(h), chunk_sec=0.1)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
     return s.select("file_id", "channel", "chunk", "start", F.round(total, 3).alias("total"),
                     F.size("samples").cast("bigint").alias("n"))
 
 
+@query("scan_folder", f"""WITH {_EDF} SELECT file_id, CASE WHEN n % 3 = 0 THEN 'evaluation' ELSE 'train' END AS split,
+    CASE WHEN n % 2 = 0 THEN 'Abnormal' ELSE 'Normal' END AS label, n % 11 = 4 AS hidden,
+    CASE WHEN d = 3 THEN 1000 ELSE 5120 + k * 128 END AS length FROM (SELECT *, split_part(file_id, '_', 2)::bigint AS n FROM e) x""")
+def _(h):
+    found = tables.scan_files(h.spark, edf_folder(h), ("edf",))
+    return found.select(tables.clean_id(F.col("path")).alias("file_id"), "split", "label", F.col("path").contains("/_more/.part/").alias("hidden"), "length")
+
+
 # ---- jobs ---------------------------------------------------------------
 
 _SMALL = {("train", "Normal"): 12, ("evaluation", "Normal"): 6,

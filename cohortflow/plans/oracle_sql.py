@@ -251,6 +251,16 @@ pts AS (SELECT file_id, channel, sfreq, n_samples, start + pos - 1 AS i, samples
         FROM (SELECT *, unnest(range(1, len(samples) + 1)) AS pos FROM h_signal) s)"""
 
 
+#: The same as the EDF files hold them: whole records, a tenth of a micro-volt per digit.
+SIGNAL_EDF = f"""h_raw AS ({host(hosts.SIGNAL_SQL)}),
+h_records AS (SELECT file_id, count(*) // 19 AS n_records FROM h_raw GROUP BY file_id),
+h_signal AS (SELECT s.file_id, chunk, channel, sfreq, n_records * 64 AS n_samples, start,
+        list_transform(samples, lambda x: (least(greatest(round(x::double * 1000), -32768), 32767) * 0.1)::FLOAT) AS samples
+        FROM h_raw s JOIN h_records r ON r.file_id = s.file_id WHERE chunk < n_records),
+pts AS (SELECT file_id, channel, sfreq, n_samples, start + pos - 1 AS i, samples[pos]::double AS x
+        FROM (SELECT *, unnest(range(1, len(samples) + 1)) AS pos FROM h_signal) s)"""
+
+
 def psd(n, overlap: float = 0.5, window: str = "hann", tag: str = "") -> str:
     """Windows of ``n`` samples and their spectrum by explicit sums."""
     a, b = (0.5, 0.5) if window == "hann" else (0.54, 0.46)

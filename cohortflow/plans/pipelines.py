@@ -76,16 +76,42 @@ def validate_annotations(rows: DataFrame, headers: DataFrame) -> ValidationResul
         reasons=events.reason_report(table), excess=events.excess_seconds(table))
 
 
-def assess_signals(spark: SparkSession, root: str, chunk_sec: float | None = None) -> DataFrame:
-    """Recordings below a folder to one row of quality measures each.
+#: Seconds of the longest window of ``recording_signal_stats``, and of the samples a task holds at a time.
+LONGEST_WINDOW, CHUNK_SEC = 10.0, 600.0
 
-    Only the 19 standard channels count: references and ECG are left out before any measure.
-    """
-    frames = edf.read_edf_frames(spark, root, chunk_sec=chunk_sec).withColumn("signals", F.filter(
+
+def scalp_frames(spark: SparkSession, root: str, tmax: float | None = None, chunk_sec: float | None = CHUNK_SEC,
+                 halo_sec: float = LONGEST_WINDOW) -> DataFrame:
+    """Frames of the 19 standard channels: references and ECG are left out before any measure."""
+    return edf.read_edf_frames(spark, root, tmax, chunk_sec, halo_sec).withColumn("signals", F.filter(
         "signals", lambda s: F.array_contains(vocabulary(SCALP_19), norm_channel(s["channel"]))))
-    signals = signal.frames_to_signals(frames)
+
+
+def assess_signals(spark: SparkSession, root: str, chunk_sec: float | None = CHUNK_SEC) -> DataFrame:
+    """Recordings below a folder to one row of quality measures each, in one pass over their samples."""
     labels = tables.scan_files(spark, root, ("edf",)).select(
         tables.clean_id(F.col("path")).alias("file_id"),
         text.recording_group(F.col("path")).alias("group"),
         text.recording_subset(F.col("path")).alias("subset"))
-    return signal.recording_signal_stats(signals, frames, labels, chunk_sec is not None)
+    return signal.recording_signal_stats(scalp_frames(spark, root, chunk_sec=chunk_sec), labels)
+
+
+def extract_features(spark: SparkSession, root: str, tmax: float = 60.0, seconds: float = 2.0) -> DataFrame:
+    """Features of the first ``tmax`` seconds of the 19 channels of every readable recording, with split and class."""
+    frames = scalp_frames(spark, root, tmax, None, 0.0)
+    psd = signal.welch_psd(signal.frames_to_signals(frames), F.col("sfreq") * seconds)
+    heads = edf.read_edf_headers(spark, root).where("status = 'Valid'").select("file_id", "split", "label")
+    return heads.join(signal.signal_features(psd), "file_id")
+
+
+@dataclass
+class QualityResult:
+    channels: DataFrame
+    files: DataFrame
+
+
+def check_channels(spark: SparkSession, root: str, seconds: float = 2.0, chunk_sec: float = CHUNK_SEC) -> QualityResult:
+    """Quality of every channel and recording below a folder; each table is one pass over the samples."""
+    states = signal.signal_states(scalp_frames(spark, root, chunk_sec=chunk_sec, halo_sec=seconds), [signal.quality_spectrum(seconds=seconds)])
+    return QualityResult(signal.channel_measures(states), signal.file_measures(
+        states, edf.read_edf_headers(spark, root).where("status = 'Valid'")))

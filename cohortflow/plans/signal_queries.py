@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import channels as ch
 from ..operators import model as md, signal as sg, split as sp, statistics as st
-from . import oracle_sql as o
+from ..sources import edf
+from . import oracle_sql as o, pipelines
+from .io_queries import edf_folder
 from .registry import query, rounded
 
 LENGTH = 32
@@ -25,11 +27,17 @@ def frames(h):
     return sg.signals_to_frames(h.signals())
 
 
+def read_frames(h, halo_sec, extra=()):
+    """Frames of one record each that are read from EDF files, with a halo; only the scalp channels."""
+    return pipelines.scalp_frames(h.spark, edf_folder(h, False, extra), chunk_sec=0.1, halo_sec=halo_sec)
+
+
 def _inside(lo, hi):
     return f"freq >= {lo} AND freq <= {hi}"
 
 
 _PSD = f"{o.SIGNAL}, {o.psd(LENGTH)}"
+_PSD_EDF = f"{o.SIGNAL_EDF}, {o.psd(LENGTH)}"
 
 
 def _sum(lo, hi):
@@ -83,11 +91,11 @@ def _(h):
     return parts[0].unionByName(parts[1])
 
 
-@query("segment_signal", f"""WITH {_PSD} SELECT file_id, channel, k AS segment, count(*) AS n,
+@query("segment_signal", f"""WITH {_PSD_EDF} SELECT file_id, channel, k AS segment, count(*) AS n,
     round(sum(x), 5) AS total, round(sum(x * j), 4) AS moment FROM seg
     GROUP BY file_id, channel, k""")
 def _(h):
-    s = sg.segment_signal(h.signals(), F.lit(LENGTH))
+    s = sg.segment_signal(sg.frames_to_signals(read_frames(h, 0.32)), F.lit(LENGTH))
     x = F.posexplode("samples").alias("j", "x")
     rows = s.select("file_id", "channel", "segment", x)
     return rows.groupBy("file_id", "channel", "segment").agg(
@@ -95,7 +103,15 @@ def _(h):
         F.round(F.sum(F.col("x").cast("double") * F.col("j")), 4).alias("moment"))
 
 
-@query("welch_psd", f"""WITH {_PSD} SELECT file_id, channel, bin, round(freq, 6) AS freq,
+@query("welch_psd", f"""WITH {_PSD_EDF} SELECT file_id, channel, bin, round(freq, 6) AS freq,
+    round(power, 6) AS power FROM psd""")
+def _(h):
+    psd = sg.welch_psd(sg.frames_to_signals(read_frames(h, 0.32)), F.lit(LENGTH), chunked=True)
+    long = sg.psd_long(psd).withColumn("bin", F.col("bin").cast("bigint"))
+    return rounded(rounded(long, "freq"), "power", digits=6)
+
+
+@query("welch_psd_shuffled", f"""WITH {_PSD} SELECT file_id, channel, bin, round(freq, 6) AS freq,
     round(power, {DIGITS}) AS power FROM psd""")
 def _(h):
     long = sg.psd_long(spectra(h)).withColumn("bin", F.col("bin").cast("bigint"))
@@ -187,6 +203,26 @@ def _(h):
     return sg.flat_channels(h.signals(), 0.125)
 
 
+@query("uneven_rates", f"""WITH {o.SIGNAL}, slow AS (SELECT DISTINCT file_id FROM h_signal WHERE split_part(file_id, '_', 2)::bigint % 3 = 1),
+    pairs AS (SELECT a.file_id, CASE WHEN s.file_id IS NULL OR 'O1' NOT IN (a.channel, b.channel) THEN corr(a.x, b.x) END AS r
+      FROM pts a JOIN pts b ON a.file_id = b.file_id AND a.i = b.i AND a.channel < b.channel LEFT JOIN slow s ON s.file_id = a.file_id
+      GROUP BY a.file_id, a.channel, b.channel, s.file_id)
+    SELECT file_id, round(avg(abs(r)), 6) AS skipped, CASE WHEN count(*) = count(r) THEN round(avg(abs(r)), 6) END AS whole
+    FROM pairs GROUP BY file_id""")
+def _(h):
+    """One channel of every third recording has half the rate of the others."""
+    slow = (F.col("channel") == "O1") & (F.regexp_extract("file_id", r"(\d+)$", 1).cast("bigint") % 3 == 1)
+    every_second = F.filter("samples", lambda x, i: i % 2 == 0)
+    half = lambda c: F.when(slow, F.floor(F.col(c) / 2)).otherwise(F.col(c)).cast("bigint")
+    rows = h.signals().withColumns({
+        "samples": F.when(slow, every_second).otherwise(F.col("samples")), "n_samples": half("n_samples"), "start": half("start"),
+        "sfreq": F.when(slow, F.col("sfreq") / 2).otherwise(F.col("sfreq"))})
+    f = sg.signals_to_frames(rows)
+    both = sg.interchannel_corr(f).withColumnRenamed("mean_corr", "skipped").join(
+        sg.interchannel_corr(f, skip_undefined=False).withColumnRenamed("mean_corr", "whole"), "file_id")
+    return rounded(both, "skipped", "whole")
+
+
 _CORR = f"""pairs AS (SELECT a.file_id, a.channel AS ca, b.channel AS cb, corr(a.x, b.x) AS r
     FROM pts a JOIN pts b ON a.file_id = b.file_id AND a.i = b.i AND a.channel < b.channel
     GROUP BY ALL), rr AS (SELECT file_id, avg(abs(r)) AS mean_corr FROM pairs GROUP BY file_id)"""
@@ -221,10 +257,12 @@ def _(h):
 
 
 _RELS = [f"{b.lower()}_rel" for b in sg.BANDS]
-_CHAN = f"""{_AREAS}, chan AS (SELECT file_id, channel,
+_CHAN_TAIL = f"""chan AS (SELECT file_id, channel,
     {', '.join(f'"{b}" / nullif(total, 0) AS {b.lower()}_rel' for b in sg.BANDS)},
     10 * log10((total + 1e-12) / ("Gamma" + 1e-12)) AS snr_db,
     CASE WHEN "Alpha" > 0 THEN peak END AS alpha_peak_hz FROM areas)"""
+_CHAN = f"{_AREAS}, {_CHAN_TAIL}"
+_CHAN_EDF = f"{_AREAS.replace(_PSD, _PSD_EDF)}, {_CHAN_TAIL}"
 
 
 @query("channel_quality", f"""WITH {_CHAN} SELECT file_id, channel,
@@ -233,6 +271,17 @@ def _(h):
     return rounded(sg.channel_quality(spectra(h)), *_RELS, "snr_db", "alpha_peak_hz")
 
 
+def states(h):
+    """All that one pass over the recordings keeps."""
+    return sg.signal_states(read_frames(h, 0.32, ("ECG", "A1")), [sg.quality_spectrum(points=LENGTH)])
+
+
+@query("channel_measures", f"""WITH {_CHAN_EDF} SELECT file_id, channel,
+    {_rounded([*_RELS, 'snr_db', 'alpha_peak_hz'], 5)} FROM chan""")
+def _(h):
+    return rounded(sg.channel_measures(states(h)), *_RELS, "snr_db", "alpha_peak_hz", digits=5)
+
+
 def recordings(h):
     """Split, class and length of the host recordings."""
     n = F.regexp_extract("file_id", r"(\d+)$", 1).cast("bigint")
@@ -249,14 +298,17 @@ _RECORDINGS = """recs AS (SELECT file_id, sfreq, max(n_samples) AS n_samples,
     FROM h_signal GROUP BY ALL)"""
 
 
-@query("file_quality", f"""WITH {_CHAN}, {_CORR}, {_RECORDINGS} SELECT r.file_id, r.split, r.label, r.sfreq,
+@query("file_quality", f"""WITH {_CHAN_EDF}, {_CORR}, {_RECORDINGS} SELECT r.file_id, r.split, r.label, r.sfreq,
     round((r.n_samples - 1) / r.sfreq / 60, 6) AS duration_min, round(avg(c.snr_db), 6) AS mean_snr_db,
     round(min(c.snr_db), 6) AS min_snr_db, round(max(rr.mean_corr), 6) AS mean_inter_channel_corr
     FROM recs r JOIN chan c ON c.file_id = r.file_id LEFT JOIN rr ON rr.file_id = r.file_id
     GROUP BY r.file_id, r.split, r.label, r.sfreq, r.n_samples""")
 def _(h):
-    q = sg.file_quality(sg.channel_quality(spectra(h)), sg.interchannel_corr(frames(h)),
-                        recordings(h))
+    # lengths count whole records
+    n = F.floor(F.col("_rows") / 19) * 64
+    lengths = h.signals().groupBy("file_id").agg(F.count("*").alias("_rows"))
+    heads = recordings(h).drop("dur_ms").join(lengths, "file_id").withColumn("dur_ms", (n - 1) * 1000 / F.col("sfreq"))
+    q = sg.file_measures(states(h), heads.drop("_rows"))
     return rounded(q, "duration_min", "mean_snr_db", "min_snr_db", "mean_inter_channel_corr")
 
 
@@ -274,30 +326,26 @@ def _(h):
 
 
 
-def stats(h):
-    n = F.regexp_extract("file_id", r"(\d+)$", 1).cast("bigint")
-    who = h.signals().select("file_id").distinct().select(
-        "file_id", F.when(n % 2 == 0, "Abnormal").otherwise("Normal").alias("group"))
-    return sg.recording_signal_stats(h.signals(), frames(h), who, chunked=True)
-
-
 _FOUR = [b for b in sg.BANDS if b != "Gamma"]
-_STATS = f"""{o.SIGNAL}, {o.psd('sfreq * 10')}, {o.psd('sfreq * 2', tag='_2')}, {_PROXY}, {_CORR}, four AS (SELECT file_id,
+_STATS = f"""{o.SIGNAL_EDF}, {o.psd('sfreq * 10')}, {o.psd('sfreq * 2', tag='_2')},
+    {o.psd(256, 0.0, 'hamming', tag='_256')}, {_POST_PEAK.replace('FROM psd', 'FROM psd_256')}, {_PROXY}, {_CORR}, four AS (SELECT file_id,
       {', '.join(f'avg("{b}" / (total + 1e-9)) AS "{b}"' for b in _FOUR)} FROM (
         SELECT file_id, channel, {_sum(0.5, 30)} AS total,
         {', '.join(f'{_sum(*sg.BANDS[b])} AS "{b}"' for b in _FOUR)} FROM psd_2
         GROUP BY file_id, channel) c GROUP BY file_id),
     who AS (SELECT DISTINCT file_id, CASE WHEN split_part(file_id, '_', 2)::bigint % 2 = 0
-      THEN 'Abnormal' ELSE 'Normal' END AS "group" FROM h_signal)"""
+      THEN 'Abnormal' ELSE 'Normal' END AS "group", CASE WHEN split_part(file_id, '_', 2)::bigint % 3 = 0
+      THEN 'eval' ELSE 'train' END AS subset FROM h_signal)"""
 
 
-@query("recording_signal_stats", f"""WITH {_STATS} SELECT w.file_id, w."group", round(p.snr, 5) AS snr,
-    round(rr.mean_corr, 6) AS correlation, {', '.join(f'round(f."{b}", 6) AS "{b}"' for b in _FOUR)}
+@query("recording_signal_stats", f"""WITH {_STATS} SELECT w.file_id, w."group", w.subset, round(p.snr, 4) AS snr,
+    round(k.alpha_peak, 6) AS alpha_peak, round(rr.mean_corr, 6) AS correlation, {', '.join(f'round(f."{b}", 6) AS "{b}"' for b in _FOUR)}
     FROM who w JOIN proxy p ON p.file_id = w.file_id LEFT JOIN rr ON rr.file_id = w.file_id
-    JOIN four f ON f.file_id = w.file_id""")
+    JOIN four f ON f.file_id = w.file_id LEFT JOIN peaks k ON k.file_id = w.file_id""")
 def _(h):
-    s = rounded(stats(h), "correlation", *_FOUR).withColumn("snr", F.round("snr", 5))
-    return s.select("file_id", "group", "snr", "correlation", *_FOUR)
+    """The job over a folder of recordings, which have channels beside the scalp."""
+    s = pipelines.assess_signals(h.spark, edf_folder(h, False, ("ECG", "A1")), chunk_sec=0.1)
+    return rounded(s, "correlation", "alpha_peak", *_FOUR).withColumn("snr", F.round("snr", 4))
 
 
 @query("metric_median_iqr", f"""WITH {_CHAN}, m AS (SELECT 'snr_db' AS metric, snr_db AS v FROM chan

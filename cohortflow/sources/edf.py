@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.binding import computed_once
 from ..functions.channels import EXPECTED_22, norm_channel, set_difference, vocabulary
 from ..operators.signal import frames_to_signals
-from .tables import clean_id, describe_paths, open_store
+from .tables import clean_id, describe_paths, list_files, open_store
 
 # Width in bytes of the per-signal header fields, in file order.
 SIGNAL_FIELDS = (("label", 16), ("transducer", 80), ("unit", 8), ("phys_min", 8),
@@ -164,11 +164,6 @@ def _heads(batches):
             names=["path", "length", "content"])
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.[eE][dD][fF]").load(root)
-
-
 def read_edf_headers(spark: SparkSession, root: str) -> DataFrame:
     """Headers of all recordings below a folder; samples are not read.
 
@@ -178,19 +173,19 @@ def read_edf_headers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _read_heads(spark: SparkSession, root: str) -> DataFrame:
-    listing = _files(spark, root).select("path", "length")
+    listing = list_files(spark, root).where(F.lower("path").endswith(".edf")).select("path", "length")
     return parse_headers(listing.mapInArrow(_heads, "path string, length bigint, content binary"))
 
 
 _FRAMES = ("file_id string, chunk bigint, signals array<struct<channel: string, sfreq: double, "
-           "n_samples: bigint, start: bigint, samples: array<float>>>")
+           "n_samples: bigint, start: bigint, own: bigint, samples: array<float>>>")
 _SIGNAL = pa.struct([("channel", pa.string()), ("sfreq", pa.float64()),
-                     ("n_samples", pa.int64()), ("start", pa.int64()),
+                     ("n_samples", pa.int64()), ("start", pa.int64()), ("own", pa.int64()),
                      ("samples", pa.list_(pa.float32()))])
 
 
 def _frame(row: dict, data: np.ndarray, chunk: int, first: int, tmax: float | None):
-    """One frame of the records ``data``, of which the first is record ``first``; None without samples."""
+    """One frame of the records ``data`` from record ``first`` on, the own ones and the halo; None without own samples."""
     spr = [int(n) for n in row["spr"]]
     at = np.concatenate([[0], np.cumsum(spr)])
     signals = []
@@ -204,6 +199,7 @@ def _frame(row: dict, data: np.ndarray, chunk: int, first: int, tmax: float | No
         if len(x):
             signals.append({
                 "channel": s["channel"], "sfreq": s["sfreq"], "n_samples": total, "start": here,
+                "own": min(int(row["take"]) * spr[k], len(x)),
                 "samples": (x * s["gain"] + s["offset"]).astype(np.float32)})
     if not signals:
         return None
@@ -212,29 +208,12 @@ def _frame(row: dict, data: np.ndarray, chunk: int, first: int, tmax: float | No
         names=["file_id", "chunk", "signals"])
 
 
-def _decode(tmax: float | None, chunk_sec: float | None):
-    """Arrow kernel: int16 records to channel arrays, one frame per chunk."""
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                if not row["signals"]:
-                    continue
-                width, records = int(sum(row["spr"])), int(row["n_records"])
-                data = np.frombuffer(row["content"], dtype="<i2", offset=int(row["header_bytes"]),
-                                     count=records * width).reshape(records, width)
-                step = max(1, records if chunk_sec is None else int(chunk_sec / row["record_sec"]))
-                for chunk, first in enumerate(range(0, records, step)):
-                    frame = _frame(row, data[first:first + step], chunk, first, tmax)
-                    if frame is None:
-                        break
-                    yield frame
-    return run
-
-
-def record_ranges(headers: DataFrame, tmax: float | None = None, chunk_sec: float | None = None) -> DataFrame:
-    """The records to fetch of each readable recording: ``chunk, first, take`` beside its header.
+def record_ranges(headers: DataFrame, tmax: float | None = None, chunk_sec: float | None = None,
+                  halo_sec: float = 0.0) -> DataFrame:
+    """The records to fetch of each readable recording: ``chunk, first, take, fetch`` beside its header.
 
     One range per recording, or per ``chunk_sec`` seconds; records behind ``tmax`` are left out.
+    A range owns ``take`` records and fetches the halo behind them too, as far as there is one.
     """
     wanted = F.col("n_records")
     if tmax is not None:
@@ -248,7 +227,8 @@ def record_ranges(headers: DataFrame, tmax: float | None = None, chunk_sec: floa
     return rows.select(
         "file_id", "path", "header_bytes", "n_records", "record_sec", "spr", "signals", "_wanted", "_step",
         F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("_wanted") - 1, F.col("_step"))).alias("chunk", "first"),
-    ).withColumn("take", F.least("_step", F.col("_wanted") - F.col("first"))).drop("_wanted", "_step")
+    ).withColumn("take", F.least("_step", F.col("_wanted") - F.col("first"))).withColumn("fetch", F.least(
+        F.col("take") + F.ceil(F.lit(float(halo_sec)) / F.col("record_sec")), F.col("_wanted") - F.col("first"))).drop("_wanted", "_step")
 
 
 def _fetch(tmax: float | None):
@@ -258,7 +238,7 @@ def _fetch(tmax: float | None):
             for row in batch.to_pylist():
                 width = int(sum(row["spr"]))
                 raw = _read_range(row["path"], int(row["header_bytes"]) + 2 * width * row["first"],
-                                  2 * width * row["take"])
+                                  2 * width * row["fetch"])
                 data = np.frombuffer(raw, "<i2").reshape(-1, width)
                 frame = _frame(row, data, row["chunk"], row["first"], tmax)
                 if frame is not None:
@@ -266,33 +246,24 @@ def _fetch(tmax: float | None):
     return run
 
 
-def decode_frames(files: DataFrame, tmax: float | None = None,
-                  chunk_sec: float | None = None) -> DataFrame:
-    """Samples in micro-volts of ``(path, length, content)``; bad headers give none.
-
-    One frame per file, or per ``chunk_sec`` seconds. Channels of one file may
-    have different rates, so every channel has its own ``start``.
-    """
-    # damaged files have no signals and are passed over by the kernel
-    rows = parse_headers(files, keep_content=True)
-    return rows.select(
-        "file_id", "header_bytes", "n_records", "record_sec", "spr", "signals", "content",
-    ).mapInArrow(_decode(tmax, chunk_sec), _FRAMES)
-
-
 def read_edf_frames(spark: SparkSession, root: str, tmax: float | None = None,
-                    chunk_sec: float | None = None) -> DataFrame:
+                    chunk_sec: float | None = None, halo_sec: float = 0.0) -> DataFrame:
     """Frames of all recordings below a folder, fetched by byte range.
 
-    Tasks follow the sizes of the files. A crop reads only its records, and with
-    ``chunk_sec`` a task holds one chunk at a time, however long a recording is.
+    A crop reads only its records. With ``chunk_sec`` the ranges of a recording are dealt to
+    tasks of their own and a task holds one chunk at a time, however long a recording is;
+    with ``halo_sec`` a chunk carries that much of the next ones, for windows that begin in it.
     """
-    return record_ranges(_read_heads(spark, root), tmax, chunk_sec).mapInArrow(_fetch(tmax), _FRAMES)
+    ranges = record_ranges(_read_heads(spark, root), tmax, chunk_sec, halo_sec)
+    if chunk_sec is not None:
+        # by number: rows of headers are small, and adaptive execution would put them together again
+        ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "chunk")
+    return ranges.mapInArrow(_fetch(tmax), _FRAMES)
 
 
 def read_edf_signals(spark: SparkSession, root: str, tmax: float | None = None,
                      chunk_sec: float | None = None) -> DataFrame:
-    return frames_to_signals(read_edf_frames(spark, root, tmax, chunk_sec))
+    return frames_to_signals(read_edf_frames(spark, root, tmax, chunk_sec)).drop("own")
 
 
 def channel_inventory(headers: DataFrame, vocab=EXPECTED_22) -> DataFrame:

@@ -169,13 +169,44 @@ def describe_paths(files: DataFrame) -> DataFrame:
     })
 
 
+def _entries(batches):
+    """Arrow kernel: files and folders right below each folder."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    kinds = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_())
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            store, name = open_store(folder)
+            below = store.get_file_info(fs.FileSelector(name, recursive=False))
+            prefix = "file:" if folder.startswith(("file:", "/")) else folder[:len(folder) - len(name)]
+            rows = [(prefix + i.path, i.size, i.mtime, i.type == fs.FileType.Directory) for i in below if i.type != fs.FileType.NotFound]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                                             names=["path", "length", "modificationTime", "folder"])
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, length, modificationTime`` of every file below a folder, whatever its name.
+
+    Spark's own readers pass over names that begin with ``_`` or ``.``. The folders of one
+    level are dealt to tasks, which list them; each level is stored, so the driver holds no
+    path, and there are as many rounds as levels.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, found = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
+    while True:
+        below = stored(level.repartition(n, "path").mapInArrow(
+            _entries, "path string, length bigint, modificationTime timestamp, folder boolean"), "listing")
+        files = below.where("NOT folder").drop("folder")
+        found = files if found is None else found.unionByName(files)
+        level = below.where("folder").select("path")
+        if level.isEmpty():
+            return found
+
+
 def scan_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
     """Recursive inventory; file contents are never read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select("path", "length", "modificationTime")
-    )
-    found = describe_paths(files)
+    found = describe_paths(list_files(spark, root))
     if extensions:
         found = found.where(F.col("ext").isin(*[e.lower().lstrip(".") for e in extensions]))
     return found
@@ -197,6 +228,26 @@ def scan_recordings(files: DataFrame) -> DataFrame:
 
 # ---- sinks --------------------------------------------------------------
 
+def _written(root: str):
+    """Arrow kernel: one file per row; a task that is run again writes the same files anew."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, name = open_store(f"{root}/{path}")
+                store.create_dir(name.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(name) as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+    return run
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write ``(path, content)`` rows as files below a folder that all executors share; the number of files."""
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(_written(root), "path string").count()
+
+
 def write_table(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:
     """Delimited text with a header; nulls and empty text are empty cells."""
     df.write.mode(mode).options(

@@ -3,10 +3,12 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.functions import channels
 from cohortflow.operators import evaluation, integrity, linkage, ranking, signal, statistics
+from cohortflow.plans import pipelines
 from cohortflow.shared import shared_path, stored
 from cohortflow.sources import edf, tables
 
@@ -58,6 +60,46 @@ def test_crop_fetches_its_records_only(spark, tmp_path, monkeypatch):
     assert [len(s["samples"]) for s in got.values()] == [301, 301]
     chunks = edf.record_ranges(edf._read_heads(spark, str(tmp_path)), None, 4.0).select("chunk", "first", "take").collect()
     assert sorted(map(tuple, chunks)) == [(0, 0, 4), (1, 4, 4), (2, 8, 2)]
+    # with a halo of two seconds a chunk fetches two records of the next one, the last none
+    fetched.clear()
+    halo = edf.record_ranges(edf._read_heads(spark, str(tmp_path)), None, 4.0, 2.0)
+    frames = [f.to_pylist()[0] for f in edf._fetch(None)(halo.orderBy("chunk").toArrow().to_batches())]
+    assert fetched == [(768, 6 * 800), (768 + 4 * 800, 6 * 800), (768 + 8 * 800, 2 * 800)]
+    assert [(s["start"], s["own"], len(s["samples"])) for f in frames for s in f["signals"][:1]] == [
+        (0, 800, 1200), (800, 800, 1200), (1600, 400, 400)]
+    tasks = edf.read_edf_frames(spark, str(tmp_path), chunk_sec=1.0).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 2
+
+
+def test_listing_sees_every_name(spark, tmp_path):
+    """Names and folders that begin with ``_`` or ``.``, and characters that URLs escape."""
+    names = ["a.edf", "_b.edf", ".c.edf", "_x/d.EDF", "x y/.z/e+f%20.edf", "x y/g.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(edf_bytes([np.arange(400)]))
+    (tmp_path / "empty").mkdir()
+    found = tables.scan_files(spark, str(tmp_path), ("edf",)).collect()
+    assert {r.path for r in found} == {f"file:{tmp_path}/{n}" for n in names[:5]} and {r.length for r in found} == {512 + 800}
+    heads = {r.file_id: r.status for r in edf.read_edf_headers(spark, str(tmp_path)).collect()}
+    assert heads == dict.fromkeys(["a", "_b", ".c", "d", "e+f%20"], "Valid")
+
+
+def test_jobs_from_files(spark, tmp_path):
+    """Features and channel quality from a folder; only the scalp channels count."""
+    t = np.arange(2000) / 200
+    (tmp_path / "train/normal").mkdir(parents=True)
+    wave = lambda f: 500 * np.sin(2 * np.pi * f * t)
+    (tmp_path / "train/normal/a.edf").write_bytes(edf_bytes([wave(10), wave(3)]))
+    root = str(tmp_path)
+    rows = {r.channel: r for r in pipelines.check_channels(spark, root, chunk_sec=3.0).channels.collect()}
+    whole = {r.channel: r for r in pipelines.check_channels(spark, root).channels.collect()}
+    assert set(rows) == set(whole) and rows
+    for c, r in rows.items():
+        assert r.snr_db == pytest.approx(whole[c].snr_db) and r.alpha_peak_hz == whole[c].alpha_peak_hz
+    file = pipelines.check_channels(spark, root, chunk_sec=3.0).files.first()
+    assert (file.split, file.label, file.sfreq) == ("train", "Normal", 200.0) and file.mean_snr_db is not None
+    got = pipelines.extract_features(spark, root, tmax=5.0).first()
+    assert got.Alpha_Peak_Hz == 10.0 and got.split == "train"
 
 
 def test_more_labels_than_bits(spark):
