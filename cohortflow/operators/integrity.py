@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.tables import open_store, scan_files
+from ..sources.tables import list_files, open_store
 
 # What a checksum manifest leaves out.
 EXCLUDED_NAMES = ("sha256.txt", ".git", "__pycache__", ".DS_Store", "Thumbs.db")
@@ -30,13 +30,17 @@ def sha256_manifest(files: DataFrame) -> DataFrame:
 
 
 def relative_paths(files: DataFrame, root: str) -> DataFrame:
-    """Files below ``root`` with their path relative to it as ``path`` and the full one as ``uri``."""
-    name = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", root)
-    name = "/" + name.strip("/") + "/" if name.strip("/") else "/"
-    below = F.locate(name, F.col("path"))
-    return files.where(below > 0).withColumns({
-        "uri": F.col("path"),
-        "path": F.substring("path", below + len(name), F.length("path"))})
+    """Files below ``root`` with their path relative to it as ``path`` and the full one as ``uri``.
+
+    The root is matched behind scheme and host, so a host of the same name does not count.
+    """
+    host = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+    name = re.sub(host, "", root).strip("/")
+    name = f"/{name}/" if name else "/"
+    path = F.regexp_replace("path", host, "")
+    return files.where(path.startswith(name)).select(
+        *[c for c in files.columns if c != "path"], F.col("path").alias("uri"),
+        F.substring(path, F.lit(len(name) + 1), F.length("path")).alias("path"))
 
 
 def _digests(batches):
@@ -61,13 +65,26 @@ def checksum_folder(spark: SparkSession, root: str) -> DataFrame:
     Paths are relative to the root, and only they decide what is left out. Files are
     streamed, whatever their size.
     """
-    files = relative_paths(scan_files(spark, root).select("path"), root)
+    files = relative_paths(list_files(spark, root).select("path"), root)
     return release_file_filter(files).select("uri", "path").mapInArrow(_digests, "digest string, path string")
 
 
 def verify_checksums(stored: DataFrame, files: DataFrame) -> DataFrame:
-    """Recompute the stored digests: OK, MISMATCH or MISSING."""
-    now = files.select("path", F.sha2("content", 256).alias("_now"))
+    """Recompute the stored digests of ``(path, content)``: OK, MISMATCH or MISSING."""
+    return _compared(stored, files.select("path", F.sha2("content", 256).alias("_now")))
+
+
+def verify_folder(spark: SparkSession, root: str, stored: DataFrame) -> DataFrame:
+    """The same for files below a folder, by paths relative to it.
+
+    Only files with a stored digest are read, as streams: a task holds a block of one file.
+    """
+    files = relative_paths(list_files(spark, root).select("path"), root)
+    wanted = files.join(stored.select("path"), "path", "left_semi").select("uri", "path")
+    return _compared(stored, wanted.mapInArrow(_digests, "digest string, path string").withColumnRenamed("digest", "_now"))
+
+
+def _compared(stored: DataFrame, now: DataFrame) -> DataFrame:
     status = (F.when(F.col("_now").isNull(), "MISSING")
               .when(F.col("_now") == F.col("digest"), "OK").otherwise("MISMATCH"))
     return stored.join(now, "path", "left").select("path", "digest", status.alias("status"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .labels import inline_table
 from .ranking import hash_order, rank_within
@@ -90,13 +90,30 @@ def _plan_class(pdf: pd.DataFrame) -> pd.DataFrame:
     return chosen[["label", "stratum", "n", "n_selected", "n_evaluation"]]
 
 
-def plan_split(counts: DataFrame, targets: dict[tuple[str, str], int]) -> DataFrame:
-    """How many recordings of each stratum to select and to evaluate on."""
-    classes = sorted({c for _, c in targets})
-    dim = inline_table(
-        counts.sparkSession,
-        [(c, targets[("train", c)], targets[("evaluation", c)]) for c in classes],
+def share_targets(counts: DataFrame, percent: dict[str, int]) -> DataFrame:
+    """Targets as whole percents of what each class has: ``label, train, evaluation``, rounded down.
+
+    They follow the data, so a split can be designed on a table of any size.
+    """
+    n = F.sum("n")
+    return counts.groupBy("label").agg(*[
+        F.floor(n * percent[s] / 100).cast("bigint").alias(s) for s in ("train", "evaluation")])
+
+
+def _target_table(spark: SparkSession, targets: dict[tuple[str, str], int] | DataFrame) -> DataFrame:
+    if isinstance(targets, DataFrame):
+        return targets
+    return inline_table(
+        spark, [(c, targets[("train", c)], targets[("evaluation", c)]) for c in sorted({c for _, c in targets})],
         "label string, train bigint, evaluation bigint")
+
+
+def plan_split(counts: DataFrame, targets: dict[tuple[str, str], int] | DataFrame) -> DataFrame:
+    """How many recordings of each stratum to select and to evaluate on.
+
+    Targets are fixed numbers or a table of ``share_targets``; a class is one row of either.
+    """
+    dim = _target_table(counts.sparkSession, targets)
     return counts.join(F.broadcast(dim), "label").groupBy("label").applyInPandas(
         _plan_class, "label string, stratum string, n bigint, n_selected bigint, "
                      "n_evaluation bigint")
@@ -135,10 +152,13 @@ def assign_split(selected: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def check_targets(assigned: DataFrame, targets: dict[tuple[str, str], int]) -> DataFrame:
+def check_targets(assigned: DataFrame, targets: dict[tuple[str, str], int] | DataFrame) -> DataFrame:
     """Counts per split and class; the job fails when one misses its target."""
-    dim = inline_table(assigned.sparkSession, [(s, c, n) for (s, c), n in targets.items()],
-                       "split string, label string, target bigint")
+    if isinstance(targets, DataFrame):
+        dim = targets.unpivot("label", ["train", "evaluation"], "split", "target")
+    else:
+        dim = inline_table(assigned.sparkSession, [(s, c, n) for (s, c), n in targets.items()],
+                           "split string, label string, target bigint")
     counts = assigned.groupBy("split", "label").agg(F.count("*").alias("n"))
     both = dim.join(F.broadcast(counts), ["split", "label"], "left").na.fill(0, ["n"])
     wrong = F.concat(F.lit("split count mismatch: "), "split", F.lit(" "), "label")

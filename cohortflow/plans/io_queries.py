@@ -122,7 +122,11 @@ def annotation_files(h):
     CASE WHEN block % 3 <> 2 THEN nullif(channel_names, '') END AS channel_names,
     CASE WHEN comment <> 'nan' THEN comment END AS comment FROM b""")
 def _(h):
-    return tables.parse_annotations(annotation_files(h))
+    """Read from files, in blocks that cut most of them several times."""
+    root = shared_path(h.spark, "annotations")
+    files = annotation_files(h)
+    tables.write_files(files.select(F.replace("path", F.lit("file:/csv/"), F.lit("")).alias("path"), F.encode("value", "UTF-8").alias("content")), root)
+    return tables.read_annotations(h.spark, root, block_bytes=1000)
 
 
 # ---- EDF files ----------------------------------------------------------
@@ -234,15 +238,15 @@ def _(h):
 
 # ---- jobs ---------------------------------------------------------------
 
-_SMALL = {("train", "Normal"): 12, ("evaluation", "Normal"): 6,
-          ("train", "Abnormal"): 10, ("evaluation", "Abnormal"): 5}
+#: Percents of each class in the split that is designed.
+SPLIT = {"train": 45, "evaluation": 15}
 
 
 def _split(h):
-    return pipelines.build_split(h.manifest(), inventory(h), _SMALL)
+    return pipelines.build_split(h.manifest(), inventory(h), percent=SPLIT)
 
 
-@query("build_split_selected", f"""WITH RECURSIVE {o.LINKED}, {o.split_plan('valid', _SMALL)}
+@query("build_split_selected", f"""WITH RECURSIVE {o.LINKED}, {o.split_plan('valid', SPLIT)}
     SELECT a.stem, a.split, a.label, v.source, v.year, v.edf_path, v.annotation_csv_path, v.report_path
     FROM assigned a JOIN valid v ON v.stem = a.stem""")
 def _(h):
@@ -250,8 +254,8 @@ def _(h):
                                      "annotation_csv_path", "report_path")
 
 
-@query("build_split_summary", f"""WITH RECURSIVE {o.LINKED}, {o.split_plan('valid', _SMALL)},
-    tg(split, label, target) AS ({o.values([(s, c, n) for (s, c), n in _SMALL.items()])})
+@query("build_split_summary", f"""WITH RECURSIVE {o.LINKED}, {o.split_plan('valid', SPLIT)},
+    tg(split, label, target) AS (SELECT 'train', label, tr FROM tgt UNION ALL SELECT 'evaluation', label, evl FROM tgt)
     SELECT tg.split, tg.label, tg.target::bigint AS target, count(a.stem) AS n
     FROM tg LEFT JOIN assigned a ON a.split = tg.split AND a.label = tg.label GROUP BY ALL""")
 def _(h):

@@ -310,10 +310,10 @@ def allocation(name: str, source: str) -> str:
 {name} AS (SELECT label, unnest(ks) AS key, unnest(got) AS given FROM {name}_r WHERE rest = 0)"""
 
 
-def split_plan(rows: str, targets: dict[tuple[str, str], int]) -> str:
+def split_plan(rows: str, percent: dict[str, int]) -> str:
     """Selected and assigned rows of ``rows(label, stratum, stem)``."""
-    tg = values([(c, targets[("train", c)], targets[("evaluation", c)])
-                 for c in sorted({c for _, c in targets})])
+    tg = f"""SELECT label, count(*) * {percent['train']} // 100, count(*) * {percent['evaluation']} // 100
+    FROM {rows} GROUP BY label"""
     order = "ORDER BY md5('{}_' || r.label || '_' || r.stratum || '|' || r.stem), r.stem"
     return f"""tgt(label, tr, evl) AS ({tg}),
 cnt AS (SELECT label, stratum AS key, count(*) AS n FROM {rows} GROUP BY ALL),

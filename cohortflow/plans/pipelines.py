@@ -37,12 +37,14 @@ class SplitResult:
     coverage: DataFrame
 
 
-def build_split(raw: DataFrame, files: DataFrame, targets=split.TARGETS) -> SplitResult:
-    """Manifest rows and a file inventory to an exact stratified split."""
+def build_split(raw: DataFrame, files: DataFrame, targets=split.TARGETS, percent: dict[str, int] | None = None) -> SplitResult:
+    """Manifest rows and a file inventory to an exact stratified split, of fixed numbers or of ``percent`` of each class."""
     manifest = derive_manifest(raw)
     linked = linkage.link_files(linkage.dedup_first(manifest, "stem", "row_no"), files)
     valid = split.strata(linked.where("missing_reason = ''"))
-    plan = split.plan_split(split.stratum_counts(valid), targets)
+    counts = split.stratum_counts(valid)
+    targets = split.share_targets(counts, percent) if percent else targets
+    plan = split.plan_split(counts, targets)
     chosen = split.assign_split(split.select_records(valid, plan), plan)
     return SplitResult(
         duplicates=linkage.duplicate_rows(manifest),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as evl, integrity, linkage as ln, split as sp
+from ..shared import shared_path
 from ..sources import tables
 from . import oracle_sql as o
 from .pipelines import build_split, derive_manifest
@@ -12,6 +13,8 @@ from .registry import query, rounded
 
 COUNTS = {("train", "Normal"): 40, ("evaluation", "Normal"): 12,
           ("train", "Abnormal"): 30, ("evaluation", "Abnormal"): 10}
+#: Percents of each class in the split that is designed.
+PERCENT = {"train": 55, "evaluation": 20}
 FILE_COUNTS = {(s, c, m): 25 for s in ln.SPLITS for c in ln.REQUIRED for m in ln.REQUIRED[c]}
 
 
@@ -322,7 +325,11 @@ def _all_rows(h):
 
 def _plan(h):
     rows = _all_rows(h)
-    return rows, sp.plan_split(sp.stratum_counts(rows), COUNTS)
+    return rows, sp.plan_split(sp.stratum_counts(rows), _shares(rows))
+
+
+def _shares(rows):
+    return sp.share_targets(sp.stratum_counts(rows), PERCENT)
 
 
 _ROWS = f"""{o.MANIFEST}, rws AS (SELECT *, label || '_' || source || '_' || year AS stratum FROM rel)"""
@@ -342,14 +349,14 @@ def _(h):
     return sp.bounded_allocate(groups)
 
 
-@query("select_records", f"""WITH RECURSIVE {_ROWS}, {o.split_plan('rws', COUNTS)}
+@query("select_records", f"""WITH RECURSIVE {_ROWS}, {o.split_plan('rws', PERCENT)}
     SELECT stem, label, stratum FROM chosen""")
 def _(h):
     rows, plan = _plan(h)
     return sp.select_records(rows, plan).select("stem", "label", "stratum")
 
 
-@query("assign_split", f"""WITH RECURSIVE {_ROWS}, {o.split_plan('rws', COUNTS)}
+@query("assign_split", f"""WITH RECURSIVE {_ROWS}, {o.split_plan('rws', PERCENT)}
     SELECT stem, label, stratum, split FROM assigned""")
 def _(h):
     rows, plan = _plan(h)
@@ -357,12 +364,13 @@ def _(h):
         "stem", "label", "stratum", "split")
 
 
-@query("split_targets", f"""WITH RECURSIVE {_ROWS}, {o.split_plan('rws', COUNTS)},
-    tg(split, label, target) AS ({_TARGETS}) SELECT tg.split, tg.label, tg.target::bigint AS target,
+@query("split_targets", f"""WITH RECURSIVE {_ROWS}, {o.split_plan('rws', PERCENT)},
+    tg(split, label, target) AS (SELECT 'train', label, tr FROM tgt UNION ALL SELECT 'evaluation', label, evl FROM tgt)
+    SELECT tg.split, tg.label, tg.target::bigint AS target,
     count(a.stem) AS n FROM tg LEFT JOIN assigned a ON a.split = tg.split AND a.label = tg.label GROUP BY ALL""")
 def _(h):
     rows, plan = _plan(h)
-    return sp.check_targets(sp.assign_split(sp.select_records(rows, plan), plan), COUNTS)
+    return sp.check_targets(sp.assign_split(sp.select_records(rows, plan), plan), _shares(rows))
 
 
 @query("unused_records", f"""WITH {o.LINKED}, r AS (SELECT *, row_number() OVER (PARTITION BY label,
@@ -463,7 +471,14 @@ def _contents(h):
 @query("sha256_manifest", f"""WITH d AS ({o.host(_DOCS)}) SELECT sha256(text) AS digest, path FROM d
     WHERE doc_id % 10 <> 3""")
 def _(h):
-    return integrity.sha256_manifest(_contents(h))
+    return integrity.checksum_folder(h.spark, _folder(h, _contents(h)))
+
+
+def _folder(h, files):
+    """Files that tasks write below a new shared folder."""
+    root = shared_path(h.spark, "files")
+    tables.write_files(files, root)
+    return root
 
 
 @query("sort_paths", f"""WITH d AS ({o.host(_DOCS)}) SELECT path FROM d WHERE doc_id % 10 <> 3
@@ -481,4 +496,4 @@ def _(h):
         F.col("doc_id") % 11 == 2, F.concat("path", F.lit(".moved"))).otherwise(F.col("path"))).withColumn("content", F.when(
         F.col("doc_id") % 7 == 1, F.concat("content", F.encode(F.lit("!"), "UTF-8"))
     ).otherwise(F.col("content")))
-    return integrity.verify_checksums(integrity.sha256_manifest(docs), changed)
+    return integrity.verify_folder(h.spark, _folder(h, changed), integrity.sha256_manifest(docs))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.binding import computed_once
 from ..functions.text import clean_stem, drop_suffix, file_part, to_number
@@ -106,10 +107,16 @@ def parse_annotations(files: DataFrame, columns: dict[str, str] = ANNOTATION_COL
     lines = F.regexp_extract_all(F.regexp_replace(
         F.regexp_replace("value", "^\ufeff", ""), "\r\n?", "\n"), F.lit(_RECORD), F.lit(0))
     split = files.select("path", lines.alias("_lines")).where(F.size("_lines") > 0)
-    head = F.transform(csv_cells(F.get("_lines", F.lit(0))), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
-    rows = split.select(
-        "path", head.alias("_head"),
-        F.posexplode(F.slice("_lines", F.lit(2), F.size("_lines"))).alias("row_no", "_line"))
+    return _annotation_rows(split.select(
+        "path", F.get("_lines", F.lit(0)).alias("head"), F.lit(0).alias("first"),
+        F.slice("_lines", F.lit(2), F.size("_lines")).alias("lines")), columns)
+
+
+def _annotation_rows(records: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows of ``(path, head, first, lines)``: records of a file from number ``first`` on and its header."""
+    head = F.transform(csv_cells(F.col("head")), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    rows = records.select("path", head.alias("_head"), "first", F.posexplode("lines").alias("_i", "_line")).withColumn(
+        "row_no", F.col("first") + F.col("_i"))
     rows = rows.where(~F.col("_line").rlike(r"^\s*$")).withColumn("_cells", csv_cells(F.col("_line")))
 
     def named(name: str) -> Column:
@@ -127,17 +134,136 @@ def clean_id(path: Column) -> Column:
     return drop_suffix(file_part(path))
 
 
-def read_annotations(spark: SparkSession, root: str,
-                     columns: dict[str, str] = ANNOTATION_COLUMNS) -> DataFrame:
-    """All annotation CSVs below a folder as one table."""
-    files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-        .text(root, wholetext=True)
-        # unlike other paths this one is URL-encoded
-        .select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-                .alias("path"), "value")
-    )
-    return parse_annotations(files, columns)
+#: Bytes of an annotation file that a task takes up at once.
+BLOCK_BYTES = 8 << 20
+_BOM = b"\xef\xbb\xbf"
+
+
+def _record_starts(data: np.ndarray, quote: np.ndarray, inside: int, at_start: bool) -> np.ndarray:
+    """Places where a record begins, in bytes behind the one byte that comes first.
+
+    A record begins at a byte that ends no line, behind the end of a line outside quotes or
+    at the start of the file. ``inside`` tells whether the first byte lies inside quotes.
+    """
+    within = (inside + np.cumsum(quote) - quote) & 1
+    ends = (data == 10) | (data == 13)
+    behind = np.r_[at_start, ends[:-1] & (within[:-1] == 0)]
+    # lines without any text are passed over
+    return np.flatnonzero(behind[1:] & ~ends[1:]) if not at_start else np.flatnonzero(behind & ~ends)
+
+
+def _block(f, begin: int, size: int) -> tuple[np.ndarray, bool]:
+    """The bytes of a block, with the one before it unless the file begins there; a mark of order counts as a line's end."""
+    raw = f.read_at(size + (begin > 0), max(begin - 1, 0))
+    if not begin and raw.startswith(_BOM):
+        raw = b"\n" * len(_BOM) + raw[len(_BOM):]
+    return np.frombuffer(raw, np.uint8), not begin
+
+
+def _parities(batches):
+    """Arrow kernel: what a block tells before the state at its start is known.
+
+    Quotes, place of the last one, and the records that begin in it: if it begins outside
+    or inside quotes, and in both cases if its last quote counts as text.
+    """
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for path, begin, size in zip(*(batch.column(c).to_pylist() for c in ("path", "begin", "size"))):
+            store, name = open_store(path)
+            with store.open_input_file(name) as f:
+                data, at_start = _block(f, begin, size)
+            quote = (data == 34).astype(np.int64)
+            if not at_start:
+                quote[0] = 0  # it belongs to the block before
+            places = np.flatnonzero(quote)
+            counts = [len(_record_starts(data, quote, inside, at_start)) for inside in (0, 1)]
+            plain = quote.copy()
+            plain[places[-1:]] = 0
+            counts += [len(_record_starts(data, plain, inside, at_start)) for inside in (0, 1)]
+            out.append((path, begin, size, len(places), begin - (not at_start) + int(places[-1]) if len(places) else None, counts))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
+                                         names=["path", "begin", "size", "quotes", "last", "counts"])
+
+
+def _text_of(raw: bytes) -> str:
+    return raw.decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n")
+
+
+def _records(f, begin: int, size: int, inside: int, plain: int | None, most: int | None = None) -> list[str]:
+    """Records that begin in a block, the last one read to its end; ``plain`` is the place of a quote that counts as text."""
+    more = size
+    while True:
+        data, at_start = _block(f, begin, more)
+        base = begin - (not at_start)
+        quote = (data == 34).astype(np.int64)
+        if not at_start:
+            quote[0] = 0
+        if plain is not None and 0 <= plain - base < len(data):
+            quote[plain - base] = 0
+        starts = _record_starts(data, quote, inside, at_start) + (not at_start)
+        starts = starts[starts < size + (not at_start)]
+        within = (inside + np.cumsum(quote) - quote) & 1
+        stops = np.flatnonzero(((data == 10) | (data == 13)) & (within == 0))
+        at = np.searchsorted(stops, starts)
+        whole = len(data) < more + (not at_start)  # nothing follows
+        if whole or not len(starts) or at[-1] < len(stops):
+            stops = np.r_[stops, len(data)]
+            raw = data.tobytes()
+            return [_text_of(raw[a:b]) for a, b in zip(starts[:most].tolist(), stops[at].tolist())]
+        more *= 2
+
+
+def _lines(batches):
+    """Arrow kernel: header and records of each block whose state is known."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            store, name = open_store(row["path"])
+            with store.open_input_file(name) as f:
+                lines = _records(f, row["begin"], row["size"], row["inside"], row["plain"])
+                if row["first"]:
+                    head, size = [], 1 << 12
+                    while not head:  # lines without text may come first
+                        head, size = _records(f, 0, size, 0, row["plain"], 1), size * 4
+                    out.append((row["path"], head[0], row["first"] - 1, lines))
+                elif lines:
+                    out.append((row["path"], lines[0], 0, lines[1:]))
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
+                                         names=["path", "head", "first", "lines"])
+
+
+def read_annotations(spark: SparkSession, root: str, columns: dict[str, str] = ANNOTATION_COLUMNS,
+                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All annotation CSVs below a folder as one table, see ``parse_annotations``.
+
+    A file is cut into blocks of ``block_bytes``, which tasks read on their own. Whether a
+    block begins inside quotes follows from the quotes of the blocks before it, so a first
+    pass counts them, and the records under either state; their running sums give each block
+    its state and its first row number. A record belongs to the block it begins in. A last
+    quote without a partner counts as text.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = list_files(spark, root).where(F.col("path").endswith(".csv") & (F.col("length") > 0))
+    step = F.lit(block_bytes).cast("bigint")
+    blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, step)).alias("begin"), F.lit(block_bytes).cast("bigint").alias("size"))
+    told = stored(blocks.repartition(n, "path", "begin").mapInArrow(
+        _parities, "path string, begin bigint, size bigint, quotes bigint, last bigint, counts array<bigint>"), "csv-blocks")
+    # a row per block_bytes of a file
+    whole = Window.partitionBy("path")
+    before = whole.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.sum("quotes").over(whole) % 2 == 1
+    state = told.withColumn("plain", F.when(odd, F.max("last").over(whole))).withColumn(
+        "inside", F.when(F.col("plain") < F.col("begin"), 0).otherwise(F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int"))
+    here = F.get("counts", F.col("inside") + F.when(F.col("last") == F.col("plain"), 2).otherwise(0))
+    state = state.withColumn("_here", here).withColumn("first", F.coalesce(F.sum("_here").over(before), F.lit(0)))
+    return _annotation_rows(state.select("path", "begin", "size", "inside", "plain", "first").repartition(n, "path", "begin").mapInArrow(
+        _lines, "path string, head string, first bigint, lines array<string>"), columns)
 
 
 def annotation_ids(spark: SparkSession, root: str) -> DataFrame:

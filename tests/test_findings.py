@@ -1,13 +1,14 @@
 """Cases that an earlier version lost."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.functions import channels
-from cohortflow.operators import evaluation, integrity, linkage, ranking, signal, statistics
+from cohortflow.operators import evaluation, integrity, linkage, ranking, signal, split, statistics
 from cohortflow.plans import pipelines
 from cohortflow.shared import shared_path, stored
 from cohortflow.sources import edf, tables
@@ -148,3 +149,53 @@ def test_checksums_of_a_folder(spark, tmp_path):
     assert {r.path: r.digest for r in manifest.collect()} == want
     tables.write_checksum_text(manifest, str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == [f"{d}  {p}" for p, d in sorted(want.items())]
+
+
+CSV_PIECES = ["a", "é", ",", "\n", "\r\n", "\r", '"', '""', '"x,\ny"', "word", " ", "\n\n"]
+
+
+def test_annotation_blocks(spark, tmp_path):
+    """Blocks of any size give the rows of the whole text: quotes, lines inside cells, empty lines, a quote without partner."""
+    rnd = random.Random(11)
+    texts = ["", "﻿Comment,File Start\n1,2\n", "Comment", "\n\nComment\r\n\r\nx\r\n", 'Comment\n"a\nb"\n"c', 'Comment\n"\n"\n"\n']
+    for _ in range(60):
+        texts.append("Comment, End time\n" + "".join(rnd.choice(CSV_PIECES) for _ in range(rnd.randint(0, 60))))
+    for i, t in enumerate(texts):
+        (tmp_path / f"_{i}.csv").write_bytes(t.encode())
+    whole = spark.createDataFrame([(f"file:/x/_{i}.csv", t) for i, t in enumerate(texts)], "path string, value string")
+    key = lambda df: sorted(map(repr, df.collect()))
+    want = key(tables.parse_annotations(whole))
+    assert len(want) > 100
+    for size in (1, 7, 50, 1 << 20):
+        assert key(tables.read_annotations(spark, str(tmp_path), block_bytes=size)) == want, size
+    parts = tables.read_annotations(spark, str(tmp_path), block_bytes=7).select(F.spark_partition_id()).distinct().count()
+    assert parts > 4
+
+
+def test_share_targets_follow_the_data(spark):
+    rows = spark.createDataFrame([(str(i), "Normal" if i % 3 else "Abnormal", f"s{i % 4}") for i in range(400)], "stem string, label string, stratum string")
+    for part in (rows, rows.where("int(stem) < 30")):
+        counts = split.stratum_counts(part)
+        targets = split.share_targets(counts, {"train": 50, "evaluation": 20})
+        plan = split.plan_split(counts, targets)
+        done = split.check_targets(split.assign_split(split.select_records(part, plan), plan), targets).collect()
+        size = {r.label: r["count"] for r in part.groupBy("label").count().collect()}
+        assert {(r.split, r.label): r.n for r in done} == {
+            (s, c): n * p // 100 for c, n in size.items() for s, p in (("train", 50), ("evaluation", 20))}
+
+
+def test_folder_is_verified_by_streams(spark, tmp_path):
+    for name in ("a.txt", "_b.txt", "sub/.c.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() * 1000)
+    stored_ = integrity.checksum_folder(spark, str(tmp_path))
+    assert {r.path: r.digest for r in stored_.collect()} == {
+        n: hashlib.sha256(n.encode() * 1000).hexdigest() for n in ("a.txt", "_b.txt", "sub/.c.txt")}
+    rows = spark.createDataFrame([*stored_.collect(), ("0", "lost.txt")], "digest string, path string")
+    (tmp_path / "_b.txt").write_text("changed")
+    found = integrity.verify_folder(spark, str(tmp_path), rows)
+    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.path: r.status for r in found.collect()} == {
+        "a.txt": "OK", "_b.txt": "MISMATCH", "sub/.c.txt": "OK", "lost.txt": "MISSING"}
+    uris = spark.createDataFrame([("hdfs://data/data/x/a",), ("hdfs://data/x/a",)], "path string")
+    assert [r.path for r in integrity.relative_paths(uris, "hdfs://data/data").collect()] == ["x/a"]
