@@ -23,13 +23,13 @@ SHORT_SQL = """
       SELECT w, p, tok, lead(p) OVER o, lead(tok) OVER o, false FROM tokens WINDOW o AS (PARTITION BY w ORDER BY p)
       UNION ALL
       (WITH ranked AS MATERIALIZED (
-        SELECT w, p, tok, q, nxt, rank::BIGINT << 20 | p AS key
+        SELECT w, p, tok, q, nxt, (rank::BIGINT << 40) | (p::BIGINT << 20) | q AS key, (w::BIGINT << 20) | p AS place
         FROM bpe LEFT JOIN merges ON pair = tok::BIGINT << 32 | nxt WHERE NOT done),
-      least AS (SELECT w, min(key) AS key, arg_min(q, key) AS q FROM ranked GROUP BY w),
-      cut AS (SELECT l.w, l.key & 1048575 AS p, l.key >> 20 AS new, l.q, d.q AS q2, d.nxt AS nxt2
-        FROM least l LEFT JOIN ranked d ON d.w = l.w AND d.p = l.q)
-      SELECT r.w, r.p, CASE WHEN r.p = c.p THEN c.new ELSE r.tok END::INT, CASE WHEN r.p = c.p THEN c.q2 ELSE r.q END,
-        CASE WHEN r.p = c.p THEN c.nxt2 WHEN r.q = c.p THEN c.new ELSE r.nxt END::INT, c.new IS NULL
+      least AS (SELECT w, min(key) AS key FROM ranked GROUP BY w),
+      cut AS (SELECT l.w, ((l.key >> 20) & 1048575)::INT AS p, (l.key >> 40)::INT AS new, (l.key & 1048575)::INT AS q, d.q AS q2, d.nxt AS nxt2
+        FROM least l LEFT JOIN ranked d ON d.place = ((l.w::BIGINT << 20) | (l.key & 1048575)))
+      SELECT r.w, r.p, CASE WHEN r.p = c.p THEN c.new ELSE r.tok END, CASE WHEN r.p = c.p THEN c.q2 ELSE r.q END,
+        CASE WHEN r.p = c.p THEN c.nxt2 WHEN r.q = c.p THEN c.new ELSE r.nxt END, c.new IS NULL
       FROM ranked r JOIN cut c ON r.w = c.w WHERE c.q IS NULL OR r.p <> c.q))
     SELECT w, tok FROM bpe WHERE done ORDER BY w, p"""
 
@@ -191,14 +191,12 @@ def _coded(path: str, pattern: str):
 
         def settle(parts, rows, out):
             """Append ids and decoded bytes of the matches in ``parts`` to their rows."""
-            words = list(set().union(*parts))
-            number = {w: i for i, w in enumerate(words)}
-            at = np.fromiter(itertools.chain.from_iterable(map(number.__getitem__, p) for p in parts), np.int64, sum(map(len, parts)))
+            found = pa.array(list(itertools.chain.from_iterable(parts)), pa.string()).dictionary_encode()
             stops = np.cumsum([0] + [len(p) for p in parts])
-            for k, values in enumerate(zip(*memory.look_up(words))):
-                whole = pa.array(values, pa.large_binary()).take(pa.array(at))
+            for k, values in enumerate(zip(*memory.look_up(found.dictionary.to_pylist()))):
+                whole = pa.array(values, pa.large_binary()).take(found.indices)
                 data = whole.buffers()[2]
-                ends = np.frombuffer(whole.buffers()[1], np.int64, len(at) + 1)[stops].tolist()
+                ends = np.frombuffer(whole.buffers()[1], np.int64, len(found) + 1)[stops].tolist()
                 for row, a, b in zip(rows, ends, ends[1:]):
                     out[row][k].append(data[a:b].to_pybytes())
 
