@@ -10,6 +10,15 @@ from cohortflow.shared import stored
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows that go to Python at once where rows are whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Let Arrow batches hold BATCH_ROWS rows: kernels cut texts into blocks anyway, and both sides of a task hold a batch several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text; null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

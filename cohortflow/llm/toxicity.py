@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import Powers, blocks, mix, stored, text_bytes
+from .common import Powers, blocks, mix, small_batches, stored, text_bytes
 
 #: Words with a ratio up to this many are broadcast; more are joined to each document's words by their keys.
 BROADCAST_WORDS = 1 << 20
@@ -219,9 +219,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     different training rows, drawn by a hash of id and text whatever the number of rows of an
     id, and scored without their own counts. Words with a ratio other than zero are
     broadcast up to BROADCAST_WORDS, and scoring is then one pass without a shuffle; where
-    there are more, the distinct words of each document are joined to them instead.
+    there are more, the distinct words of each document are joined to them instead. The
+    session's Arrow batches are made smaller (``small_batches``).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("long").alias("class")).where(
         F.col("class").isin(0, 1)).groupBy("doc_id").agg(F.max("class").alias("class"))
