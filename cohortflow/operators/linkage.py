@@ -38,6 +38,16 @@ def folder_dim(spark: SparkSession, targets: dict[tuple[str, str, str], int] | N
     return dim.withColumn("folder", release_folder(*[F.col(k) for k in FOLDER_KEYS]))
 
 
+def in_release_folders(files: DataFrame) -> DataFrame:
+    """Files that lie in, or anywhere below, one of the ten release folders and are of its kind.
+
+    ``path`` is relative to the release; split and class come from its first folders alone.
+    """
+    placed = files.drop("split", "label").withColumn("folder", F.substring_index("path", "/", 3))
+    folders = folder_dim(files.sparkSession).select("folder", *FOLDER_KEYS)
+    return placed.join(F.broadcast(folders), ["folder", "modality"])
+
+
 def valid_manifest_rows(manifest: DataFrame) -> DataFrame:
     return manifest.where(F.col("split").isin(*SPLITS) & F.col("label").isin(*REQUIRED))
 

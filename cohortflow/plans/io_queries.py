@@ -14,7 +14,7 @@ from ..sources import edf, tables
 from . import oracle_sql as o, pipelines
 from ..shared import shared_path
 from .registry import query, rounded
-from .release_queries import COUNTS, _contents, inventory
+from .release_queries import COUNTS, FILE_COUNTS, _CHECK, _PLAN, _SUMMARY, _contents, inventory
 
 # ---- delimited text -----------------------------------------------------
 
@@ -271,3 +271,79 @@ def _(h):
 @query("validated_labels", f"""WITH {o.GOOD} SELECT label, count(*) AS n FROM good GROUP BY label""")
 def _(h):
     return pipelines.validate_annotations(h.events(), h.headers()).label_counts
+
+
+# ---- release jobs -------------------------------------------------------
+
+def _release_folder(h):
+    """Every file of the host inventory, written by tasks with its own path as content."""
+    root = shared_path(h.spark, "release")
+    tables.write_files(h.files().select(F.expr("substring(path, 10)").alias("path"), F.encode("path", "UTF-8").alias("content")), root)
+    return root
+
+
+def _old_recordings(h, root):
+    """Recordings with an upper-case suffix are in place already, with other bytes."""
+    names = h.files().where("path LIKE '%.EDF'").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name")).distinct()
+    tables.write_files(names.select(F.explode(F.array(*[
+        F.concat(F.lit(f"{s}/{c}/edf/"), "name") for s in ln.SPLITS for c in ("normal", "abnormal")])).alias("path"),
+        F.encode(F.lit("old"), "UTF-8").alias("content")), root)
+
+
+@query("package_release", f"""WITH {_PLAN.replace("FROM rel r", "FROM (SELECT * FROM uniq WHERE split IN ('train', 'evaluation') AND label IN ('Normal', 'Abnormal')) r")}
+    SELECT file_name, stem, split, label, modality, folder, substr(source_path, 10) AS source, destination_path, status,
+    CASE status WHEN 'copied' THEN strlen(source_path) END AS bytes,
+    CASE status WHEN 'copied' THEN sha256(source_path) WHEN 'already_exists' THEN sha256('old') END AS digest FROM plan""")
+def _(h):
+    """The written copy log beside the digests of the files in the release."""
+    root, reports = shared_path(h.spark, "packaged"), shared_path(h.spark, "reports")
+    _old_recordings(h, root)
+    sources = _release_folder(h)
+    done = pipelines.package_release(h.spark, h.manifest(), sources, root, COUNTS, FILE_COUNTS)
+    pipelines.write_reports(done, reports)
+    log = h.spark.read.option("sep", "\t").option("header", True).option("escape", '"').option("emptyValue", "").option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema(
+        "file_name string, stem string, split string, label string, modality string, folder string, source_path string, "
+        "destination_path string, status string, bytes bigint").csv(f"{reports}/copy_log").na.fill("", ["source_path", "destination_path"])
+    digests = integrity.checksum_folder(h.spark, root).withColumnRenamed("path", "destination_path")
+    return log.join(digests, "destination_path", "left").withColumn(
+        "source", F.when(F.col("source_path") == "", "").otherwise(F.expr("split_part(source_path, '/release-', 2)"))).withColumn(
+        "source", F.regexp_replace("source", "^[^/]*/", "")).drop("source_path")
+
+
+_REPORTS = {
+    "recording_counts": "split, label, expected_count, actual_count, status", "missing": "split, label, modality, stem, expected_folder",
+    "matched": "split, label, modality, stem, matched_path", "extra": "split, label, modality, stem, path",
+    "duplicates": "split, label, modality, stem, path, first_path, duplicate_count", "repeated_rows": "stem, row_no",
+    "summary": "split, label, modality, expected_count, actual_file_count, matched_stems, missing_stems, extra_stems, status",
+    "verdict": "missing, extra, duplicates, verdict"}
+_SAME = "i.stem = w.stem AND i.split = w.split AND i.label = w.label AND i.modality = w.modality"
+
+
+@query("verify_release", f"""WITH {_SUMMARY}, {_CHECK}, act AS (SELECT i.* REPLACE (substr(path, 10) AS path), f.folder
+      FROM inv i JOIN folders f USING (split, label, modality)),
+    dup AS (SELECT split, label, modality, stem, path, min(path) OVER w AS first_path, count(*) OVER w AS duplicate_count
+      FROM act WINDOW w AS (PARTITION BY split, label, modality, stem)),
+    missing AS (SELECT w.split, w.label, w.modality, w.stem, f.folder AS expected_folder FROM want w JOIN folders f USING (split, label, modality)
+      WHERE NOT EXISTS (SELECT 1 FROM act i WHERE {_SAME})),
+    matched AS (SELECT w.split, w.label, w.modality, w.stem, i.path AS matched_path FROM want w JOIN act i ON {_SAME}),
+    extra AS (SELECT split, label, modality, stem, path FROM act i WHERE NOT EXISTS (SELECT 1 FROM want w WHERE {_SAME})),
+    repeated AS (SELECT stem, row_no FROM man2 WHERE split IN ('train', 'evaluation') AND label IN ('Normal', 'Abnormal')
+      QUALIFY count(*) OVER (PARTITION BY stem) > 1),
+    d AS (SELECT * FROM dup WHERE duplicate_count > 1),
+    verdict AS (SELECT sum(missing_stems)::bigint AS missing, sum(extra_stems)::bigint AS extra,
+      (SELECT count(*) FROM (SELECT DISTINCT split, label, modality, stem FROM d) x) AS duplicates,
+      CASE WHEN bool_and(status = 'OK') AND (SELECT bool_and(status = 'OK') FROM rc) AND NOT EXISTS (SELECT 1 FROM d)
+        THEN 'SUCCESS' ELSE 'CHECK REQUIRED' END AS verdict FROM rs)
+    """ + " UNION ALL ".join(f"SELECT '{name}' AS report, concat_ws('|', {columns}) AS line FROM {view}" for (name, columns), view in zip(
+        _REPORTS.items(), ("rc", "missing", "matched", "extra", "d", "repeated", "rs", "verdict"))))
+def _(h):
+    """All reports, read back from the text that the job wrote."""
+    reports = shared_path(h.spark, "reports")
+    pipelines.write_reports(pipelines.verify_release(h.spark, h.manifest(), _release_folder(h), COUNTS, FILE_COUNTS), reports)
+    lines = [h.spark.read.option("sep", "\t").option("header", True).option("escape", '"').csv(f"{reports}/{name}").select(
+        F.lit(name).alias("report"), F.concat_ws("|", *columns.split(", ")).alias("line")) for name, columns in _REPORTS.items()]
+    out = lines[0]
+    for more in lines[1:]:
+        out = out.unionByName(more)
+    return out

@@ -1,14 +1,15 @@
-"""The three end-to-end jobs, composed of lazy operators."""
+"""The end-to-end jobs, composed of lazy operators, and the sink of their reports."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..functions.channels import SCALP_19, norm_channel, vocabulary
-from ..operators import events, linkage, signal, split, statistics
+from ..operators import events, integrity, linkage, signal, split, statistics
+from ..shared import stored
 from ..sources import edf, tables
 
 
@@ -117,3 +118,87 @@ def check_channels(spark: SparkSession, root: str, seconds: float = 2.0, chunk_s
     states = signal.signal_states(scalp_frames(spark, root, chunk_sec=chunk_sec, halo_sec=seconds), [signal.quality_spectrum(seconds=seconds)])
     return QualityResult(signal.channel_measures(states), signal.file_measures(
         states, edf.read_edf_headers(spark, root).where("status = 'Valid'")))
+
+
+# ---- releases -----------------------------------------------------------
+
+def write_reports(result, folder: str, mode: str = "errorifexists") -> None:
+    """Every table of a job's result as delimited text, in a folder below ``folder`` named like it."""
+    for report in fields(result):
+        tables.write_table(getattr(result, report.name), f"{folder.rstrip('/')}/{report.name}", mode=mode)
+
+
+def release_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below a folder with its ``uri`` and, by the path relative to the folder, what it is."""
+    files = integrity.relative_paths(tables.list_files(spark, root), root)
+    # folders are recognised by the slashes around their names
+    return tables.describe_paths(files.withColumn("path", F.concat(F.lit("/"), "path"))).withColumn(
+        "path", F.expr("substring(path, 2)"))
+
+
+@dataclass
+class ReleaseCheck:
+    recording_counts: DataFrame
+    repeated_rows: DataFrame
+    matched: DataFrame
+    missing: DataFrame
+    extra: DataFrame
+    duplicates: DataFrame
+    summary: DataFrame
+    verdict: DataFrame
+
+
+def verify_release(spark: SparkSession, raw: DataFrame, root: str, counts: dict[tuple[str, str], int],
+                   file_counts: dict[tuple[str, str, str], int]) -> ReleaseCheck:
+    """Manifest rows against the files of a release: what fits, is missing, too much or there twice, and a verdict.
+
+    ``counts`` has the recordings to expect of each split and class, ``file_counts`` the files
+    of each release folder. The folder is listed once and kept as a stored table.
+    """
+    rows = stored(linkage.valid_manifest_rows(derive_manifest(raw)), "manifest")
+    manifest = linkage.dedup_first(rows, "stem", "row_no")
+    actual = stored(linkage.in_release_folders(release_inventory(spark, root)), "inventory")
+    wanted = linkage.expected_items(manifest)
+    recordings = linkage.recording_count_check(manifest, counts)
+    summary = linkage.release_summary(wanted, actual, file_counts)
+    duplicates = linkage.duplicate_files(actual)
+    return ReleaseCheck(
+        recording_counts=recordings, repeated_rows=linkage.duplicate_rows(rows),
+        matched=linkage.match_release(wanted, actual), missing=linkage.missing_release(wanted, actual),
+        extra=linkage.extra_release(actual, wanted), duplicates=duplicates, summary=summary,
+        verdict=linkage.release_verdict(summary, recordings, duplicates))
+
+
+@dataclass
+class Packaging:
+    copy_log: DataFrame
+    missing: DataFrame
+    summary: DataFrame
+    duplicate_sources: DataFrame
+    recording_counts: DataFrame
+    folder_counts: DataFrame
+
+
+def package_release(spark: SparkSession, raw: DataFrame, sources: str, root: str, counts: dict[tuple[str, str], int],
+                    file_counts: dict[tuple[str, str, str], int], overwrite: bool = False) -> Packaging:
+    """Copy the files that manifest rows require from class folders below ``sources`` into the folders of a release.
+
+    The copies are made before this returns; the log has a row per required file, with the
+    bytes that were copied. Files that are there already stay as they are, unless ``overwrite``.
+    Of several files with one stem the one with the smallest path is taken.
+    """
+    manifest = linkage.release_manifest(derive_manifest(raw), "before_filter")
+    found = stored(release_inventory(spark, sources).where("modality IS NOT NULL").withColumn(
+        "path", F.col("uri")).drop("uri"), "inventory")
+    store, name = tables.open_store(root)
+    store.create_dir(name, recursive=True)
+    there = integrity.relative_paths(tables.list_files(spark, root).select("path"), root)
+    plan = stored(linkage.copy_plan(manifest, found, there.select("path"), overwrite), "copy-plan")
+    copied = tables.copy_files(plan.where("status = 'copied'"), root)
+    log = plan.join(copied, "destination_path", "left").select(*plan.columns, "bytes")
+    after = release_inventory(spark, root).withColumn("path", F.concat(F.lit("/"), "path"))
+    return Packaging(
+        copy_log=log, missing=plan.where("status = 'missing'"), summary=linkage.copy_summary(plan),
+        duplicate_sources=linkage.duplicate_pairs(found),
+        recording_counts=linkage.recording_count_check(manifest, counts),
+        folder_counts=linkage.folder_count_check(after, "", file_counts))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from urllib.parse import quote
 
 import numpy as np
@@ -374,6 +375,50 @@ def write_files(files: DataFrame, root: str) -> int:
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(_written(root), "path string").count()
 
 
+def _copied(root: str):
+    """Arrow kernel: stream each file to a name of its own, then give it the name it is to have."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            sizes = []
+            for source, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, name = open_store(source)
+                target, place = open_store(f"{root}/{path}")
+                folder = place.rpartition("/")[0]
+                target.create_dir(folder, recursive=True)
+                part, size = f"{folder}/.{uuid.uuid4().hex}.part", 0
+                try:
+                    with store.open_input_stream(name) as f, target.open_output_stream(part) as out:
+                        while block := f.read(1 << 20):
+                            out.write(block)
+                            size += len(block)
+                    if target.get_file_info(place).type != fs.FileType.NotFound:
+                        target.delete_file(place)  # not every store renames onto a file
+                    target.move(part, place)
+                except BaseException:
+                    if target.get_file_info(part).type != fs.FileType.NotFound:
+                        target.delete_file(part)
+                    raise
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64())], names=["destination_path", "bytes"])
+    return run
+
+
+def copy_files(plan: DataFrame, root: str) -> DataFrame:
+    """Copy ``source_path`` to ``destination_path`` below ``root``; the paths with their ``bytes``, as a stored table.
+
+    Files are streamed in tasks, whatever their size, and never pass the driver. A file gets its
+    name only when it is whole, so a lost executor leaves no short file under a final name;
+    its tasks copy their files anew. Destinations must differ from each other.
+    """
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by number: rows of paths are small, and adaptive execution would put the copies together again
+    spread = plan.select("source_path", "destination_path").repartition(n, "destination_path")
+    return stored(spread.mapInArrow(_copied(root.rstrip("/")), "destination_path string, bytes bigint"), "copied")
+
+
 def write_table(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:
     """Delimited text with a header; nulls and empty text are empty cells."""
     df.write.mode(mode).options(
