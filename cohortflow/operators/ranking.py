@@ -8,12 +8,15 @@ bucket counts only, and finish inside each bucket.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 #: Distinct values of a bucket that are looked through at once, about.
 PART_VALUES = 65536
+#: How often a bucket of fractional values is split between its extremes.
+SPLITS = 2
 
 
 def hash_order(tag: Column, key: Column) -> Column:
@@ -104,43 +107,52 @@ def carry_forward(df: DataFrame, key: str, order: str, column: str,
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      width: float, count: str = "n", moments: bool = False) -> DataFrame:
+                      width: float, count: str = "n", moments: bool = False, weight: str | None = None,
+                      totals: dict[str, tuple[Callable[[Column], Column], Column]] | None = None) -> DataFrame:
     """Exact percentiles (linear interpolation) of ``value`` per key.
 
     ``probs`` maps output names to probabilities; ``count`` names the row count;
-    ``moments`` adds ``mean, std, min, max`` (sample deviation).
-    Rows are first reduced to a histogram of distinct values. Buckets of
+    ``moments`` adds ``mean, std, min, max`` (sample deviation). A row stands for
+    ``weight`` equal ones. ``totals`` adds other aggregates over all rows of a key, with
+    or without a value: ``name -> (fold, column)``, where folding folds gives the same
+    (``F.sum``, ``F.max``). With it, keys without any value have count 0 and null percentiles.
+    Rows are first reduced to a histogram of distinct values, which carries whatever else
+    is asked for, so ``df`` is computed once. Buckets of
     ``width`` locate the wanted ranks, and only the buckets that hold one are
     looked into, so neither a hot key nor a repeated value meets in one task.
     ``width`` affects the balance of the work, never the result: a bucket of fractional
-    values, which may hold any number of them, is split once more between its extremes
-    into parts of about ``PART_VALUES`` values.
+    values, which may hold any number of them, is split ``SPLITS`` times more, each time between
+    the extremes of a part into parts of about ``PART_VALUES`` values, so that values which
+    crowd beside a far one part in the next split.
     """
-    ps = list(probs.values())
-    hist = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-        .withColumn("_b", F.floor(F.col("_v") / width))
-    )
+    ps, totals = list(probs.values()), totals or {}
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    rows = df.withColumn("_v", F.when(known, F.col(value))) if totals else df.where(known).withColumn("_v", F.col(value))
+    here = F.col("_v").isNotNull()
+    hist = rows.groupBy(*keys, "_v").agg(
+        F.coalesce(F.sum(F.when(here, F.col(weight) if weight else 1)), F.lit(0)).cast("bigint").alias("_c"),
+        *[fold(c).alias(f"_t_{name}") for name, (fold, c) in totals.items()])
+    hist = hist.withColumn("_b", F.floor(F.col("_v") / width))
     by = [*keys, "_b"]
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*keys)
     v = F.col("_v").cast("double")
     # values count from their bucket's edge, which keeps the squares small
     off = v - F.col("_b") * F.lit(float(width))
-    sums = [F.sum("_c").alias("_bc")]
-    fractional = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
-    if fractional:
-        sums += [F.min(v).alias("_least"), F.max(v).alias("_most"), F.count("*").alias("_values")]
-    if moments:
-        sums += [F.sum(off * F.col("_c")).alias("_s1"), F.sum(off * off * F.col("_c")).alias("_s2"),
-                 F.min(v).alias("_min"), F.max(v).alias("_max")]
+    extent = [F.sum("_c").alias("_bc"), F.min(v).alias("_least"), F.max(v).alias("_most"), F.count("_v").alias("_values")]
+    sums = [F.sum(off * F.col("_c")).alias("_s1"), F.sum(off * off * F.col("_c")).alias("_s2")] if moments else []
     buckets = (
-        hist.groupBy(*by).agg(*sums)
+        hist.groupBy(*by).agg(*extent, *sums, *[fold(F.col(f"_t_{name}")).alias(f"_t_{name}") for name, (fold, _) in totals.items()])
         .withColumn("_end", F.sum("_bc").over(upto))
         .withColumn("_n", F.sum("_bc").over(everything))
         .withColumn("_start", F.col("_end") - F.col("_bc"))
+        .withColumns({f"_t_{name}": fold(F.col(f"_t_{name}")).over(everything) for name, (fold, _) in totals.items()})
     )
+    if moments:
+        buckets = _moments(buckets, everything, float(width))
+    # values of the whole key, the same in all its buckets
+    carried = [*(f"_t_{name}" for name in totals), *(["_mean", "_std", "_min", "_max"] if moments else [])]
+    hist = hist.drop(*(f"_t_{name}" for name in totals))
 
     def ranks(n: Column) -> Column:
         spots = []
@@ -149,27 +161,18 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
             spots += [F.floor(at), F.ceil(at)]
         return F.array_distinct(F.array(*spots))
 
-    def holding(parts: DataFrame, *more: str) -> DataFrame:
-        """Parts that hold a wanted rank, with these ranks."""
+    def holding(parts: DataFrame) -> DataFrame:
+        """Parts that hold a wanted rank, with these ranks, and a part of every key without values."""
         return parts.withColumn("_ranks", F.filter(
             ranks(F.col("_n")), lambda r: (r >= F.col("_start")) & (r < F.col("_end")))).where(
-            F.size("_ranks") > 0).select(*by, *more, "_start", "_n", "_ranks")
-
-    if fractional:
-        limits = ["_least", "_most", "_values"]
-        spot = (v - F.col("_least")) / (F.col("_most") - F.col("_least")) * F.ceil(
-            F.col("_values") / PART_VALUES)
-        hist = join_keys(hist, holding(buckets, *limits), by).withColumn(
-            "_p", F.when(F.col("_most") > F.col("_least"), F.floor(F.nanvl(spot, F.lit(0.0)))).otherwise(0))
-        upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-        parts = hist.groupBy(*by, "_p", "_start", "_n").agg(F.sum("_c").alias("_pc")).withColumn(
-            "_end", F.col("_start") + F.sum("_pc").over(upto)).withColumn(
-            "_start", F.col("_end") - F.col("_pc"))
-        hist, by = hist.drop("_start", "_n", "_ranks", *limits), [*by, "_p"]
-        wanted = holding(parts)
-    else:
-        wanted = holding(buckets)
-    wanted = wanted.withColumnsRenamed({c: f"_w_{c}" for c in by})
+            (F.size("_ranks") > 0) | (F.col("_n") == 0))
+
+    parts = buckets
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        for split in range(SPLITS):
+            hist, parts = _split_parts(hist, holding(parts), by, carried, f"_p{split}")
+            by = [*by, f"_p{split}"]
+    wanted = holding(parts).select(*by, "_start", "_n", "_ranks", *carried).withColumnsRenamed({c: f"_w_{c}" for c in by})
     within = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     on = reduce(lambda a, b: a & b,
                 [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by])
@@ -177,11 +180,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         hist.join(wanted, on).drop(*[f"_w_{c}" for c in by])
         .withColumn("_e", F.col("_start") + F.sum("_c").over(within))
         .withColumn("_s", F.col("_e") - F.col("_c"))
-        .withColumn("_rank", F.explode(F.filter(
+        .withColumn("_rank", F.explode_outer(F.filter(
             "_ranks", lambda r: (r >= F.col("_s")) & (r < F.col("_e")))))
+        .where(F.col("_rank").isNotNull() | (F.col("_n") == 0))
     )
     at = {p: (F.col("_n") - 1) * F.lit(float(p)) for p in ps}
-    aggs = [F.max("_n").alias("_n")]
+    aggs = [F.max("_n").alias("_n"), *[F.max(c).alias(c) for c in carried]]
     for i, p in enumerate(ps):
         aggs.append(F.max(F.when(F.col("_rank") == F.floor(at[p]), v)).alias(f"_lo{i}"))
         aggs.append(F.max(F.when(F.col("_rank") == F.ceil(at[p]), v)).alias(f"_hi{i}"))
@@ -191,30 +195,31 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         share = at[p] - F.floor(at[p])
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         cols.append((low + (high - low) * share).alias(name))
-    out = out.select(*keys, *cols)
-    if not moments:
-        return out
-    return _beside(out, _moments(buckets, keys, float(width)), keys)
+    cols += [F.col(f"_t_{name}").alias(name) for name in totals]
+    cols += [F.col(f"_{name}").alias(name) for name in ("mean", "std", "min", "max") if moments]
+    return out.select(*keys, *cols)
 
 
-def _moments(buckets: DataFrame, keys: list[str], width: float) -> DataFrame:
-    """Mean, sample deviation and extremes from sums about the bucket edges."""
+def _split_parts(hist: DataFrame, held: DataFrame, by: list[str], carried: list[str], out: str) -> tuple[DataFrame, DataFrame]:
+    """The values of the ``held`` parts with their place ``out`` in them, and the parts that this makes."""
+    limits, known = ["_least", "_most", "_values"], ["_start", "_n", *carried]
+    place = (F.col("_v").cast("double") - F.col("_least")) / (F.col("_most") - F.col("_least")) * F.ceil(F.col("_values") / PART_VALUES)
+    rows = join_keys(hist, held.select(*by, *known, *limits), by).withColumn(
+        out, F.when(F.col("_most") > F.col("_least"), F.floor(F.nanvl(place, F.lit(0.0)))).otherwise(0))
+    v = F.col("_v").cast("double")
+    upto = Window.partitionBy(*by).orderBy(out).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy(*by, out, *known).agg(
+        F.sum("_c").alias("_bc"), F.min(v).alias("_least"), F.max(v).alias("_most"), F.count("_v").alias("_values"))
+    parts = parts.withColumn("_end", F.col("_start") + F.sum("_bc").over(upto)).withColumn("_start", F.col("_end") - F.col("_bc"))
+    return rows.drop(*known, *limits), parts
+
+
+def _moments(buckets: DataFrame, whole, width: float) -> DataFrame:
+    """Add mean, sample deviation and extremes of the whole key, from sums about the bucket edges."""
     edge = F.col("_b") * F.lit(width)
-    whole = Window.partitionBy(*keys)
     mean = F.sum(F.col("_s1") + edge * F.col("_bc")).over(whole) / F.col("_n")
     gap = edge - F.col("_mean")
     square = F.col("_s2") + 2 * gap * F.col("_s1") + gap * gap * F.col("_bc")
-    return buckets.withColumn("_mean", mean).groupBy(*keys).agg(
-        F.max("_mean").alias("mean"),
-        F.sqrt(F.try_divide(F.sum(square), F.max("_n") - 1)).alias("std"),
-        F.min("_min").alias("min"), F.max("_max").alias("max"))
-
-
-def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Join two results that have one row per key, null keys included."""
-    if not keys:
-        row = right.select(F.struct(*right.columns)).scalar()
-        return left.select("*", *[row[c].alias(c) for c in right.columns])
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
+    return buckets.withColumn("_mean", mean).withColumns({
+        "_std": F.sqrt(F.try_divide(F.sum(square).over(whole), F.col("_n") - 1)),
+        "_min": F.min("_least").over(whole), "_max": F.max("_most").over(whole)})

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import evaluation as evl
+from cohortflow.operators import evaluation as evl, ranking
 from cohortflow.operators.ranking import (carry_forward, exact_percentiles, rank_within,
                                           running_sums)
 from cohortflow.operators.split import random_split
@@ -93,3 +93,37 @@ def test_auc_against_pairs(spark):
     pos, neg = ([s for y, s in rows if y == k] for k in (1, 0))
     wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
     assert got == pytest.approx(wins / len(pos) / len(neg))
+
+
+def test_values_that_crowd_beside_a_far_one(spark, monkeypatch):
+    """One bucket with 4000 values inside 1e-12 and one far away: the second split takes them apart."""
+    monkeypatch.setattr(ranking, "PART_VALUES", 16)
+    rng = np.random.default_rng(2)
+    x = np.unique(0.25 + rng.random(4000) * 1e-12)
+    df = spark.createDataFrame([(float(v),) for v in [*x, 900.0]], "v double")
+    seen, plain = [], ranking._split_parts
+
+    def watched(*args):
+        rows, parts = plain(*args)
+        seen.append(parts.agg(F.max("_values")).first()[0])
+        return rows, parts
+
+    monkeypatch.setattr(ranking, "_split_parts", watched)
+    got = exact_percentiles(df, [], "v", {"p25": 0.25, "m": 0.5}, 1000.0).first()
+    assert [got.p25, got.m] == list(np.quantile([*x, 900.0], [0.25, 0.5]))
+    assert len(seen) == ranking.SPLITS and seen[0] == len(x) and seen[1] < 16 * 8
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_totals_and_weights(spark, kind):
+    """Keys without values keep their totals; a row of weight n is n rows; null keys are a key."""
+    rows = [("a", 1, 2, 7), ("a", 5, 1, 9), ("a", None, 4, 1), ("b", None, 3, 2), (None, 8, 1, 4), (None, None, 1, 5)]
+    df = spark.createDataFrame(rows, "k string, v bigint, w bigint, x bigint").withColumn("v", F.col("v").cast(kind))
+    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"m": 0.5}, 2.0, weight="w", moments=True, totals={
+        "x": (F.sum, F.col("x")), "most": (F.max, F.col("x"))}).collect()}
+    assert {k: (r.n, r.m, r.x, r.most) for k, r in got.items()} == {
+        "a": (3, 1.0, 17, 9), "b": (0, None, 2, 2), None: (1, 8.0, 9, 5)}
+    assert got["a"]["mean"] == pytest.approx(7 / 3) and got["a"]["std"] == pytest.approx(np.std([1, 1, 5], ddof=1))
+    assert (got["b"]["mean"], got["b"]["max"]) == (None, None) and got[None]["std"] is None
+    empty = exact_percentiles(df.limit(0), ["k"], "v", {"m": 0.5}, 2.0, totals={"x": (F.sum, F.col("x"))})
+    assert empty.count() == 0
