@@ -58,6 +58,27 @@ def queue_offsets(df: DataFrame, queue: list[str], bucket: str, order: list[str]
         out, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_base")
 
 
+def nested_offsets(df: DataFrame, queue: list[str], bucket: str, fine: list[str], order: list[str], amount: str,
+                   out: str = "start") -> DataFrame:
+    """Like ``queue_offsets`` in (bucket, fine, order), for buckets that may hold any share of the rows too.
+
+    Windows over rows run inside (queue, bucket, fine) only; those over a bucket see one
+    total per value of ``fine``, and those over a queue one per bucket. The columns of
+    ``fine`` must not be null.
+    """
+    small = df.groupBy(*queue, bucket, *fine).agg(F.sum(amount).alias("_sum"))
+    first = Window.unboundedPreceding
+    totals = small.groupBy(*queue, bucket).agg(F.sum("_sum").alias("_sum"))
+    bases = totals.select(*queue, bucket, F.coalesce(F.sum("_sum").over(
+        Window.partitionBy(*queue).orderBy(bucket).rowsBetween(first, -1)), F.lit(0)).alias("_base"))
+    along = Window.partitionBy(*queue, bucket).orderBy(*fine).rowsBetween(first, -1)
+    small = small.withColumn("_before", F.coalesce(F.sum("_sum").over(along), F.lit(0))).join(bases, [*queue, bucket]).select(
+        *queue, bucket, *fine, (F.col("_base") + F.col("_before")).alias("_base"))
+    inside = Window.partitionBy(*queue, bucket, *fine).orderBy(*order).rowsBetween(first, -1)
+    return df.join(small, [*queue, bucket, *fine]).withColumn(
+        out, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_base")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for nodes with an edge.
 
