@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.tables import list_files, open_store
+from ..sources.tables import file_blocks, list_files, placed
 
 # What a checksum manifest leaves out.
 EXCLUDED_NAMES = ("sha256.txt", ".git", "__pycache__", ".DS_Store", "Thumbs.db")
@@ -49,24 +49,26 @@ def _digests(batches):
 
     for batch in batches:
         digests = []
-        for uri in batch.column("uri").to_pylist():
-            store, name = open_store(uri)
+        for source in zip(*(batch.column(c).to_pylist() for c in ("place", "at", "length")), strict=True):
             digest = hashlib.sha256()
-            with store.open_input_stream(name) as f:
-                while block := f.read(1 << 20):
-                    digest.update(block)
+            for block in file_blocks(*source):
+                digest.update(block)
             digests.append(digest.hexdigest())
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), batch.column("path")], names=["digest", "path"])
 
 
-def checksum_folder(spark: SparkSession, root: str) -> DataFrame:
+def _located(spark: SparkSession, root: str, archives: bool = False) -> DataFrame:
+    """Files below a folder: path relative to it, and where their bytes are."""
+    return relative_paths(placed(list_files(spark, root, archives)), root).select("path", "place", "at", "length")
+
+
+def checksum_folder(spark: SparkSession, root: str, archives: bool = False) -> DataFrame:
     """``digest, path`` of all included files below an absolute path or URI.
 
     Paths are relative to the root, and only they decide what is left out. Files are
-    streamed, whatever their size.
+    streamed, whatever their size. ``archives``: files in ZIP archives count too, see ``list_files``.
     """
-    files = relative_paths(list_files(spark, root).select("path"), root)
-    return release_file_filter(files).select("uri", "path").mapInArrow(_digests, "digest string, path string")
+    return release_file_filter(_located(spark, root, archives)).mapInArrow(_digests, "digest string, path string")
 
 
 def verify_checksums(stored: DataFrame, files: DataFrame) -> DataFrame:
@@ -79,8 +81,7 @@ def verify_folder(spark: SparkSession, root: str, stored: DataFrame) -> DataFram
 
     Only files with a stored digest are read, as streams: a task holds a block of one file.
     """
-    files = relative_paths(list_files(spark, root).select("path"), root)
-    wanted = files.join(stored.select("path"), "path", "left_semi").select("uri", "path")
+    wanted = _located(spark, root).join(stored.select("path"), "path", "left_semi")
     return _compared(stored, wanted.mapInArrow(_digests, "digest string, path string").withColumnRenamed("digest", "_now"))
 
 

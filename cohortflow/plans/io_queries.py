@@ -278,10 +278,17 @@ def _(h):
 def _release_folder(h):
     """Every file of the host inventory, written by tasks with its own path as content."""
     root = shared_path(h.spark, "release")
-    tables.write_files(h.files().select(F.expr("substring(path, 10)").alias("path"), F.encode("path", "UTF-8").alias("content")), root)
+    _lay_out(h.files().select(F.expr("substring(path, 10)").alias("path"), F.encode("path", "UTF-8").alias("content")), root)
     return root
 
 
+def _lay_out(files, root):
+    """One file in 64 lies on its own, the others in archives: millions of files and folders would take a block of the disk each."""
+    own = F.coalesce(F.crc32(F.encode("path", "UTF-8")) % 64 == 0, F.lit(False))
+    tables.write_files(files.where(own), root)
+    tables.write_archives(files.where(~own), root)
+
+
 def _old_recordings(h, root):
     """Recordings with an upper-case suffix are in place already, with other bytes."""
     names = h.files().where("path LIKE '%.EDF'").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name")).distinct()
@@ -299,13 +306,13 @@ def _(h):
     root, reports = shared_path(h.spark, "packaged"), shared_path(h.spark, "reports")
     _old_recordings(h, root)
     sources = _release_folder(h)
-    done = pipelines.package_release(h.spark, h.manifest(), sources, root, COUNTS, FILE_COUNTS)
+    done = pipelines.package_release(h.spark, h.manifest(), sources, root, COUNTS, FILE_COUNTS, archives=True)
     pipelines.write_reports(done, reports)
     log = h.spark.read.option("sep", "\t").option("header", True).option("escape", '"').option("emptyValue", "").option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema(
         "file_name string, stem string, split string, label string, modality string, folder string, source_path string, "
         "destination_path string, status string, bytes bigint").csv(f"{reports}/copy_log").na.fill("", ["source_path", "destination_path"])
-    digests = integrity.checksum_folder(h.spark, root).withColumnRenamed("path", "destination_path")
+    digests = integrity.checksum_folder(h.spark, root, archives=True).withColumnRenamed("path", "destination_path")
     return log.join(digests, "destination_path", "left").withColumn(
         "source", F.when(F.col("source_path") == "", "").otherwise(F.expr("split_part(source_path, '/release-', 2)"))).withColumn(
         "source", F.regexp_replace("source", "^[^/]*/", "")).drop("source_path")
@@ -340,7 +347,7 @@ _SAME = "i.stem = w.stem AND i.split = w.split AND i.label = w.label AND i.modal
 def _(h):
     """All reports, read back from the text that the job wrote."""
     reports = shared_path(h.spark, "reports")
-    pipelines.write_reports(pipelines.verify_release(h.spark, h.manifest(), _release_folder(h), COUNTS, FILE_COUNTS), reports)
+    pipelines.write_reports(pipelines.verify_release(h.spark, h.manifest(), _release_folder(h), COUNTS, FILE_COUNTS, archives=True), reports)
     lines = [h.spark.read.option("sep", "\t").option("header", True).option("escape", '"').csv(f"{reports}/{name}").select(
         F.lit(name).alias("report"), F.concat_ws("|", *columns.split(", ")).alias("line")) for name, columns in _REPORTS.items()]
     out = lines[0]

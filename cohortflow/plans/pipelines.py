@@ -128,9 +128,9 @@ def write_reports(result, folder: str, mode: str = "errorifexists") -> None:
         tables.write_table(getattr(result, report.name), f"{folder.rstrip('/')}/{report.name}", mode=mode)
 
 
-def release_inventory(spark: SparkSession, root: str) -> DataFrame:
+def release_inventory(spark: SparkSession, root: str, archives: bool = False) -> DataFrame:
     """Every file below a folder with its ``uri`` and, by the path relative to the folder, what it is."""
-    files = integrity.relative_paths(tables.list_files(spark, root), root)
+    files = integrity.relative_paths(tables.list_files(spark, root, archives), root)
     # folders are recognised by the slashes around their names
     return tables.describe_paths(files.withColumn("path", F.concat(F.lit("/"), "path"))).withColumn(
         "path", F.expr("substring(path, 2)"))
@@ -149,15 +149,16 @@ class ReleaseCheck:
 
 
 def verify_release(spark: SparkSession, raw: DataFrame, root: str, counts: dict[tuple[str, str], int],
-                   file_counts: dict[tuple[str, str, str], int]) -> ReleaseCheck:
+                   file_counts: dict[tuple[str, str, str], int], archives: bool = False) -> ReleaseCheck:
     """Manifest rows against the files of a release: what fits, is missing, too much or there twice, and a verdict.
 
     ``counts`` has the recordings to expect of each split and class, ``file_counts`` the files
-    of each release folder. The folder is listed once and kept as a stored table.
+    of each release folder. The folder is listed once and kept as a stored table. With
+    ``archives``, files in ZIP archives count as if they were unpacked where the archive lies.
     """
     rows = stored(linkage.valid_manifest_rows(derive_manifest(raw)), "manifest")
     manifest = linkage.dedup_first(rows, "stem", "row_no")
-    actual = stored(linkage.in_release_folders(release_inventory(spark, root)), "inventory")
+    actual = stored(linkage.in_release_folders(release_inventory(spark, root, archives)), "inventory")
     wanted = linkage.expected_items(manifest)
     recordings = linkage.recording_count_check(manifest, counts)
     summary = linkage.release_summary(wanted, actual, file_counts)
@@ -180,23 +181,33 @@ class Packaging:
 
 
 def package_release(spark: SparkSession, raw: DataFrame, sources: str, root: str, counts: dict[tuple[str, str], int],
-                    file_counts: dict[tuple[str, str, str], int], overwrite: bool = False) -> Packaging:
+                    file_counts: dict[tuple[str, str, str], int], overwrite: bool = False, archives: bool = False) -> Packaging:
     """Copy the files that manifest rows require from class folders below ``sources`` into the folders of a release.
 
     The copies are made before this returns; the log has a row per required file, with the
     bytes that were copied. Files that are there already stay as they are, unless ``overwrite``.
-    Of several files with one stem the one with the smallest path is taken.
+    Of several files with one stem the one with the smallest path is taken. With ``archives``,
+    files in ZIP archives count on both sides as if they were unpacked where the archive lies;
+    copies are files of their own, and none may replace a file in an archive.
     """
     manifest = linkage.release_manifest(derive_manifest(raw), "before_filter")
-    found = stored(release_inventory(spark, sources).where("modality IS NOT NULL").withColumn(
+    found = stored(release_inventory(spark, sources, archives).where("modality IS NOT NULL").withColumn(
         "path", F.col("uri")).drop("uri"), "inventory")
     store, name = tables.open_store(root)
     store.create_dir(name, recursive=True)
-    there = integrity.relative_paths(tables.list_files(spark, root).select("path"), root)
+    there = integrity.relative_paths(tables.placed(tables.list_files(spark, root, archives)).select("path", "at"), root)
     plan = stored(linkage.copy_plan(manifest, found, there.select("path"), overwrite), "copy-plan")
-    copied = tables.copy_files(plan.where("status = 'copied'"), root)
+    wanted = plan.where("status = 'copied'")
+    if archives:
+        held = there.where("at IS NOT NULL").select(F.col("path").alias("destination_path"))
+        if overwrite and not wanted.join(held, "destination_path", "left_semi").isEmpty():
+            raise ValueError("files in archives of the release cannot be overwritten")
+        # of a file that lies there and in an archive one is taken
+        where = found.groupBy(F.col("path").alias("source_path")).agg(F.min(F.struct("place", "at", "length")).alias("_p"))
+        wanted = wanted.join(where, "source_path").select("destination_path", "source_path", "_p.*")
+    copied = tables.copy_files(wanted, root)
     log = plan.join(copied, "destination_path", "left").select(*plan.columns, "bytes")
-    after = release_inventory(spark, root).withColumn("path", F.concat(F.lit("/"), "path"))
+    after = release_inventory(spark, root, archives).withColumn("path", F.concat(F.lit("/"), "path"))
     return Packaging(
         copy_log=log, missing=plan.where("status = 'missing'"), summary=linkage.copy_summary(plan),
         duplicate_sources=linkage.duplicate_pairs(found),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
 import uuid
+import zipfile
+from contextlib import contextmanager
 from urllib.parse import quote
 
 import numpy as np
@@ -36,6 +39,59 @@ def open_store(path: str):
     return fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", path), safe="/:@"))
 
 
+class _Member:
+    """A file that an archive holds as it is, read like one of its own; ``at`` is the place of its header."""
+
+    def __init__(self, f, at: int, length: int):
+        head = f.read_at(30, at)
+        self.f, self.length = f, length
+        self.start = at + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+
+    def read_at(self, size: int, begin: int) -> bytes:
+        return self.f.read_at(max(min(size, self.length - begin), 0), self.start + begin)
+
+
+@contextmanager
+def opener():
+    """Opens files to read at any place: ``place`` itself, or the file with its header at ``at`` in that archive.
+
+    What was opened last stays open, for the next file of the same archive.
+    """
+    last, f = None, None
+
+    def opened(place: str, at: int | None, length: int | None):
+        nonlocal last, f
+        if place != last:
+            if f is not None:
+                f.close()
+            store, name = open_store(place)
+            last, f = place, store.open_input_file(name)
+        return f if at is None else _Member(f, at, length)
+
+    try:
+        yield opened
+    finally:
+        if f is not None:
+            f.close()
+
+
+def file_blocks(place: str, at: int | None, length: int | None, size: int = 1 << 20):
+    """The bytes of such a file as a stream of blocks."""
+    if at is None:
+        store, name = open_store(place)
+        with store.open_input_stream(name) as f:
+            while block := f.read(size):
+                yield block
+        return
+    with opener() as opened:
+        f = opened(place, at, length)
+        for begin in range(0, length, size):
+            block = f.read_at(size, begin)
+            if len(block) < min(size, length - begin):
+                raise EOFError(f"{place} ends within a file")
+            yield block
+
+
 def require_columns(df: DataFrame, required) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -312,12 +368,43 @@ def _entries(batches):
                                              names=["path", "length", "modificationTime", "folder"])
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def _members(batches):
+    """Arrow kernel: files that each archive holds, from its own directory; of one name the last counts."""
+    import pyarrow as pa
+
+    kinds = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.int64())
+    for batch in batches:
+        for archive, changed in zip(batch.column("path").to_pylist(), batch.column("modificationTime").to_pylist(), strict=True):
+            store, name = open_store(archive)
+            with store.open_input_file(name) as f, zipfile.ZipFile(f) as z:
+                held = [i for i in {i.filename: i for i in z.infolist()}.values() if not i.is_dir()]
+            folder = archive.rpartition("/")[0]
+            for i in held:
+                if i.compress_type != zipfile.ZIP_STORED or i.flag_bits & 1:
+                    raise ValueError(f"{archive} holds {i.filename} compressed or encrypted: only files stored as they are can be read in place")
+            for k in range(0, len(held), ARCHIVE_FILES):
+                rows = [(f"{folder}/{i.filename}", i.file_size, changed, archive, i.header_offset) for i in held[k:k + ARCHIVE_FILES]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)],
+                                                 names=["path", "length", "modificationTime", "place", "at"])
+
+
+def placed(files: DataFrame) -> DataFrame:
+    """Files with ``place`` and ``at``, see ``list_files``; without these columns, files of their own."""
+    if "place" in files.columns:
+        return files
+    return files.withColumns({"place": F.col("path"), "at": F.lit(None).cast("bigint")})
+
+
+def list_files(spark: SparkSession, root: str, archives: bool = False) -> DataFrame:
     """``path, length, modificationTime`` of every file below a folder, whatever its name.
 
     Spark's own readers pass over names that begin with ``_`` or ``.``. The folders of one
     level are dealt to tasks, which list them; each level is stored, so the driver holds no
     path, and there are as many rounds as levels.
+
+    With ``archives``, a ZIP archive stands for the files it holds, as if it were unpacked where
+    it lies; tasks read its directory only. Two more columns tell where the bytes of a file
+    are: ``place``, the file itself or its archive, and ``at``, where it begins there.
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level, found = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), None
@@ -328,7 +415,13 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         found = files if found is None else found.unionByName(files)
         level = below.where("folder").select("path")
         if level.isEmpty():
-            return found
+            break
+    if not archives:
+        return found
+    packed = F.lower("path").endswith(".zip")
+    held = stored(found.where(packed).select("path", "modificationTime").repartition(n, "path").mapInArrow(
+        _members, "path string, length bigint, modificationTime timestamp, place string, at bigint"), "members")
+    return placed(found.where(~packed)).unionByName(held)
 
 
 def scan_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
@@ -375,6 +468,53 @@ def write_files(files: DataFrame, root: str) -> int:
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(_written(root), "path string").count()
 
 
+#: Most files and bytes of an archive; one larger file makes an archive of its own size.
+ARCHIVE_FILES, ARCHIVE_BYTES = 10_000, 64 << 20
+
+
+def _archived(prefix: str):
+    """Arrow kernel: the rows of a task in archives, numbered in row order; a task that is run again writes the same archives anew."""
+    def save(files: list, number: int) -> None:
+        from pyspark import TaskContext
+
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for path, content in files:
+                z.writestr(zipfile.ZipInfo(str(path)), content or b"")
+        store, name = open_store(f"{prefix}-{TaskContext.get().partitionId():05d}-{number:05d}.zip")
+        store.create_dir(name.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(name) as f:
+            f.write(data.getbuffer())
+
+    def run(batches):
+        import pyarrow as pa
+
+        files, size, number = [], 0, 0
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if files and (len(files) == ARCHIVE_FILES or size + len(content or b"") > ARCHIVE_BYTES):
+                    save(files, number)
+                    files, size, number = [], 0, number + 1
+                files.append((path, content))
+                size += len(content or b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+        if files:
+            save(files, number)
+    return run
+
+
+def write_archives(files: DataFrame, root: str) -> int:
+    """Write ``(path, content)`` rows as files in ZIP archives right below a shared folder; the number of files.
+
+    For many small files: on its own each takes a block of the disk, and so does each folder.
+    Paths must differ from each other. Rows are sorted first, so that a task that is run
+    again puts the same files into the archive of the same name.
+    """
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = files.select("path", F.col("content").cast("binary").alias("content")).repartition(n, "path").sortWithinPartitions("path")
+    return rows.mapInArrow(_archived(f"{root.rstrip('/')}/{uuid.uuid4().hex}"), "path string").count()
+
+
 def _copied(root: str):
     """Arrow kernel: stream each file to a name of its own, then give it the name it is to have."""
     def run(batches):
@@ -383,15 +523,14 @@ def _copied(root: str):
 
         for batch in batches:
             sizes = []
-            for source, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, name = open_store(source)
+            for path, *source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 target, place = open_store(f"{root}/{path}")
                 folder = place.rpartition("/")[0]
                 target.create_dir(folder, recursive=True)
                 part, size = f"{folder}/.{uuid.uuid4().hex}.part", 0
                 try:
-                    with store.open_input_stream(name) as f, target.open_output_stream(part) as out:
-                        while block := f.read(1 << 20):
+                    with target.open_output_stream(part) as out:
+                        for block in file_blocks(*source):
                             out.write(block)
                             size += len(block)
                     if target.get_file_info(place).type != fs.FileType.NotFound:
@@ -402,7 +541,7 @@ def _copied(root: str):
                         target.delete_file(part)
                     raise
                 sizes.append(size)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64())], names=["destination_path", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["destination_path", "bytes"])
     return run
 
 
@@ -411,11 +550,14 @@ def copy_files(plan: DataFrame, root: str) -> DataFrame:
 
     Files are streamed in tasks, whatever their size, and never pass the driver. A file gets its
     name only when it is whole, so a lost executor leaves no short file under a final name;
-    its tasks copy their files anew. Destinations must differ from each other.
+    its tasks copy their files anew. Destinations must differ from each other. Sources may lie
+    in archives, told by the columns ``place``, ``at`` and ``length`` of ``list_files``.
     """
     n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # by number: rows of paths are small, and adaptive execution would put the copies together again
-    spread = plan.select("source_path", "destination_path").repartition(n, "destination_path")
+    if "place" not in plan.columns:
+        plan = placed(plan.withColumn("path", F.col("source_path"))).withColumn("length", F.lit(None).cast("bigint"))
+    spread = plan.select("destination_path", "place", "at", "length").repartition(n, "destination_path")
     return stored(spread.mapInArrow(_copied(root.rstrip("/")), "destination_path string, bytes bigint"), "copied")
 
 

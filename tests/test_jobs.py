@@ -1,10 +1,16 @@
 """Packaging and verification of a release on real files."""
 
+import hashlib
+import os
+import zipfile
+from dataclasses import fields
+
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import linkage as ln
-from cohortflow.plans import pipelines
+from cohortflow.operators import integrity, linkage as ln
+from cohortflow.plans import io_queries, pipelines
+from cohortflow.plans.hosts import Hosts
 from cohortflow.sources import tables
 
 ROWS = [("mh_2020_1.edf", 1, "abnormal", "train"), ('"E:/x/MH_2020_2.EDF"', 2, "Normal", "eval"),
@@ -117,3 +123,55 @@ def test_release_folders_by_their_first_names(spark):
                                    ("x/train/normal/edf/a.edf", "edf", "a"), ("train/normal/edf/a.txt", "report", "a")],
                                   "path string, modality string, stem string").withColumns({"split": F.lit("?"), "label": F.lit("?")})
     assert [(r.path, r.split, r.label) for r in ln.in_release_folders(files).collect()] == [("train/normal/edf/a.edf", "train", "Normal")]
+
+
+def pack(folder, inner=""):
+    """The files below a folder, but for every third, in two ZIP archives that lie there."""
+    names = sorted(p for p in folder.rglob("*") if p.is_file())
+    for k in (0, 1):
+        with zipfile.ZipFile(folder / inner / f"part{k}.ZIP", "w") as z:
+            for p in names[k::3]:
+                z.write(p, str(p.relative_to(folder / inner)))
+    for p in [*names[::3], *names[1::3]]:
+        p.unlink()
+
+
+def test_release_in_archives(spark, folders):
+    """Files in archives count like files of their own, in every report; copies come from both."""
+    loose = package(spark, folders)
+    want, log = whole(folders), sorted(map(repr, loose.copy_log.collect()))
+    reports = {f: sorted(map(repr, getattr(loose, f).collect())) for f in ("missing", "duplicate_sources", "recording_counts", "folder_counts")}
+    pack(folders / "src")
+    assert len(list((folders / "src").rglob("*.ZIP"))) == 2
+    root = str(folders / "train" / "new")
+    done = pipelines.package_release(spark, raw(spark), str(folders / "src"), root, COUNTS, FILE_COUNTS, archives=True)
+    new = folders / "train" / "new"
+    assert {str(p.relative_to(new)): p.read_bytes() for p in new.rglob("*") if p.is_file()} == want
+    assert sorted(map(repr, done.copy_log.collect())) == log
+    assert {f: sorted(map(repr, getattr(done, f).collect())) for f in reports} == reports
+
+    check = lambda **more: {f.name: sorted(map(repr, getattr(pipelines.verify_release(
+        spark, raw(spark), root, COUNTS, FILE_COUNTS, **more), f.name).drop("uri", "length", "modificationTime", "place", "at").collect()))
+        for f in fields(pipelines.ReleaseCheck)}
+    before = check()
+    pack(new)
+    assert check(archives=True) == before != check()
+    sums = {r.path: r.digest for r in integrity.checksum_folder(spark, root, archives=True).collect()}
+    assert sums == {n: hashlib.sha256(c).hexdigest() for n, c in want.items()}
+
+    # what an archive of the release holds is there already, and cannot be replaced
+    again = pipelines.package_release(spark, raw(spark), str(folders / "src"), root, COUNTS, FILE_COUNTS, archives=True)
+    assert {r.status for r in again.copy_log.collect()} == {"already_exists", "missing"}
+    with pytest.raises(ValueError, match="cannot be overwritten"):
+        pipelines.package_release(spark, raw(spark), str(folders / "src"), root, COUNTS, FILE_COUNTS, overwrite=True, archives=True)
+
+
+def test_release_of_many_small_files_takes_few_files(spark, tmp_path):
+    """A release of 2828 files, most in folders of their own, takes some archives and one loose file in 64."""
+    spark.range(3000).selectExpr("id AS o_orderkey", "id % 700 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(700).selectExpr("id AS c_custkey", "0.5D AS c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    h = Hosts(spark, str(tmp_path))
+    root = io_queries._release_folder(h)
+    found = {r.path for r in pipelines.release_inventory(spark, root, True).collect()}
+    assert found == {r.path.removeprefix("/release/") for r in h.files().collect()} and len(found) > 2800
+    assert sum(len(d) + len(f) for _, d, f in os.walk(root.removeprefix("file:"))) < 300
