@@ -292,7 +292,7 @@ def _lay_out(files, root):
 def _old_recordings(h, root):
     """Recordings with an upper-case suffix are in place already, with other bytes."""
     names = h.files().where("path LIKE '%.EDF'").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name")).distinct()
-    tables.write_files(names.select(F.explode(F.array(*[
+    _lay_out(names.select(F.explode(F.array(*[
         F.concat(F.lit(f"{s}/{c}/edf/"), "name") for s in ln.SPLITS for c in ("normal", "abnormal")])).alias("path"),
         F.encode(F.lit("old"), "UTF-8").alias("content")), root)
 

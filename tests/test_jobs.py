@@ -175,3 +175,9 @@ def test_release_of_many_small_files_takes_few_files(spark, tmp_path):
     found = {r.path for r in pipelines.release_inventory(spark, root, True).collect()}
     assert found == {r.path.removeprefix("/release/") for r in h.files().collect()} and len(found) > 2800
     assert sum(len(d) + len(f) for _, d, f in os.walk(root.removeprefix("file:"))) < 300
+    # the release that is packaged: the copies, and the recordings in place before
+    packaged = tmp_path / "out"
+    io_queries._old_recordings(h, str(packaged))
+    old = h.files().where("path LIKE '%.EDF'").selectExpr("split_part(path, '/', -1)").distinct().count()
+    assert tables.list_files(spark, str(packaged), True).count() == 4 * old
+    assert sum(len(d) + len(f) for _, d, f in os.walk(packaged)) < old
