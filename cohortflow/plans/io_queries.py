@@ -125,8 +125,8 @@ def _(h):
     """Read from files, in blocks that cut most of them several times."""
     root = shared_path(h.spark, "annotations")
     files = annotation_files(h)
-    tables.write_files(files.select(F.replace("path", F.lit("file:/csv/"), F.lit("")).alias("path"), F.encode("value", "UTF-8").alias("content")), root)
-    return tables.read_annotations(h.spark, root, block_bytes=1000)
+    _lay_out(files.select(F.replace("path", F.lit("file:/csv/"), F.lit("")).alias("path"), F.encode("value", "UTF-8").alias("content")), root)
+    return tables.read_annotations(h.spark, root, block_bytes=1000, archives=True)
 
 
 # ---- EDF files ----------------------------------------------------------

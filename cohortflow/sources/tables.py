@@ -225,30 +225,37 @@ def _parities(batches):
     """
     import pyarrow as pa
 
-    for batch in batches:
-        out = []
-        for path, begin, size in zip(*(batch.column(c).to_pylist() for c in ("path", "begin", "size"))):
-            store, name = open_store(path)
-            with store.open_input_file(name) as f:
-                data, at_start = _block(f, begin, size)
-            quote = (data == 34).astype(np.int64)
-            if not at_start:
-                quote[0] = 0  # it belongs to the block before
-            places = np.flatnonzero(quote)
-            counts = [len(_record_starts(data, quote, inside, at_start)) for inside in (0, 1)]
-            plain = quote.copy()
-            plain[places[-1:]] = 0
-            counts += [len(_record_starts(data, plain, inside, at_start)) for inside in (0, 1)]
-            out.append((path, begin, size, len(places), begin - (not at_start) + int(places[-1]) if len(places) else None, counts))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
-                                         names=["path", "begin", "size", "quotes", "last", "counts"])
+    with opener() as opened:
+        for batch in batches:
+            out = []
+            for place, at, length, begin, size in zip(*(batch.column(c).to_pylist() for c in ("place", "at", "length", "begin", "size")), strict=True):
+                data, at_start = _block(opened(place, at, length), begin, size)
+                quote = (data == 34).astype(np.int64)
+                if not at_start:
+                    quote[0] = 0  # it belongs to the block before
+                places = np.flatnonzero(quote)
+                counts = [len(_record_starts(data, quote, inside, at_start)) for inside in (0, 1)]
+                plain = quote.copy()
+                plain[places[-1:]] = 0
+                counts += [len(_record_starts(data, plain, inside, at_start)) for inside in (0, 1)]
+                out.append((len(places), begin - (not at_start) + int(places[-1]) if len(places) else None, counts))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))],
+                                             names=[*batch.schema.names, "quotes", "last", "counts"])
 
 
 def _text_of(raw: bytes) -> str:
     return raw.decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n")
 
 
+#: Records of a whole text without a mark of order, its lines ended by line feeds.
+_RECORDS = re.compile(r'(?:[^"\n]+|"[^"]*"|")+')
+
+
+def _whole_records(raw: bytes) -> list[str]:
+    return _RECORDS.findall(_text_of(raw.removeprefix(_BOM)))
+
+
 def _records(f, begin: int, size: int, inside: int, plain: int | None, most: int | None = None) -> list[str]:
     """Records that begin in a block, the last one read to its end; ``plain`` is the place of a quote that counts as text."""
     more = size
@@ -277,49 +284,58 @@ def _lines(batches):
     """Arrow kernel: header and records of each block whose state is known."""
     import pyarrow as pa
 
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            store, name = open_store(row["path"])
-            with store.open_input_file(name) as f:
-                lines = _records(f, row["begin"], row["size"], row["inside"], row["plain"])
-                if row["first"]:
-                    head, size = [], 1 << 12
+    columns = ("path", "place", "at", "length", "begin", "size", "inside", "plain", "first")
+    with opener() as opened:
+        for batch in batches:
+            out = []
+            for path, place, at, length, begin, size, inside, plain, first in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                f = opened(place, at, length)
+                lines = _whole_records(f.read_at(length, 0)) if length <= size else _records(f, begin, size, inside, plain)
+                if first:
+                    head, more = [], 1 << 12
                     while not head:  # lines without text may come first
-                        head, size = _records(f, 0, size, 0, row["plain"], 1), size * 4
-                    out.append((row["path"], head[0], row["first"] - 1, lines))
+                        head, more = _records(f, 0, more, 0, plain, 1), more * 4
+                    out.append((path, head[0], first - 1, lines))
                 elif lines:
-                    out.append((row["path"], lines[0], 0, lines[1:]))
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
-                                         names=["path", "head", "first", "lines"])
+                    out.append((path, lines[0], 0, lines[1:]))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
+                                             names=["path", "head", "first", "lines"])
 
 
 def read_annotations(spark: SparkSession, root: str, columns: dict[str, str] = ANNOTATION_COLUMNS,
-                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                     block_bytes: int = BLOCK_BYTES, archives: bool = False) -> DataFrame:
     """All annotation CSVs below a folder as one table, see ``parse_annotations``.
 
     A file is cut into blocks of ``block_bytes``, which tasks read on their own. Whether a
     block begins inside quotes follows from the quotes of the blocks before it, so a first
     pass counts them, and the records under either state; their running sums give each block
     its state and its first row number. A record belongs to the block it begins in. A last
-    quote without a partner counts as text.
+    quote without a partner counts as text. A file of one block is read once, without that
+    pass. ``archives``: files in ZIP archives count too, see ``list_files``.
     """
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = list_files(spark, root).where(F.col("path").endswith(".csv") & (F.col("length") > 0))
+    files = placed(list_files(spark, root, archives)).where(F.col("path").endswith(".csv") & (F.col("length") > 0)).select(
+        "path", "place", "at", "length", F.lit(block_bytes).cast("bigint").alias("size"))
+    # neighbours in an archive go to one task, blocks of a file to many
+    dealt = lambda df: df.repartition(n, "place", F.shiftright(F.coalesce("at", F.lit(0).cast("bigint")) + F.col("begin"), 16))
     step = F.lit(block_bytes).cast("bigint")
-    blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, step)).alias("begin"), F.lit(block_bytes).cast("bigint").alias("size"))
-    told = stored(blocks.repartition(n, "path", "begin").mapInArrow(
-        _parities, "path string, begin bigint, size bigint, quotes bigint, last bigint, counts array<bigint>"), "csv-blocks")
+    blocks = files.where("length > size").withColumn("begin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, step)))
+    told = stored(dealt(blocks).mapInArrow(
+        _parities, "path string, place string, at bigint, length bigint, size bigint, begin bigint, quotes bigint, last bigint, "
+        "counts array<bigint>"), "csv-blocks")
     # a row per block_bytes of a file
-    whole = Window.partitionBy("path")
+    whole = Window.partitionBy("path", "place")
     before = whole.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     odd = F.sum("quotes").over(whole) % 2 == 1
     state = told.withColumn("plain", F.when(odd, F.max("last").over(whole))).withColumn(
         "inside", F.when(F.col("plain") < F.col("begin"), 0).otherwise(F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int"))
     here = F.get("counts", F.col("inside") + F.when(F.col("last") == F.col("plain"), 2).otherwise(0))
     state = state.withColumn("_here", here).withColumn("first", F.coalesce(F.sum("_here").over(before), F.lit(0)))
-    return _annotation_rows(state.select("path", "begin", "size", "inside", "plain", "first").repartition(n, "path", "begin").mapInArrow(
+    single = files.where("length <= size").withColumns({
+        "begin": F.lit(0).cast("bigint"), "inside": F.lit(0), "plain": F.lit(None).cast("bigint"), "first": F.lit(0).cast("bigint")})
+    # sorted: an archive is opened once for the files of it that a task has
+    return _annotation_rows(dealt(single.unionByName(state.select(*single.columns))).sortWithinPartitions("place", "at", "begin").mapInArrow(
         _lines, "path string, head string, first bigint, lines array<string>"), columns)
 
 
