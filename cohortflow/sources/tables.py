@@ -484,6 +484,27 @@ def write_files(files: DataFrame, root: str) -> int:
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(_written(root), "path string").count()
 
 
+@contextmanager
+def _whole_file(path: str):
+    """A stream to a name of its own, which gets the name ``path`` when it is whole."""
+    from pyarrow import fs
+
+    store, place = open_store(path)
+    folder = place.rpartition("/")[0]
+    store.create_dir(folder, recursive=True)
+    part = f"{folder}/.{uuid.uuid4().hex}.part"
+    try:
+        with store.open_output_stream(part) as out:
+            yield out
+        if store.get_file_info(place).type != fs.FileType.NotFound:
+            store.delete_file(place)  # not every store renames onto a file
+        store.move(part, place)
+    except BaseException:
+        if store.get_file_info(part).type != fs.FileType.NotFound:
+            store.delete_file(part)
+        raise
+
+
 #: Most files and bytes of an archive; one larger file makes an archive of its own size.
 ARCHIVE_FILES, ARCHIVE_BYTES = 10_000, 64 << 20
 
@@ -497,9 +518,7 @@ def _archived(prefix: str):
         with zipfile.ZipFile(data, "w") as z:
             for path, content in files:
                 z.writestr(zipfile.ZipInfo(str(path)), content or b"")
-        store, name = open_store(f"{prefix}-{TaskContext.get().partitionId():05d}-{number:05d}.zip")
-        store.create_dir(name.rpartition("/")[0], recursive=True)
-        with store.open_output_stream(name) as f:
+        with _whole_file(f"{prefix}-{TaskContext.get().partitionId():05d}-{number:05d}.zip") as f:
             f.write(data.getbuffer())
 
     def run(batches):
@@ -532,30 +551,18 @@ def write_archives(files: DataFrame, root: str) -> int:
 
 
 def _copied(root: str):
-    """Arrow kernel: stream each file to a name of its own, then give it the name it is to have."""
+    """Arrow kernel: stream each file to the name it is to have."""
     def run(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
         for batch in batches:
             sizes = []
             for path, *source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                target, place = open_store(f"{root}/{path}")
-                folder = place.rpartition("/")[0]
-                target.create_dir(folder, recursive=True)
-                part, size = f"{folder}/.{uuid.uuid4().hex}.part", 0
-                try:
-                    with target.open_output_stream(part) as out:
-                        for block in file_blocks(*source):
-                            out.write(block)
-                            size += len(block)
-                    if target.get_file_info(place).type != fs.FileType.NotFound:
-                        target.delete_file(place)  # not every store renames onto a file
-                    target.move(part, place)
-                except BaseException:
-                    if target.get_file_info(part).type != fs.FileType.NotFound:
-                        target.delete_file(part)
-                    raise
+                size = 0
+                with _whole_file(f"{root}/{path}") as out:
+                    for block in file_blocks(*source):
+                        out.write(block)
+                        size += len(block)
                 sizes.append(size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["destination_path", "bytes"])
     return run
