@@ -307,7 +307,8 @@ def _(h):
     _old_recordings(h, root)
     sources = _release_folder(h)
     done = pipelines.package_release(h.spark, h.manifest(), sources, root, COUNTS, FILE_COUNTS, archives=True)
-    pipelines.write_reports(done, reports)
+    # reports hold the whole paths of all sources
+    pipelines.write_reports(done, reports, compression="gzip")
     log = h.spark.read.option("sep", "\t").option("header", True).option("escape", '"').option("emptyValue", "").option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema(
         "file_name string, stem string, split string, label string, modality string, folder string, source_path string, "

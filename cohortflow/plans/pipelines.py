@@ -122,10 +122,10 @@ def check_channels(spark: SparkSession, root: str, seconds: float = 2.0, chunk_s
 
 # ---- releases -----------------------------------------------------------
 
-def write_reports(result, folder: str, mode: str = "errorifexists") -> None:
+def write_reports(result, folder: str, mode: str = "errorifexists", compression: str | None = None) -> None:
     """Every table of a job's result as delimited text, in a folder below ``folder`` named like it."""
     for report in fields(result):
-        tables.write_table(getattr(result, report.name), f"{folder.rstrip('/')}/{report.name}", mode=mode)
+        tables.write_table(getattr(result, report.name), f"{folder.rstrip('/')}/{report.name}", mode=mode, compression=compression)
 
 
 def release_inventory(spark: SparkSession, root: str, archives: bool = False) -> DataFrame:

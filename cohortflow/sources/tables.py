@@ -584,11 +584,11 @@ def copy_files(plan: DataFrame, root: str) -> DataFrame:
     return stored(spread.mapInArrow(_copied(root.rstrip("/")), "destination_path string, bytes bigint"), "copied")
 
 
-def write_table(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:
-    """Delimited text with a header; nulls and empty text are empty cells."""
+def write_table(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists", compression: str | None = None) -> None:
+    """Delimited text with a header; nulls and empty text are empty cells. ``compression``: Spark's name of a codec."""
     df.write.mode(mode).options(
         sep=sep, header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False).csv(path)
+        ignoreTrailingWhiteSpace=False, **({"compression": compression} if compression else {})).csv(path)
 
 
 def write_checksum_text(manifest: DataFrame, path: str, mode: str = "errorifexists") -> None:
