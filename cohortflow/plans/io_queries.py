@@ -297,6 +297,10 @@ def _old_recordings(h, root):
         F.encode(F.lit("old"), "UTF-8").alias("content")), root)
 
 
+#: Copies of fewer bytes go into archives: as files of their own they waste a block of 4 KB each.
+PACK_BELOW = 1 << 16
+
+
 @query("package_release", f"""WITH {_PLAN.replace("FROM rel r", "FROM (SELECT * FROM uniq WHERE split IN ('train', 'evaluation') AND label IN ('Normal', 'Abnormal')) r")}
     SELECT file_name, stem, split, label, modality, folder, substr(source_path, 10) AS source, destination_path, status,
     CASE status WHEN 'copied' THEN strlen(source_path) END AS bytes,
@@ -306,7 +310,7 @@ def _(h):
     root, reports = shared_path(h.spark, "packaged"), shared_path(h.spark, "reports")
     _old_recordings(h, root)
     sources = _release_folder(h)
-    done = pipelines.package_release(h.spark, h.manifest(), sources, root, COUNTS, FILE_COUNTS, archives=True)
+    done = pipelines.package_release(h.spark, h.manifest(), sources, root, COUNTS, FILE_COUNTS, archives=True, pack_below=PACK_BELOW)
     # reports hold the whole paths of all sources
     pipelines.write_reports(done, reports, compression="gzip")
     log = h.spark.read.option("sep", "\t").option("header", True).option("escape", '"').option("emptyValue", "").option(

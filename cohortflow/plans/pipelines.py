@@ -181,15 +181,20 @@ class Packaging:
 
 
 def package_release(spark: SparkSession, raw: DataFrame, sources: str, root: str, counts: dict[tuple[str, str], int],
-                    file_counts: dict[tuple[str, str, str], int], overwrite: bool = False, archives: bool = False) -> Packaging:
+                    file_counts: dict[tuple[str, str, str], int], overwrite: bool = False, archives: bool = False,
+                    pack_below: int = 0) -> Packaging:
     """Copy the files that manifest rows require from class folders below ``sources`` into the folders of a release.
 
     The copies are made before this returns; the log has a row per required file, with the
     bytes that were copied. Files that are there already stay as they are, unless ``overwrite``.
     Of several files with one stem the one with the smallest path is taken. With ``archives``,
     files in ZIP archives count on both sides as if they were unpacked where the archive lies;
-    copies are files of their own, and none may replace a file in an archive.
+    none may replace a file in an archive. Copies are files of their own, but for those of fewer
+    than ``pack_below`` bytes that replace no such file: these go into archives right below
+    ``root``, as each would take a block of the disk. They unpack to the folders of the release.
     """
+    if pack_below and not archives:
+        raise ValueError("copies in archives count only with archives=True")
     manifest = linkage.release_manifest(derive_manifest(raw), "before_filter")
     found = stored(release_inventory(spark, sources, archives).where("modality IS NOT NULL").withColumn(
         "path", F.col("uri")).drop("uri"), "inventory")
@@ -205,6 +210,9 @@ def package_release(spark: SparkSession, raw: DataFrame, sources: str, root: str
         # of a file that lies there and in an archive one is taken
         where = found.groupBy(F.col("path").alias("source_path")).agg(F.min(F.struct("place", "at", "length")).alias("_p"))
         wanted = wanted.join(where, "source_path").select("destination_path", "source_path", "_p.*")
+    if pack_below:
+        loose = there.where("at IS NULL").select(F.col("path").alias("destination_path"), F.lit(True).alias("_loose"))
+        wanted = wanted.join(loose, "destination_path", "left").withColumn("pack", (F.col("length") < pack_below) & F.col("_loose").isNull())
     copied = tables.copy_files(wanted, root)
     log = plan.join(copied, "destination_path", "left").select(*plan.columns, "bytes")
     after = release_inventory(spark, root, archives).withColumn("path", F.concat(F.lit("/"), "path"))

@@ -509,32 +509,44 @@ def _whole_file(path: str):
 ARCHIVE_FILES, ARCHIVE_BYTES = 10_000, 64 << 20
 
 
-def _archived(prefix: str):
-    """Arrow kernel: the rows of a task in archives, numbered in row order; a task that is run again writes the same archives anew."""
-    def save(files: list, number: int) -> None:
+class _Packer:
+    """Files of a task in archives, numbered as they come; a task that is run again writes the same archives anew."""
+
+    def __init__(self, prefix: str):
+        self.prefix, self.files, self.size, self.number = prefix, [], 0, 0
+
+    def add(self, path: str, content: bytes) -> None:
+        if self.files and (len(self.files) == ARCHIVE_FILES or self.size + len(content) > ARCHIVE_BYTES):
+            self.save()
+        self.files.append((path, content))
+        self.size += len(content)
+
+    def save(self) -> None:
+        """Write the archive of the files that came since the last one."""
         from pyspark import TaskContext
 
+        if not self.files:
+            return
         data = io.BytesIO()
         with zipfile.ZipFile(data, "w") as z:
-            for path, content in files:
-                z.writestr(zipfile.ZipInfo(str(path)), content or b"")
-        with _whole_file(f"{prefix}-{TaskContext.get().partitionId():05d}-{number:05d}.zip") as f:
+            for path, content in self.files:
+                z.writestr(zipfile.ZipInfo(str(path)), content)
+        with _whole_file(f"{self.prefix}-{TaskContext.get().partitionId():05d}-{self.number:05d}.zip") as f:
             f.write(data.getbuffer())
+        self.files, self.size, self.number = [], 0, self.number + 1
+
 
+def _archived(prefix: str):
+    """Arrow kernel: the rows of a task in archives, in row order."""
     def run(batches):
         import pyarrow as pa
 
-        files, size, number = [], 0, 0
+        packer = _Packer(prefix)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if files and (len(files) == ARCHIVE_FILES or size + len(content or b"") > ARCHIVE_BYTES):
-                    save(files, number)
-                    files, size, number = [], 0, number + 1
-                files.append((path, content))
-                size += len(content or b"")
+                packer.add(path, content or b"")
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
-        if files:
-            save(files, number)
+        packer.save()
     return run
 
 
@@ -550,14 +562,20 @@ def write_archives(files: DataFrame, root: str) -> int:
     return rows.mapInArrow(_archived(f"{root.rstrip('/')}/{uuid.uuid4().hex}"), "path string").count()
 
 
-def _copied(root: str):
-    """Arrow kernel: stream each file to the name it is to have."""
+def _copied(root: str, prefix: str):
+    """Arrow kernel: stream each file to the name it is to have, or put it into an archive of the task."""
     def run(batches):
         import pyarrow as pa
 
+        packer = _Packer(prefix)
         for batch in batches:
             sizes = []
-            for path, *source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, pack, *source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if pack:
+                    content = b"".join(file_blocks(*source))
+                    packer.add(path, content)
+                    sizes.append(len(content))
+                    continue
                 size = 0
                 with _whole_file(f"{root}/{path}") as out:
                     for block in file_blocks(*source):
@@ -565,6 +583,7 @@ def _copied(root: str):
                         size += len(block)
                 sizes.append(size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["destination_path", "bytes"])
+        packer.save()
     return run
 
 
@@ -574,14 +593,20 @@ def copy_files(plan: DataFrame, root: str) -> DataFrame:
     Files are streamed in tasks, whatever their size, and never pass the driver. A file gets its
     name only when it is whole, so a lost executor leaves no short file under a final name;
     its tasks copy their files anew. Destinations must differ from each other. Sources may lie
-    in archives, told by the columns ``place``, ``at`` and ``length`` of ``list_files``.
+    in archives, told by the columns ``place``, ``at`` and ``length`` of ``list_files``. Where a
+    column ``pack`` is true, the copy goes into a ZIP archive right below ``root``, which a task
+    holds in memory until it is whole: for small files, see ``write_archives``.
     """
     n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # by number: rows of paths are small, and adaptive execution would put the copies together again
     if "place" not in plan.columns:
         plan = placed(plan.withColumn("path", F.col("source_path"))).withColumn("length", F.lit(None).cast("bigint"))
-    spread = plan.select("destination_path", "place", "at", "length").repartition(n, "destination_path")
-    return stored(spread.mapInArrow(_copied(root.rstrip("/")), "destination_path string, bytes bigint"), "copied")
+    if "pack" not in plan.columns:
+        plan = plan.withColumn("pack", F.lit(False))
+    # by number: rows of paths are small, and adaptive execution would put the copies together again;
+    # sorted: a task that is run again fills its archives alike
+    spread = plan.select("destination_path", "pack", "place", "at", "length").repartition(n, "destination_path").sortWithinPartitions("destination_path")
+    root = root.rstrip("/")
+    return stored(spread.mapInArrow(_copied(root, f"{root}/{uuid.uuid4().hex}"), "destination_path string, bytes bigint"), "copied")
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists", compression: str | None = None) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortflow.operators import integrity, linkage as ln
 from cohortflow.plans import io_queries, pipelines
 from cohortflow.plans.hosts import Hosts
+from cohortflow.plans.queries import QUERIES
 from cohortflow.sources import tables
 
 ROWS = [("mh_2020_1.edf", 1, "abnormal", "train"), ('"E:/x/MH_2020_2.EDF"', 2, "Normal", "eval"),
@@ -196,3 +197,45 @@ def test_reports_of_paths_are_written_compressed(spark, folders):
     tables.write_table(done.copy_log.crossJoin(spark.range(200)).coalesce(1), str(folders / "long"))
     tables.write_table(done.copy_log.crossJoin(spark.range(200)).coalesce(1), str(folders / "long.gz"), compression="gzip")
     assert read("long") == read("long.gz") and size("long.gz") * 5 < size("long")
+
+
+def test_small_copies_in_archives(spark, folders):
+    """Small copies lie in archives, in every report like files of their own; larger ones, and those that replace a file, do not."""
+    loose = package(spark, folders)
+    want = whole(folders)
+    reports = lambda done: {f.name: sorted(map(repr, getattr(done, f.name).collect())) for f in fields(pipelines.Packaging)}
+    new = folders / "train" / "new"
+    make = lambda **more: pipelines.package_release(
+        spark, raw(spark), str(folders / "src"), str(new), COUNTS, FILE_COUNTS, archives=True, **more)
+    replaced = new / "train/abnormal/annotations/mh_2020_1.csv"
+    replaced.parent.mkdir(parents=True)
+    replaced.write_bytes(b"old")
+    done = make(pack_below=5, overwrite=True)
+    assert reports(done) == reports(loose)
+    own = {str(p.relative_to(new)): p.read_bytes() for p in new.rglob("*") if p.is_file() and p.suffix != ".zip"}
+    assert own == {k: v for k, v in want.items() if len(v) >= 5 or k == str(replaced.relative_to(new))} and len(own) == 3
+    held = {}
+    for p in new.rglob("*.zip"):
+        with zipfile.ZipFile(p) as z:
+            assert z.testzip() is None and not held.keys() & set(z.namelist())
+            held |= {i.filename: z.read(i) for i in z.infolist()}
+    assert held == {k: v for k, v in want.items() if k not in own}
+    sums = {r.path: r.digest for r in integrity.checksum_folder(spark, str(new), archives=True).collect()}
+    assert sums == {n: hashlib.sha256(c).hexdigest() for n, c in want.items()}
+    again = make(pack_below=5)
+    assert {r.status for r in again.copy_log.collect()} == {"already_exists", "missing"} and len(list(new.rglob("*.zip"))) <= len(held)
+    with pytest.raises(ValueError, match="archives=True"):
+        pipelines.package_release(spark, raw(spark), str(folders / "src"), str(new), COUNTS, FILE_COUNTS, pack_below=5)
+
+
+def test_packaging_many_small_files_takes_few_files(spark, tmp_path):
+    """The query's copies: some archives beside one recording in 64 that was there before, and all of them counted and hashed."""
+    spark.range(9000).selectExpr("id AS o_orderkey", "id % 900 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(900).selectExpr("id AS c_custkey", "0.5D AS c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base))
+    rows = QUERIES["package_release"](Hosts(spark, str(tmp_path))).collect()
+    copied = [r for r in rows if r.status == "copied"]
+    assert len(copied) > 400 and all(r.digest == hashlib.sha256(f"/release/{r.source}".encode()).hexdigest() for r in copied)
+    [root] = [f"{base}/{d}" for d in set(os.listdir(base)) - before if d.startswith("packaged-")]
+    assert sum(len(d) + len(f) for _, d, f in os.walk(root)) < len(copied) / 4
